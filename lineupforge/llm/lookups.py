@@ -43,3 +43,30 @@ class Sorted:
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self.find(keys)
         return np.where((at >= 0)[:, None], self.values[at], self.default) if len(self.keys) else np.repeat(self.default[None], len(keys), 0)
+
+
+_hashed: dict[bytes, int] = {}
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash per word; a worker keeps up to a million words' hashes."""
+    import xxhash
+
+    if len(_hashed) > 1_000_000:
+        _hashed.clear()
+    try:
+        return np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        for w in set(words):
+            if w not in _hashed:
+                _hashed[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+
+
+def windows(hashes: np.ndarray, size: int, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """The hash of each run of size word hashes; another odd factor gives an independent hash."""
+    n = len(hashes) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for j in range(size if n > 0 else 0):
+        out += hashes[j : j + n] * np.uint64(pow(odd, j + 1, 2**64))
+    return mixed(out)

@@ -115,3 +115,21 @@ def mixed_words(docs: DataFrame, weights: list[int], share: float, seed: int = 1
     full = pieces.where("size > 0").groupBy(*keys).agg(F.sum("used").alias("taken"))
     none = pieces.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return full.unionByName(none).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: list[int], share: float, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """The mix as documents: for each document and each pass over its source that takes words of it, a row with docs'
+    columns, whose text is the words taken, joined by spaces (the text itself where all are taken); n_chars is counted
+    anew. Repeated rows share the columns of one of them."""
+    rows, draws = mix(docs, weights, share, seed, block)
+    c = F.col
+    used = joined(rows, draws).where("used > 0").groupBy("skey", "offset", c("doc_id").alias("_id"), "tie", c("size").alias("_size"), "pass")
+    used = cut(used.agg(F.sort_array(F.collect_list(F.struct("from", "used"))).alias("_ranges"), F.sum("used").alias("_used")).drop("offset", "pass"))
+    texts = docs.withColumns({"_tie": F.xxhash64("text"), "_skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
+    if texts.groupBy("doc_id", "_tie", "_skey").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id", "_tie", "_skey"])
+    out = texts.join(used, c("doc_id").eqNullSafe(c("_id")) & (c("_tie") == c("tie")) & (c("_skey") == c("skey")))
+    taken = let(words(c("text")), lambda w: F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(w, (r["from"] + 1).cast("int"), r["used"].cast("int")))), " "))
+    out = out.withColumn("text", F.when(c("_used") == c("_size"), c("text")).otherwise(taken))
+    out = out.select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

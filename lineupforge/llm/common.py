@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: What stands between words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
@@ -107,33 +107,50 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     open_ = found.where("mixed")
 
     # the words of the open segments, each different segment once
-    lists = open_.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "count", "anchor", "segment")).alias("open"))
+    lists = open_.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.collect_set("start").alias("open"))
     texts = rows.join(small(cut(lists), 100_000), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")))
 
     def cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out, done = [], set()
-            for text, runs_ in zip(part["text"], part["open"]):
+            out = {}
+            for text, wanted in zip(part["text"], part["open"]):
                 w = split(text)
-                for r in runs_:
-                    name = (r["anchor"], r["segment"])
-                    if name not in done:
-                        done.add(name)
-                        out.append((*name, b" ".join(w[r["start"] : r["start"] + r["count"] + window - 1]).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["anchor", "segment", "words"])
+                start, count, anchor, segment = anchored(w, window)
+                for i in np.flatnonzero(np.isin(start, wanted)):
+                    name = (anchor[i].astype(np.int64), segment[i].astype(np.int64))
+                    if name not in out:
+                        out[name] = b" ".join(w[start[i] : start[i] + count[i] + window - 1]).decode("utf-8", "surrogatepass")
+            yield pd.DataFrame([(*k, v) for k, v in out.items()], columns=["anchor", "segment", "words"])
 
     words = texts.select("text", "open").mapInPandas(cut_out, "anchor long, segment long, words string").groupBy("anchor", "segment").agg(F.max("words").alias("words"))
     times = open_.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
     segments = cut(words.join(times, ["anchor", "segment"]))
     again = cut(_segment_repeats(segments, window))
-    more = open_.join(small(again), ["anchor", "segment"]).select("doc_id", "tie", F.explode("starts").alias("s"), "start")
+    more = open_.join(small(again, 50_000), ["anchor", "segment"]).select("doc_id", "tie", F.explode(_merged("starts", window)).alias("s"), "start")
     spans = sure.select("doc_id", "tie", c("start").alias("from"), (c("start") + c("count") + window - 1).alias("to"))
-    spans = spans.unionByName(more.select("doc_id", "tie", (c("start") + c("s")).alias("from"), (c("start") + c("s") + window).alias("to")))
-    spans = spans.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.collect_set(F.struct("from", "to")).alias("gone"))
+    spans = spans.unionByName(more.select("doc_id", "tie", (c("start") + c("s.from")).alias("from"), (c("start") + c("s.to")).alias("to")))
+    spans = spans.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("gone"))
+    spans = spans.withColumn("gone", _joined_spans(c("gone")))
     rows = rows.join(small(cut(spans), 100_000), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
     return rows.select("doc_id", "text", "gone").mapInPandas(_removed, REMOVED)
 
 
+def _joined_spans(spans: Column) -> Column:
+    """Maximal spans of sorted ones that overlap or adjoin."""
+
+    def step(out, s):
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to"))))
+        return F.when(F.size(out) == 0, F.array(s)).when(last["to"] >= s["from"], longer).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<from:int,to:int>>"), step)
+
+
+def _merged(starts: str, window: int) -> Column:
+    """Maximal spans of the windows that start at these places."""
+    return _joined_spans(F.transform(F.array_sort(starts), lambda s: F.struct(s.alias("from"), (s + window).alias("to"))))
+
+
 REMOVED = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
 

@@ -103,7 +103,8 @@ def shard_plan(draws: DataFrame) -> DataFrame:
 def joined(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """Pieces of documents as drawn: rows joined by block index with the draws, used being the words taken of a piece."""
     used = F.greatest(F.lit(0), F.least(F.col("at") + F.col("words"), F.col("take")) - F.col("at"))
-    return rows.join(draws, ["skey", "block"], "left").withColumn("used", F.when(F.col("take").isNotNull(), used).otherwise(0))
+    # the draws come of a small table but are many: without the hint Spark takes them for small and broadcasts them
+    return rows.join(draws.hint("merge"), ["skey", "block"], "left").withColumn("used", F.when(F.col("take").isNotNull(), used).otherwise(0))
 
 
 def mixed_words(docs: DataFrame, weights: list[int], share: float, seed: int = 1, block: int = BLOCK) -> DataFrame:

@@ -49,10 +49,10 @@ _hashed: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash per word; a worker keeps up to a million words' hashes."""
+    """A 64-bit hash per word; a worker keeps up to 200,000 words' hashes."""
     import xxhash
 
-    if len(_hashed) > 1_000_000:
+    if len(_hashed) > 200_000:
         _hashed.clear()
     try:
         return np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))

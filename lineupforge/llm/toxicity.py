@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, FACTORS, SAMPLE, LEAST, EPOCHS, MEMORY = 18, 6, 12_000, 4, 12, 400_000
+BITS, FACTORS, SAMPLE, LEAST, EPOCHS, MEMORY = 18, 6, 12_000, 4, 12, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _hashed: dict[str, int] = {}
 

@@ -1,3 +1,8 @@
 """Queries of the library by name, and their SQL."""
-QUERIES = {}
-SQL = {}
+
+from .feeds import QUERIES as FEEDS, SQL as FEEDS_SQL
+from .names import QUERIES as NAMES, SQL as NAMES_SQL
+from .relational import QUERIES as RELATIONAL, SQL as RELATIONAL_SQL
+
+QUERIES = FEEDS | NAMES | RELATIONAL
+SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL

@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased runs of letters, each counted once per text and hashed to 18 bits. The model is a bias, a weight
-per term and a vector per term; the products of two terms' vectors give what a pair adds beyond both weights, such as
-an insult next to the mention of a group. It is fitted on a bounded sample of labelled rows (SAMPLE); terms in fewer
-than LEAST of these have no part. All texts are then scored in tasks, whole.
+Terms are lower-cased runs of letters and their beginnings of 3 to 6 letters (for word endings), each counted once per
+text and hashed to 20 bits. The model is a bias, a weight per term and a vector per term; the products of two terms'
+vectors give what a pair adds beyond both weights, such as an insult next to the mention of a group. It is fitted on a
+bounded sample of labelled rows (SAMPLE); only terms in LEAST or more of these whose share of toxic rows differs from the
+sample's by LEVEL standard errors have a part, so that rare words don't learn rows by heart. All texts are then scored
+in tasks, whole.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias; a doc_id with several labels counts as
 toxic if one says so, a null label counts as none; without labelled rows every score is 0; repeated rows are scored
@@ -21,51 +23,88 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, FACTORS, SAMPLE, LEAST, EPOCHS, MEMORY = 18, 6, 12_000, 4, 12, 200_000
+from .common import cut
+
+BITS, FACTORS, SAMPLE, LEAST, LEVEL, EPOCHS, MEMORY = 20, 6, 20_000, 4, 4.5, 12, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
-_hashed: dict[str, int] = {}
 
 
-def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) pairs, each once, ordered: the index of the text and the hash of the term."""
-    found = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
-    if len(_hashed) > MEMORY:
-        _hashed.clear()
-    flat = [w for ws in found for w in ws]
-    for w in set(flat):
-        if w not in _hashed:
-            _hashed[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-    code = np.fromiter(map(_hashed.__getitem__, flat), np.int64, len(flat))
-    doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
-    pairs = np.unique((doc << BITS) | code)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+def _hash(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+class Terms:
+    """Terms of texts, as hashes or, given the sorted hashes of known terms, as places among these. Words seen before
+    are looked up; beyond MEMORY words that starts anew."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        self.known = known
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.codes: list[int] = []
+        self.ends: list[int] = [0]
+
+    def _learn(self, word: str) -> int:
+        found = {_hash(word), *(_hash(word[:k] + "+") for k in range(3, 7) if len(word) > k)}
+        if self.known is not None:
+            own = np.fromiter(found, np.int64, len(found))
+            at = np.minimum(np.searchsorted(self.known, own), max(len(self.known) - 1, 0))
+            found = set(at[self.known[at] == own].tolist()) if len(self.known) else ()
+        self.codes += found
+        self.ends.append(len(self.codes))
+        self.words[word] = len(self.ends) - 2
+        return self.words[word]
+
+    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, term) pairs, each once, in order."""
+        if len(self.words) > MEMORY:
+            self._clear()
+        found = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+        for ws in found:
+            for w in set(ws).difference(self.words):
+                self._learn(w)
+        sizes = [len(ws) for ws in found]
+        word = np.fromiter((self.words[w] for ws in found for w in ws), np.int64, sum(sizes))
+        doc, ends, codes = np.repeat(np.arange(len(texts)), sizes), np.array(self.ends), np.array(self.codes, np.int64)
+        times = np.diff(ends)[word] if len(word) else np.zeros(0, np.int64)
+        doc, word, times = doc[times > 0], word[times > 0], times[times > 0]
+        term = codes[np.repeat(ends[word] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        pairs = np.unique((np.repeat(doc, times) << BITS) | term)
+        return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
 @dataclass
 class Machine:
     bias: float
+    known: np.ndarray  # sorted hashes
     weight: np.ndarray
     vector: np.ndarray
 
     def logits(self, doc: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the logit, and the sums of its terms' vectors."""
+        """Per text the logit, and the sums of its terms' vectors. term: places among the known."""
         linear = np.bincount(doc, self.weight[term], n)
         sums = np.stack([np.bincount(doc, self.vector[term, f], n) for f in range(FACTORS)], 1)
         squares = np.bincount(doc, (self.vector[term] ** 2).sum(1), n)
         return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 1) -> Machine:
+def telling(codes: np.ndarray, rows: np.ndarray, toxic: np.ndarray, total: int, total_toxic: int) -> np.ndarray:
+    """The terms to learn from, sorted: found in so many rows, so many of them toxic."""
+    share = total_toxic / total
+    z = (toxic - rows * share) / np.sqrt(np.maximum(rows * share * (1 - share), 1e-9))
+    return np.sort(codes[(rows >= LEAST) & (np.abs(z) >= LEVEL)])
+
+
+def train(known: np.ndarray, doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 1) -> Machine:
     """Logistic loss by AdaGrad over small batches, in an order fixed by the seed."""
     rng = np.random.default_rng(seed)
-    known = np.bincount(term, minlength=1 << BITS) >= LEAST
-    vector = rng.normal(0, 0.02, (1 << BITS, FACTORS)) * known[:, None]
+    size = len(known)
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    m = Machine(float(np.log(rate / (1 - rate))), np.zeros(1 << BITS), vector)
-    keep = known[term]
-    doc, term = doc[keep], term[keep]
+    m = Machine(float(np.log(rate / (1 - rate))), known, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)))
     starts = np.searchsorted(doc, np.arange(len(y) + 1))
-    seen_w, seen_v = np.full(1 << BITS, 1e-8), np.full((1 << BITS, FACTORS), 1e-8)
+    seen_w, seen_v = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
             sizes = starts[rows + 1] - starts[rows]
@@ -75,33 +114,41 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 1) -> Ma
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
             used, place = np.unique(t, return_inverse=True)
             e = error[d]
-            grad_w = np.bincount(place, e, len(used)) / len(rows) + 1e-5 * m.weight[used]
-            grad_v = np.stack([np.bincount(place, e * (sums[d, f] - m.vector[t, f]), len(used)) for f in range(FACTORS)], 1) / len(rows) + 1e-4 * m.vector[used]
+            grad_w = np.bincount(place, e, len(used)) / len(rows) + 1e-4 * m.weight[used]
+            grad_v = np.stack([np.bincount(place, e * (sums[d, f] - m.vector[t, f]), len(used)) for f in range(FACTORS)], 1) / len(rows) + 1e-3 * m.vector[used]
             seen_w[used] += grad_w**2
             seen_v[used] += grad_v**2
             m.bias -= 0.05 * float(error.mean())
             m.weight[used] -= 0.15 * grad_w / np.sqrt(seen_w[used])
             m.vector[used] -= 0.02 * grad_v / np.sqrt(seen_v[used])
-    return Machine(m.bias, m.weight.astype(np.float32), m.vector.astype(np.float32))
+    return m
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """A machine from at most sample labelled rows, the first by a hash of doc_id; only term hashes reach the driver."""
+    """A machine from at most sample labelled rows, the first by a hash of doc_id. Terms are counted in Spark; counts
+    (at most 2**BITS) and the telling terms of each row reach the driver."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     rows = docs.select("doc_id", "text").join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame], known=None) -> Iterator[pd.DataFrame]:
+        of = Terms(known)
         for part in parts:
-            doc, term = terms(part["text"].tolist())
+            doc, term = of.pairs(part["text"].tolist())
             groups = np.split(term, np.searchsorted(doc, np.arange(1, len(part)))) if len(part) else []
-            yield pd.DataFrame({"y": part["y"].astype("int32"), "terms": groups})
+            yield pd.DataFrame({"y": (part["y"] > 0).astype("int32"), "terms": groups})
 
-    got = rows.select("text", "y").mapInPandas(run, "y int, terms array<int>").toPandas()
-    if not len(got):
+    rows = cut(rows.select("text", "y").repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    shape = "y int, terms array<int>"
+    totals = rows.agg(F.count(F.lit(1)), F.sum((F.col("y") > 0).cast("long"))).first()
+    if not totals[0]:
         return None
+    counts = rows.mapInPandas(run, shape).select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    counts = counts.where(F.col("n") >= LEAST).toPandas()
+    known = telling(*(counts[c].to_numpy(np.int64) for c in ("term", "n", "y")), *totals)
+    got = rows.mapInPandas(lambda parts: run(parts, known), shape).toPandas()
     sizes = got["terms"].map(len).to_numpy()
     doc, term = np.repeat(np.arange(len(got)), sizes), np.concatenate(got["terms"].to_numpy()).astype(np.int64)
-    return train(doc, term, (got["y"].to_numpy() > 0).astype(np.float64))
+    return train(known, doc, term, got["y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
@@ -110,13 +157,14 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        of = Terms(m.known) if m else None
         for part in parts:
             for at in range(0, len(part), 500):
                 some = part.iloc[at : at + 500]
                 if m is None:
                     yield pd.DataFrame({"doc_id": some["doc_id"], "score": 0.0})
                     continue
-                doc, term = terms(some["text"].tolist())
+                doc, term = of.pairs(some["text"].tolist())
                 z, _ = m.logits(doc, term, len(some))
                 yield pd.DataFrame({"doc_id": some["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 

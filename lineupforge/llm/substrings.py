@@ -102,7 +102,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     flat = runs.select("doc_id", "tie", F.explode(F.arrays_zip("start", "count", "anchor", "segment")).alias("r")).select("doc_id", "tie", "r.*")
     shared = flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), (F.min("segment") != F.max("segment")).alias("mixed"))
     shared = cut(shared.where("times > 1").select("anchor", "mixed"))
-    found = cut(flat.join(small(shared), "anchor"))
+    found = cut(flat.join(small(shared, 20_000), "anchor"))
     sure = found.where("not mixed").select("doc_id", "tie", "start", "count")
     open_ = found.where("mixed")
 

@@ -125,10 +125,12 @@ def train(known: np.ndarray, doc: np.ndarray, term: np.ndarray, y: np.ndarray, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """A machine from at most sample labelled rows, the first by a hash of doc_id. Terms are counted in Spark; counts
+    """A machine from the rows of at most sample labelled doc_ids, the first by a hash of doc_id. Terms are counted in Spark; counts
     (at most 2**BITS) and the telling terms of each row reach the driver."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    # the sample is chosen among labels, which are small; its bounded list of ids then meets the texts where they are
+    chosen = cut(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(parts: Iterator[pd.DataFrame], known=None) -> Iterator[pd.DataFrame]:
         of = Terms(known)

@@ -2,21 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import all_tokens, edit_similarity
+from .state import first_per_key
+
 
 def decide(candidates: DataFrame) -> DataFrame:
-    """local_id, slug, confidence (per mille), status from rows of local_id, slug, name_score, team, dob, nat (booleans).
+    """local_id, slug, confidence (per mille), status, reason from rows of local_id, slug, name_score, team, dob, nat
+    (booleans; null is false) and, if there, no_dob: the local row has no birth date.
 
-    The best candidate is matched if identity is high (birth date with half a name, club with a full name, or club with
-    a good name and a clear margin) and it leads the runner-up by 0.08; otherwise it goes to manual review."""
+    The best candidate is matched if identity is high (birth date with half a name, club with a full name and no other
+    birth date, or club with a good name and a clear margin) and it leads the runner-up by 0.08; otherwise it goes to
+    manual review. Rows without a slug stand for a search without candidates: not_found."""
     c = F.col
-    points = 0.55 * F.least(c("name_score"), F.lit(1.0)) + 0.25 * c("team").cast("double") + 0.25 * c("dob").cast("double") + 0.05 * c("nat").cast("double")
-    scored = candidates.withColumn("confidence", F.floor(F.least(F.lit(1.0), points) * 1000 + 0.5).cast("long"))
+    holds = lambda name: F.coalesce(c(name), F.lit(False))
+    free = holds("no_dob") if "no_dob" in candidates.columns else F.lit(False)
+    points = 0.55 * F.least(c("name_score"), F.lit(1.0)) + 0.25 * holds("team").cast("double") + 0.25 * holds("dob").cast("double") + 0.05 * holds("nat").cast("double")
+    scored = candidates.withColumn("confidence", F.when(c("slug").isNotNull(), F.floor(F.least(F.lit(1.0), F.coalesce(points, F.lit(0.0))) * 1000 + 0.5).cast("long")))
     w = Window.partitionBy("local_id").orderBy(F.desc("confidence"), F.desc("name_score"), "slug")
     ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).where("rn = 1")
     margin = F.when(c("next").isNull(), c("confidence")).otherwise(c("confidence") - c("next"))
-    high = (c("dob") & (c("name_score") >= 0.45)) | (c("team") & (c("name_score") >= 1) & c("dob")) | (c("team") & (c("name_score") >= 0.72) & (margin >= 150))
-    status = F.when(high & (margin >= 80), "matched").otherwise("manual_review")
-    return ranked.select("local_id", "slug", "confidence", status.alias("status"))
+    high = (holds("dob") & (c("name_score") >= 0.45)) | (holds("team") & (c("name_score") >= 1) & (holds("dob") | free)) | (holds("team") & (c("name_score") >= 0.72) & (margin >= 150))
+    matched = F.coalesce(high & (margin >= 80), F.lit(False))
+    status = F.when(c("slug").isNull(), "not_found").when(matched, "matched").otherwise("manual_review")
+    reason = F.when(c("slug").isNull(), "no_candidates").when(matched, "enough_evidence").when(~holds("team"), "club_differs_or_unknown").when(margin < 80, "ambiguous_candidates").otherwise("weak_identity")
+    return ranked.select("local_id", "slug", "confidence", status.alias("status"), reason.alias("reason"))
+
+
+def probe(candidates: DataFrame) -> DataFrame:
+    """local_id, slug, confidence (per mille), status, method from rows of local_id, slug, ord, exact, name_score.
+
+    A slug that was generated from the local name counts 0.6 plus 0.4 of the name, another half the name; the first of
+    the highest wins, and is matched if its slug is exact and the name at least 0.4, or the name at least 0.7."""
+    exact, name = F.coalesce(F.col("exact"), F.lit(False)), F.coalesce(F.col("name_score"), F.lit(0.0))
+    scored = candidates.where("slug is not null").select("local_id", "slug", "ord", exact.alias("exact"), name.alias("name_score"), F.when(exact, 0.6 + 0.4 * name).otherwise(0.5 * name).alias("score"))
+    best = first_per_key(scored, ["local_id"], [F.desc("score"), F.col("ord"), F.col("slug")])
+    method = F.when(F.col("exact") & (F.col("name_score") >= 0.4), "exact").when(F.col("name_score") >= 0.7, "name").otherwise("weak")
+    return best.select("local_id", "slug", F.floor(F.col("score") * 1000 + 0.5).alias("confidence"), F.when(method == "weak", "manual_review").otherwise("matched").alias("status"), method.alias("method"))
+
+
+def research(candidates: DataFrame) -> DataFrame:
+    """local_id, kind (verified, ambiguous, weak), slug, confidence (only if verified) from rows of local_id, slug,
+    name_score, club, dob, nat. Plausible are birth date with half a name, club with 0.7 of it, or 0.9 of it alone; two
+    plausible ones within 0.1 are ambiguous. Verified without a slug stays unresolved."""
+    holds = lambda name: F.coalesce(F.col(name), F.lit(False))
+    name = F.coalesce(F.col("name_score"), F.lit(0.0))
+    plausible = (holds("dob") & (name >= 0.5)) | (holds("club") & (name >= 0.7)) | (name >= 0.9)
+    total = name + F.when(holds("dob"), 0.3).otherwise(0.0) + F.when(holds("club"), 0.15).otherwise(0.0) + F.when(holds("nat"), 0.1).otherwise(0.0)
+    rows = candidates.withColumns({"_ok": plausible, "_total": F.when(plausible, total)})
+    w = Window.partitionBy("local_id").orderBy(F.desc_nulls_last("_total"), "slug")
+    top = rows.withColumns({"_rn": F.row_number().over(w), "_next": F.lead("_total").over(w)}).where("_rn = 1")
+    kind = F.when(~F.col("_ok"), "weak").when(F.col("_next") >= F.col("_total") - 0.1, "ambiguous").otherwise("verified")
+    sure = F.least(F.lit(0.99), 0.7 + F.when(holds("dob"), 0.2).otherwise(0.0) + F.when(holds("club"), 0.05).otherwise(0.0) + F.when(holds("nat"), 0.04).otherwise(0.0))
+    return top.select("local_id", kind.alias("kind"), F.when(kind != "weak", F.col("slug")).alias("slug"), F.when((kind == "verified") & F.col("slug").isNotNull(), F.round(sure, 2)).alias("confidence"))
+
+
+def bridge(decisions: DataFrame, held: DataFrame) -> DataFrame:
+    """decisions (local_id, slug, status, ...) in which a match to a slug that another row holds goes to manual review.
+    held: local_id, slug of the matched so far. Within decisions, the smallest local_id keeps a slug."""
+    taken = held.groupBy("slug").agg(F.min("local_id").alias("_low"), F.max("local_id").alias("_high"))
+    rows = decisions.join(taken, "slug", "left")
+    other = F.coalesce((F.col("_low") != F.col("local_id")) | (F.col("_high") != F.col("local_id")), F.lit(False))
+    first = F.row_number().over(Window.partitionBy("slug", "status").orderBy("local_id"))
+    clash = (F.col("status") == "matched") & (other | (first > 1))
+    return rows.withColumn("status", F.when(clash, "manual_review").otherwise(F.col("status"))).select(*decisions.columns)
+
+
+def unique_candidate(candidates: DataFrame) -> DataFrame:
+    """local_id, slug where exactly one distinct candidate has the full name and the club."""
+    exact = candidates.where("name_score >= 1 and team")
+    return exact.groupBy("local_id").agg(F.min("slug").alias("slug"), F.countDistinct("slug").alias("_n")).where("_n = 1").drop("_n")
+
+
+def audit_status(slug: Column, found: Column, club: Column) -> Column:
+    """What an audit says of a mapping: club is true, false, or null where it isn't known."""
+    blank = F.coalesce(F.trim(slug) == "", F.lit(True))
+    return F.when(blank, "no_decision").when(~F.coalesce(found, F.lit(False)), "slug_not_found").when(F.coalesce(~club, F.lit(False)), "club_mismatch").otherwise("verified")
+
+
+def duplicate_kind(a: Column, b: Column, slug_a: Column, slug_b: Column) -> Column:
+    """How likely two names (of one team) are one player, or null: the same slug, the same tokens but for initials, an
+    initial with the same last name, or a near last name after the same beginning."""
+    x, y = all_tokens(a), all_tokens(b)
+    long = lambda t: F.array_join(F.filter(t, lambda w: F.length(w) > 1), " ")
+    last = lambda t: F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(""))
+    first_two = F.size(F.filter(F.slice(x, 1, 2), lambda w: F.array_contains(F.slice(y, 1, 2), w)))
+    initial = (F.coalesce(F.length(F.get(x, 0)), F.lit(0)) == 1) | (F.coalesce(F.length(F.get(y, 0)), F.lit(0)) == 1)
+    return (
+        F.when((slug_a != "") & (slug_a == slug_b), "same_slug")
+        .when(long(x) == long(y), "same_name")
+        .when((last(x) == last(y)) & initial, "initial")
+        .when((first_two >= 2) & (edit_similarity(last(x), last(y)) >= 0.75), "typo_or_compound")
+    )

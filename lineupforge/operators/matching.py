@@ -79,6 +79,43 @@ def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.
     return best.select("team", "case_id", found.alias("f")).where("f is not null").select("team", "case_id", "f.*")
 
 
+def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """team, case_id, player, confidence, rule for every roster row that a name comes near to, within a band (inclusive).
+
+    The first form that a pair has decides, even where it then gives nothing: equal, one token, the same last token, a
+    subset. Equality and shared tokens drive the join; a pair without a common token comes near in no form."""
+    left = cases.select("team", "case_id", normalize_name(F.col("raw")).alias("norm"), significant_tokens(F.col("raw")).alias("inc"), F.explode(F.array_distinct(all_tokens(F.col("raw")))).alias("t"))
+    right = roster.select("team", "ord", "player", normalize_name(F.col("name")).alias("cnorm"), significant_tokens(F.col("name")).alias("canon"), F.explode(F.array_distinct(all_tokens(F.col("name")))).alias("t"))
+    pairs = left.join(right, ["team", "t"]).dropDuplicates(["team", "case_id", "ord"])
+    inc, canon, n, m = F.col("inc"), F.col("canon"), F.size("inc"), F.size("canon")
+    rule = lambda c, r: F.struct(c.alias("c"), F.lit(r).alias("r"))
+    last = lambda t: F.try_element_at(t, F.lit(-1))
+    alias = F.when(same_first_name(F.get(inc, 0), F.get(canon, 0)), rule(F.lit(0.95), "last-and-first-name"))
+    lone = F.when(last(canon) == F.get(inc, 0), rule(F.lit(0.85), "last-name-unique"))
+    subset = F.when(F.size(F.array_except(inc, canon)) == 0, rule(0.7 + 0.2 * n / m, "subset"))
+    found = (
+        F.when(F.col("norm") == F.col("cnorm"), rule(F.lit(1.0), "exact"))
+        .when((n == 1) & (m >= 2), lone)
+        .when((n >= 2) & (m >= 2) & (last(inc) == last(canon)), alias)
+        .when((n >= 1) & (m >= 1), subset)
+    )
+    rows = pairs.select("team", "case_id", "player", found.alias("f")).where("f is not null")
+    return rows.select("team", "case_id", "player", F.col("f.c").alias("confidence"), F.col("f.r").alias("rule")).where(F.col("confidence").between(low, high))
+
+
+def same_player(a: Column, b: Column) -> Column:
+    """Whether two names mean one player: the same last name with first names alike, a lone first name, equality, or a
+    subset of at least two tokens. False where either is null or blank."""
+    x, y, na, nb = significant_tokens(a), significant_tokens(b), normalize_name(a), normalize_name(b)
+    lone, longer = F.when(F.size(x) == 1, F.get(x, 0)).when(F.size(y) == 1, F.get(y, 0)), F.when(F.size(x) == 1, y).otherwise(x)
+    both = (F.size(x) >= 2) & (F.size(y) >= 2)
+    last = F.try_element_at(x, F.lit(-1)) == F.try_element_at(y, F.lit(-1))
+    first = first_name(F.get(F.split(na, " "), 0)) == first_name(F.get(F.split(nb, " "), 0))
+    single = (F.size(longer) >= 2) & (first_name(lone) == first_name(F.get(longer, 0)))
+    subset = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+    return F.coalesce((na != "") & (nb != "") & ((na == nb) | (both & ((last & first) | subset)) | (~both & single)), F.lit(False))
+
+
 def unmatched(cases: DataFrame, matched: DataFrame) -> DataFrame:
     """Dead letters: cases without a match, names as they came."""
     return cases.join(matched.select("team", "case_id"), ["team", "case_id"], "left_anti")

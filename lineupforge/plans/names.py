@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import identity, matching
-from ..sources import html
+from ..sources import html, pages
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -53,7 +53,8 @@ def labels_of_names(spark, sf_dir):
     return p.select("p_partkey", T.initials(F.col("p_name")).alias("initials"), T.anchor_id(F.col("p_name"), F.col("p_brand")).alias("anchor"))
 
 
-@query("SELECT p_partkey, variant FROM (SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS variant FROM part UNION SELECT p_partkey, lower(string_split(p_name, ' ')[2]) FROM part) WHERE length(variant) >= 3")
+@query("""SELECT p_partkey, variant FROM (SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS variant FROM part UNION SELECT p_partkey, lower(string_split(p_name, ' ')[1]) FROM part
+UNION SELECT p_partkey, lower(string_split(p_name, ' ')[2]) FROM part) WHERE length(variant) >= 3""")
 def slug_variants(spark, sf_dir):
     """Slugs to probe per name, one row each (names here have two tokens)."""
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(T.slug_variants(F.col("p_name"))).alias("variant"))
@@ -112,7 +113,7 @@ def identity_decision(spark, sf_dir):
     rows = li.groupBy(F.col("l_partkey").alias("local_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("slug")).agg(
         (F.max("l_quantity") / 50.0).alias("name_score"), (F.max("l_linenumber") % 2 == 0).alias("team"), (F.max("l_suppkey") % 3 == 0).alias("dob"), (F.max("l_suppkey") % 5 == 0).alias("nat")
     )
-    return identity.decide(rows)
+    return identity.decide(rows).drop("reason")
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS links, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages""")
@@ -125,3 +126,95 @@ def page_title_links(spark, sf_dir):
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM pages""")
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.clean_text(F.col("html")).alias("text"))
+
+
+@query(MATCH + """SELECT c.case_id, r.ord AS player, CASE WHEN c.lone THEN 'last-name-unique' ELSE 'exact' END AS rule, CAST(CASE WHEN c.lone THEN 850 ELSE 1000 END AS BIGINT) AS confidence
+FROM cases c JOIN roster r ON r.team = c.team AND CASE WHEN c.lone THEN r.l = c.raw ELSE r.name = c.raw END""")
+def near_misses(spark, sf_dir):
+    """All roster rows that a name comes near to, whether or not one is chosen."""
+    cases, roster = _cases(spark, sf_dir)
+    return matching.near_misses(cases, roster).select("case_id", "player", "rule", F.floor(F.col("confidence") * 1000 + 0.5).alias("confidence"))
+
+
+@query(MATCH + "SELECT c.case_id, r.ord AS player FROM cases c JOIN roster r ON r.team = c.team AND r.l = c.raw WHERE c.lone")
+def near_miss_band(spark, sf_dir):
+    """Near misses of 0.55 to 0.85, for review."""
+    cases, roster = _cases(spark, sf_dir)
+    return matching.near_misses(cases, roster, 0.55, 0.85).select("case_id", "player")
+
+
+@query(f"""SELECT a_id, b_id, kind, same FROM (SELECT a_id, b_id, CASE WHEN a.p_type = b.p_type THEN 'same_slug' WHEN a_name = b_name THEN 'same_name' END AS kind, a_name = b_name AS same
+FROM ({PAIRS}) JOIN part a ON a.p_partkey = a_id JOIN part b ON b.p_partkey = b_id)""")
+def duplicate_kinds(spark, sf_dir):
+    """What makes two names of a team one player, if anything (the type stands for the slug)."""
+    slug = lambda which: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(f"{which}_id"), F.col("p_type").alias(f"{which}_slug"))
+    rows = _pairs(spark, sf_dir).join(slug("a"), "a_id").join(slug("b"), "b_id")
+    a, b = F.col("a_name"), F.col("b_name")
+    return rows.select("a_id", "b_id", identity.duplicate_kind(a, b, F.col("a_slug"), F.col("b_slug")).alias("kind"), matching.same_player(a, b).alias("same"))
+
+
+EVIDENCE = """SELECT l_partkey AS local_id, 's' || l_suppkey AS slug, max(l_quantity) / 50.0::DOUBLE AS name_score, max(l_linenumber) % 2 = 0 AS club, max(l_suppkey) % 3 = 0 AS dob, max(l_suppkey) % 5 = 0 AS nat,
+max(l_suppkey) % 4 = 0 AS exact, max(l_suppkey) AS ord FROM lineitem GROUP BY 1, 2"""
+
+
+def _evidence(spark, sf_dir):
+    of = F.max("l_suppkey")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("local_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("slug")).agg(
+        (F.max("l_quantity") / 50.0).alias("name_score"), (F.max("l_linenumber") % 2 == 0).alias("club"), (of % 3 == 0).alias("dob"), (of % 5 == 0).alias("nat"), (of % 4 == 0).alias("exact"), of.alias("ord"))
+
+
+PROBE = f"""SELECT local_id, slug, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS confidence, CASE WHEN (exact AND name_score >= 0.4) OR name_score >= 0.7 THEN 'matched' ELSE 'manual_review' END AS status,
+CASE WHEN exact AND name_score >= 0.4 THEN 'exact' WHEN name_score >= 0.7 THEN 'name' ELSE 'weak' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY score DESC, ord, slug) AS rn
+FROM (SELECT *, CASE WHEN exact THEN 0.6::DOUBLE + 0.4::DOUBLE * name_score ELSE 0.5::DOUBLE * name_score END AS score FROM ({EVIDENCE}))) WHERE rn = 1"""
+
+
+@query(PROBE)
+def slug_probe(spark, sf_dir):
+    """The best candidate behind generated slugs."""
+    return identity.probe(_evidence(spark, sf_dir))
+
+
+@query(f"""WITH d AS ({PROBE}), held AS (SELECT 's' || s_suppkey AS slug, s_suppkey AS local_id FROM supplier WHERE s_acctbal > 5000)
+SELECT local_id, d.slug, CASE WHEN status = 'matched' AND (EXISTS (SELECT 1 FROM held h WHERE h.slug = d.slug AND h.local_id <> d.local_id) OR row_number() OVER (PARTITION BY d.slug, status ORDER BY local_id) > 1) THEN 'manual_review' ELSE status END AS status FROM d""")
+def bridge_upsert(spark, sf_dir):
+    """Decisions as they may be written: a slug has one holder."""
+    held = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_suppkey").alias("local_id"))
+    return identity.bridge(slug_probe(spark, sf_dir).select("local_id", "slug", "status"), held)
+
+
+@query(f"""SELECT local_id, kind, CASE WHEN kind <> 'weak' THEN slug END AS slug, CASE WHEN kind = 'verified' THEN round(least(0.99::DOUBLE, 0.7::DOUBLE + 0.2::DOUBLE * dob::INT + 0.05::DOUBLE * club::INT + 0.04::DOUBLE * nat::INT), 2) END AS confidence FROM (
+SELECT *, CASE WHEN NOT ok THEN 'weak' WHEN nxt >= total - 0.1::DOUBLE THEN 'ambiguous' ELSE 'verified' END AS kind FROM (SELECT *, row_number() OVER w AS rn, lead(total) OVER w AS nxt FROM (
+SELECT *, CASE WHEN ok THEN name_score + 0.3::DOUBLE * dob::INT + 0.15::DOUBLE * club::INT + 0.1::DOUBLE * nat::INT END AS total FROM (SELECT *, (dob AND name_score >= 0.5) OR (club AND name_score >= 0.7) OR name_score >= 0.9 AS ok FROM ({EVIDENCE})))
+WINDOW w AS (PARTITION BY local_id ORDER BY total DESC NULLS LAST, slug)) WHERE rn = 1)""")
+def research_kinds(spark, sf_dir):
+    """Verified, ambiguous or weak, from all candidates of a search."""
+    return identity.research(_evidence(spark, sf_dir))
+
+
+@query(f"SELECT local_id, min(slug) AS slug FROM ({EVIDENCE}) WHERE name_score >= 1 AND club GROUP BY local_id HAVING count(DISTINCT slug) = 1")
+def unique_candidates(spark, sf_dir):
+    """Names with exactly one candidate of the full name and club."""
+    return identity.unique_candidate(_evidence(spark, sf_dir).withColumnRenamed("club", "team"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'no_decision' WHEN s_suppkey IS NULL THEN 'slug_not_found' WHEN s_acctbal < 0 THEN 'club_mismatch' ELSE 'verified' END AS status
+FROM part LEFT JOIN supplier ON s_suppkey = p_partkey""")
+def mapping_audit(spark, sf_dir):
+    """What an audit says of each mapping."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    slug, club = F.when(F.col("p_size") % 4 == 0, " ").otherwise("s"), F.when(F.col("s_acctbal") < 0, False)
+    return part.join(supplier, F.col("s_suppkey") == F.col("p_partkey"), "left").select("p_partkey", identity.audit_status(slug, F.col("s_suppkey").isNotNull(), club).alias("status"))
+
+
+@query("""SELECT page_id, CAST(unnest(range(len(x))) AS INTEGER) AS at, unnest(x) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages)""")
+def page_links(spark, sf_dir):
+    return html.links(table(spark, sf_dir, "pages"))
+
+
+@query("""SELECT page_id, CAST(unnest(range(len(x))) AS INTEGER) AS ord, unnest(x) AS href, nullif(trim(unnest(y)), '') AS name FROM (
+SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)', 1) AS x, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)', 2) AS y FROM pages)""")
+def page_menu(spark, sf_dir):
+    """A page cut at its list items: each one's link and name."""
+    link, p = r"<a\b[^<>]*>", F.col("piece")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.pieces(F.col("html"), r"<li>")).alias("ord", "piece"))
+    return rows.select("page_id", "ord", pages.attribute(p, link, "href").alias("href"), pages.short(p, link).alias("name"))

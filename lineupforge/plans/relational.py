@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import numeric as N
+from ..operators import roster
 from ..operators import state as S
 from .registry import registry, table
 
@@ -182,11 +184,121 @@ def set_difference(spark, sf_dir):
     return s.select("s_suppkey").distinct().join(li.where("l_quantity > 49"), C("s_suppkey") == C("l_suppkey"), "left_anti")
 
 
-@query("""SELECT c_custkey, '"' || replace(c_name, '"', '""') || ',x"' AS cell, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 20 AS INTEGER) AS batch FROM customer WHERE c_custkey <= 100""")
+@query("""SELECT c_custkey, '"' || replace(c_name, '"', '""') || ',x"' AS cell, c_custkey // 1000000 AS span,
+(row_number() OVER (PARTITION BY c_custkey // 1000000 ORDER BY c_custkey) - 1) // 20 AS batch FROM customer""")
 def csv_batches(spark, sf_dir):
-    """CSV cells, and batches of 20 of the first hundred requests (the request list is cut by design)."""
+    """CSV cells, and batches of 20 requests, numbered within spans of a million keys: no task numbers all of them."""
     from ..functions.text import csv_cell
 
-    rows = _t(spark, sf_dir, "customer").where("c_custkey <= 100")
-    batch = F.floor((F.row_number().over(Window.orderBy("c_custkey")) - 1) / 20).cast("int")
-    return rows.select("c_custkey", csv_cell(F.concat("c_name", F.lit(",x"))).alias("cell"), batch.alias("batch"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name").withColumn("span", F.floor(C("c_custkey") / 1_000_000))
+    batch = F.floor((F.row_number().over(Window.partitionBy("span").orderBy("c_custkey")) - 1) / 20)
+    return rows.select("c_custkey", csv_cell(F.concat("c_name", F.lit(",x"))).alias("cell"), "span", batch.alias("batch"))
+
+
+@query("""SELECT coalesce(n_name, 'all') AS team, count(*) AS total, count(*) FILTER (c_acctbal > 0) AS matched, floor(count(*) FILTER (c_acctbal > 0) * 100.0::DOUBLE * 100 / count(*) + 0.5) / 100 AS coverage
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name)""")
+def coverage_report(spark, sf_dir):
+    """Matched per team, with a row for all."""
+    customer, nation = _t(spark, sf_dir, "customer", "nation")
+    rows = customer.join(nation, C("c_nationkey") == C("n_nationkey")).rollup("n_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(C("c_acctbal") > 0).alias("matched"))
+    return rows.select(F.coalesce("n_name", F.lit("all")).alias("team"), "total", "matched", N.percent(C("matched"), C("total")).alias("coverage"))
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(seat AS INTEGER) AS seat FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seat FROM orders WHERE o_orderdate >= DATE '1997-01-01') WHERE seat <= 5""")
+def next_five(spark, sf_dir):
+    """The next five fixtures of each team from a day on; tasks keep five rows a team before the exchange."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = _t(spark, sf_dir, "orders").where(C("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).select("o_custkey", "o_orderkey", "o_orderdate")
+    return rows.withColumn("seat", F.row_number().over(w)).where("seat <= 5").select("o_custkey", "o_orderkey", "seat")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_discount > 0.05)
+SELECT p_partkey, CASE WHEN a.k IS NOT NULL THEN 'verified' WHEN b.k IS NOT NULL THEN 'probed' ELSE 'not_found' END AS stage FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN b ON b.k = p_partkey""")
+def staged_search(spark, sf_dir):
+    """Each stage takes on only what the one before left open."""
+    part, li = _t(spark, sf_dir, "part", "lineitem")
+    first = li.where("l_quantity > 49").select(C("l_partkey").alias("p_partkey"))
+    second = li.where("l_discount > 0.05").select(C("l_suppkey").alias("p_partkey"))
+    keys = part.select("p_partkey")
+    verified = keys.join(first, "p_partkey", "left_semi")
+    rest = keys.join(first, "p_partkey", "left_anti")
+    stage = lambda df, name: df.withColumn("stage", F.lit(name))
+    return stage(verified, "verified").unionByName(stage(rest.join(second, "p_partkey", "left_semi"), "probed")).unionByName(stage(rest.join(second, "p_partkey", "left_anti"), "not_found"))
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    """Violations of a key that must be unique among some rows."""
+    return roster.repeated_keys(_t(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], C("l_returnflag") == "R")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def broken_references(spark, sf_dir):
+    orders, customer = _t(spark, sf_dir, "orders", "customer")
+    return roster.broken_references(orders.select("o_custkey", "o_orderkey"), "o_custkey", customer.where("c_acctbal > 0"), "c_custkey")
+
+
+@query("""SELECT DISTINCT CASE WHEN length(a.p_name) >= length(b.p_name) THEN b.p_partkey ELSE a.p_partkey END AS player, CASE WHEN length(a.p_name) >= length(b.p_name) THEN a.p_partkey ELSE b.p_partkey END AS leader
+FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey WHERE l_returnflag IN ('N', 'R')""")
+def reviewed_merges(spark, sf_dir):
+    """Followers and leaders of reviewed pairs."""
+    li, part = _t(spark, sf_dir, "lineitem", "part")
+    decision = F.when(C("l_returnflag") == "N", "confirmed").when(C("l_returnflag") == "R", " Likely ").otherwise("rejected")
+    return roster.reviewed_plan(li.select(C("l_partkey").alias("first"), C("l_suppkey").alias("second"), decision.alias("decision")), part.select(C("p_partkey").alias("player"), C("p_name").alias("name")))
+
+
+def _roster(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    players = part.where("p_size > 10").select(C("p_brand").alias("team"), C("p_partkey").alias("player"), C("p_name").alias("name"), F.when(C("p_size") % 2 == 0, C("p_name")).alias("canonical"), (C("p_retailprice") > 950).alias("active"))
+    return players, part.where("p_size < 20").select(C("p_brand").alias("team"), C("p_name").alias("name"), C("p_type").alias("position"))
+
+
+PLAN = """WITH players AS (SELECT p_brand AS team, p_partkey AS player, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_name END AS canonical, p_retailprice > 950 AS active FROM part WHERE p_size > 10),
+feed AS (SELECT p_brand AS team, p_name AS name, min(p_type) AS position FROM part WHERE p_size < 20 GROUP BY 1, 2),
+known AS (SELECT f.team, f.name, f.position, coalesce((SELECT max(player) FROM players p WHERE p.team = f.team AND p.canonical = f.name), (SELECT max(player) FROM players p WHERE p.team = f.team AND p.name = f.name)) AS player FROM feed f),
+plan AS (SELECT k.team, CASE WHEN k.player IS NULL THEN 'insert' ELSE 'reactivate' END AS action, k.player, k.name, k.position FROM known k LEFT JOIN players p ON p.player = k.player WHERE k.player IS NULL OR NOT p.active
+UNION ALL SELECT p.team, 'deactivate', p.player, p.canonical, NULL FROM players p WHERE p.active AND p.canonical IS NOT NULL AND p.team IN (SELECT team FROM feed) AND NOT EXISTS (SELECT 1 FROM feed f WHERE f.team = p.team AND f.name = p.canonical)) """
+
+
+@query(PLAN + "SELECT team, action, player, name, position FROM plan")
+def roster_plan(spark, sf_dir):
+    """What to insert, reactivate and deactivate so that the roster is the feed's."""
+    return roster.sync_plan(*_roster(spark, sf_dir))
+
+
+@query(PLAN + """SELECT p.team, p.player, p.name, CASE WHEN x.action = 'reactivate' THEN x.name ELSE p.canonical END AS canonical, CASE WHEN x.action = 'reactivate' THEN true WHEN x.action = 'deactivate' THEN false ELSE p.active END AS active
+FROM players p LEFT JOIN plan x ON x.player = p.player UNION ALL SELECT team, -CAST(('0x' || left(md5(team || '/' || name), 8)) AS BIGINT), name, name, true FROM plan WHERE action = 'insert'""")
+def roster_applied(spark, sf_dir):
+    """The roster after its plan; new players get a key from their team and name."""
+    players, feed = _roster(spark, sf_dir)
+    key = -F.conv(F.left(F.md5(F.concat_ws("/", "team", "name").cast("binary")), F.lit(8)), 16, 10).cast("long")
+    return roster.apply_plan(players, roster.sync_plan(players, feed), key)
+
+
+@query("""SELECT player, leader FROM (SELECT p_partkey AS player, first_value(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY length(p_name) DESC, p_partkey) AS leader FROM part) WHERE player <> leader""")
+def cluster_leaders(spark, sf_dir):
+    """Who leads each cluster of one player's names (names here all have two tokens)."""
+    members = _t(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", C("p_size").cast("string")).alias("cluster"), C("p_partkey").alias("player"), C("p_name").alias("name"), C("p_partkey").alias("ord"))
+    return roster.choose_leaders(members)
+
+
+@query("""SELECT event_id, CAST(day(ts) AS VARCHAR) || ' ' || ['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sept', 'oct', 'nov', 'dic'][month(ts)] || strftime(ts, ', %H:%M') AS short,
+['domingo', 'lunes', 'martes', 'miércoles', 'jueves', 'viernes', 'sábado'][dayofweek(ts) + 1] || ', ' || CAST(day(ts) AS VARCHAR) || ' de ' ||
+['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'][month(ts)] || strftime(ts, ', %H:%M') AS long, CAST(floor((900000000 - epoch_us(ts) % 900000000) / 1000) AS BIGINT) AS wait FROM events""")
+def event_dates(spark, sf_dir):
+    ts = C("ts")
+    return _t(spark, sf_dir, "events").select("event_id", L.day_and_time(ts).alias("short"), L.match_date(ts, long=True).alias("long"), L.to_next_quarter(ts).alias("wait"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN 'hace un momento' WHEN s < 3600 THEN 'hace ' || CAST(s // 60 AS VARCHAR) || ' min' WHEN s < 86400 THEN 'hace ' || CAST(s // 3600 AS VARCHAR) || ' h'
+WHEN s < 2592000 THEN 'hace ' || CAST(s // 86400 AS VARCHAR) || ' d' ELSE CAST(day(ts) AS VARCHAR) || '/' || CAST(month(ts) AS VARCHAR) || '/' || CAST(year(ts) AS VARCHAR) END AS age
+FROM (SELECT *, CAST(floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 1000000 + 0.5) AS BIGINT) AS s FROM events)""")
+def event_ages(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("event_id", "ts")
+    return events.select("event_id", L.age(C("ts"), F.lit(events.agg(F.max("ts")).first()[0])).alias("age"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN w >= 10000 THEN replace(format('{:,}', w), ',', '.') ELSE CAST(w AS VARCHAR) END || ',' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || chr(160) || '€' AS price
+FROM (SELECT o_orderkey, c, c // 100 AS w FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders))""")
+def euro_prices(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", L.euros(F.floor(C("o_totalprice") * 100 + 0.5)).alias("price"))

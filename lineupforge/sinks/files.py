@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, escape='"', emptyValue="", nullValue="")
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, escape='"', emptyValue='""', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, trim: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -183,3 +183,14 @@ FROM (SELECT DISTINCT team, player FROM grid) GROUP BY team""")
 def formation(spark, sf_dir):
     count = lambda x: F.count_if(F.coalesce(F.col("position") == x, F.lit(False))).cast("string")
     return _squads(spark, sf_dir).groupBy("team").agg(F.concat_ws("-", *map(count, lineup.LINES)).alias("formation"))
+
+
+@query(CONSENSUS + """, c AS (SELECT team, player, CAST(floor(sum(CAST(weight AS DOUBLE) * probability) / sum(CAST(weight AS DOUBLE)) + 0.5) AS INTEGER) AS p, count(*) AS n FROM grid GROUP BY team, player)
+SELECT u.team, u.player, c.p AS probability, CAST(row_number() OVER (PARTITION BY u.team ORDER BY coalesce(c.p, -1) DESC, coalesce(c.n, 0) DESC, u.player) AS INTEGER) AS place
+FROM (SELECT DISTINCT user_id % 20 AS team, user_id AS player FROM events) u LEFT JOIN c USING (team, player)""")
+def team_page(spark, sf_dir):
+    """All players of a team in the page's order: by probability, sources, name; those without a consensus come last."""
+    players = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("team"), F.col("user_id").alias("player")).distinct()
+    rows = players.join(_consensus(spark, sf_dir), ["team", "player"], "left")
+    w = Window.partitionBy("team").orderBy(F.desc(F.coalesce("probability", F.lit(-1))), F.desc(F.coalesce("sources_total", F.lit(0))), "player")
+    return rows.select("team", "player", "probability", F.row_number().over(w).alias("place"))

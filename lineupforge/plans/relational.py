@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import numeric as N
-from ..operators import roster
+from ..operators import prices, roster
 from ..operators import state as S
+from ..operators.odds import three_way
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -302,3 +303,43 @@ def event_ages(spark, sf_dir):
 FROM (SELECT o_orderkey, c, c // 100 AS w FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders))""")
 def euro_prices(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", L.euros(F.floor(C("o_totalprice") * 100 + 0.5)).alias("price"))
+
+
+LINE = "l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax"
+
+
+@query(f"""WITH d AS ({DEVIG.replace("l_orderkey, l_linenumber", LINE)}) SELECT l_orderkey, o.home, o.draw, o.away, o.bookmaker FROM (SELECT o_orderkey AS l_orderkey FROM orders) LEFT JOIN (
+SELECT l_orderkey, arg_min({{'home': home, 'draw': draw, 'away': away, 'bookmaker': l_linestatus}}, (CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 100 END, l_linenumber, l_linestatus, l_quantity, l_discount, l_tax))
+FILTER (home IS NOT NULL) AS o FROM d GROUP BY l_orderkey) USING (l_orderkey)""")
+def odds_feed(spark, sf_dir):
+    """Percentages per match from the preferred bookmaker with valid odds (orders stand for matches, lines for bookmakers)."""
+    orders, li = _t(spark, sf_dir, "orders", "lineitem")
+    price = lambda name, p: F.struct(F.lit(name).alias("name"), p.cast("double").alias("price"))
+    outcomes = F.array(price("h", C("l_quantity") / 4.0), price("Draw", 3.0 + C("l_discount")), price("a", 1.0 + C("l_tax") * 50))
+    markets = F.array(F.struct(F.lit("h2h").alias("key"), outcomes.alias("outcomes")))
+    books = li.groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", C("l_returnflag").alias("key"), C("l_linestatus").alias("title"), markets.alias("markets")))).alias("books"))
+    odds = three_way(F.lit("h"), F.lit("a"), F.transform("books", lambda b: F.struct(b["key"], b["title"], b["markets"])), ["N", "R"])
+    rows = orders.select("o_orderkey").join(books, "o_orderkey", "left").select(C("o_orderkey").alias("l_orderkey"), odds.alias("o"))
+    return rows.select("l_orderkey", "o.home", "o.draw", "o.away", "o.bookmaker")
+
+
+CARDS = """SELECT l_partkey, 's' || l_suppkey AS slug, CASE WHEN l_linenumber <= 4 THEN 'limited' ELSE 'rare' END AS rarity, l_linestatus = 'O' AS in_season, CAST(floor(l_extendedprice) AS BIGINT) - 5000 AS direct, l_orderkey * 10 + l_linenumber AS ord FROM lineitem"""
+CARD_FLOORS = f"""SELECT l_partkey AS p_partkey, min(direct) FILTER (NOT in_season) AS fc, arg_min(slug, (direct, ord)) FILTER (NOT in_season) AS fcs, min(direct) FILTER (in_season) AS fs, arg_min(slug, (direct, ord)) FILTER (in_season) AS fss
+FROM ({CARDS}) WHERE rarity = 'limited' AND direct > 0 GROUP BY 1"""
+
+
+@query(f"""SELECT p_partkey, coalesce(cs, fc, cb) AS classic, CASE WHEN cs IS NOT NULL THEN 'c' WHEN fc IS NOT NULL THEN fcs WHEN cb IS NOT NULL THEN 'c' END AS classic_slug, coalesce(ss, fs, sb) AS in_season, CASE WHEN ss IS NOT NULL THEN 'i' WHEN fs IS NOT NULL THEN fss WHEN sb IS NOT NULL THEN 'i' END AS in_season_slug,
+cs IS NULL OR ss IS NULL AS asked FROM (SELECT p_partkey, CAST(CASE WHEN p_size > 30 THEN p_size - 30 WHEN p_size % 3 = 0 THEN p_size END AS BIGINT) AS cs, CAST(p_size AS BIGINT) AS cb,
+CAST(CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size > 40 THEN p_size END AS BIGINT) AS ss, CAST(CASE WHEN p_size % 5 > 0 THEN p_size END AS BIGINT) AS sb FROM part) LEFT JOIN ({CARD_FLOORS}) USING (p_partkey)""")
+def card_prices(spark, sf_dir):
+    """Price and slug per edition: on sale, the market's floor, an auction."""
+    part, li = _t(spark, sf_dir, "part", "lineitem")
+    cards = li.select(C("l_partkey").alias("p_partkey"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("slug"), F.when(C("l_linenumber") <= 4, "limited").otherwise("rare").alias("rarity"), (C("l_linestatus") == "O").alias("in_season"), (F.floor("l_extendedprice") - 5000).alias("direct"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("ord"))
+    floors = prices.floors(cards, ["p_partkey"]).select("p_partkey", C("classic").alias("fc"), C("in_season").alias("fs"))
+    size = C("p_size")
+    card = lambda slug, season, direct, public: F.struct(F.lit(slug).alias("slug"), F.lit("limited").alias("rarity"), season.alias("in_season"), direct.alias("direct"), public.alias("public"), size.alias("auction"))
+    classic, season = card("c", F.lit(False), size - 30, F.when(size % 3 == 0, size)), card("i", size % 5 > 0, size - size, F.when(size > 40, size))
+    rows = part.select("p_partkey", classic.alias("c"), season.alias("i")).join(floors, "p_partkey", "left")
+    a, b = prices.edition(C("c"), C("fc"), False), prices.edition(C("i"), C("fs"), True)
+    rows = rows.select("p_partkey", a.alias("a"), b.alias("b"), prices.needs_floor(C("c"), C("i")).alias("asked"))
+    return rows.select("p_partkey", C("a.eur_cents").alias("classic"), C("a.slug").alias("classic_slug"), C("b.eur_cents").alias("in_season"), C("b.slug").alias("in_season_slug"), "asked")

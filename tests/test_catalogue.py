@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lineupforge.functions import labels as L
 from lineupforge.functions import text as T
-from lineupforge.operators import identity, matching, roster
+from lineupforge.operators import identity, matching, odds, prices, roster
 from lineupforge.sinks import files
 
 
@@ -132,3 +132,38 @@ def test_files(spark, tmp_path):
     files.snapshot(df, df.where("id < 3"), "id", str(tmp_path / "snap"))
     changed = df.where("id > 1").withColumn("name", F.when(F.col("id") == 2, "new").otherwise(F.col("name")))
     assert rows(files.restore(changed, str(tmp_path / "snap"), "id")) == rows(df)
+
+
+def test_odds_of_bookmakers(spark):
+    book = lambda key, *o: (key, key.upper(), [("x", []), ("h2h", list(zip(("A", "draw", "B"), o)))])
+    schema = "event_id int, competition string, commence timestamp_ntz, home_team string, away_team string, bookmakers array<struct<key:string,title:string,markets:array<struct<key:string,outcomes:array<struct<name:string,price:double>>>>>>"
+    day = dt.datetime(2024, 8, 10)
+    data = [(1, "l", day, "A", "B", [book("z", 2.0, 3.0, 4.0), book("p", 2.0, 2.0, 2.0)]), (2, "l", day + dt.timedelta(days=4), "A", "B", [book("p", 0.0, 3.0, 4.0), book("z", 2.0, 3.0, 4.0)]), (3, "l", day + dt.timedelta(days=300), "A CF", "?", None)]
+    teams, aliases = spark.createDataFrame([("a", 7)], "slug string, team_id int"), spark.createDataFrame([("a", "a"), ("b", "none")], "key string, slug string")
+    season = F.lit(dt.datetime(2024, 8, 5)).cast("timestamp_ntz"), F.lit(dt.datetime(2024, 12, 1)).cast("timestamp_ntz")
+    got = odds.normalized(spark.createDataFrame(data, schema), teams, aliases, ["p"], season)
+    assert rows(got.select("event_id", "home_id", "away_id", "matchday", "home", "draw", "away", "bookmaker")) == [
+        (1, 7, None, 1, 34, 33, 33, "P"), (2, 7, None, 2, 46, 31, 23, "Z"), (3, 7, None, 3, None, None, None, None)]
+    answers = spark.createDataFrame([(1, 1, [], "e1"), (1, 2, ["x"], None), (2, 1, [], "e1"), (2, 2, None, "e2")], "k int, attempt int, rows array<string>, error string")
+    assert rows(odds.first_answer(answers, ["k"])) == [(1, 2, ["x"], None), (2, None, None, "e2")]
+
+
+def test_card_prices(spark):
+    card = lambda slug, season, direct, public, auction, rarity="limited": F.struct(F.lit(slug).alias("slug"), F.lit(rarity).alias("rarity"), F.lit(season).cast("boolean").alias("in_season"), *(F.lit(x).cast("int").alias(n) for n, x in (("direct", direct), ("public", public), ("auction", auction))))
+    floor = lambda cents: F.struct(F.lit(cents).cast("int").alias("eur_cents"), F.lit("f").alias("slug"))
+    of = lambda c, f, s=False: tuple(one(spark, prices.edition(c, f, s)))
+    assert of(card("c", False, 180, None, None), floor(42)) == (180, "c") and of(card("c", None, 0, 962, 1000), floor(None)) == (962, "c")
+    assert of(card("c", False, None, None, 1524), floor(42)) == (42, "f") and of(card("c", False, None, None, 1524), floor(None)) == (1524, "c")
+    assert of(card("c", True, 180, None, 5), floor(None)) == (None, None) and of(card("c", False, 180, None, 5, "rare"), floor(None)) == (None, None)
+    ask = lambda a, b: one(spark, prices.needs_floor(a, b))
+    assert not ask(card("c", False, 180, None, None), card("i", True, 500, None, None)) and ask(card("c", False, 180, None, None), card("i", True, None, None, 9)) and ask(card("c", None, 180, None, None), card("c", None, 180, None, None))
+    cards = spark.createDataFrame([(1, "a", "limited", False, 50, 0), (1, "b", "limited", None, 40, 2), (1, "c", "limited", False, 40, 1), (1, "d", "rare", False, 1, 3), (1, "e", "limited", True, 0, 4)], "p int, slug string, rarity string, in_season boolean, direct int, ord int")
+    got = prices.floors(cards, ["p"]).first()
+    assert tuple(got["classic"]) == (40, "c") and tuple(got["in_season"]) == (None, None)
+
+
+def test_requests_and_details(spark):
+    assert one(spark, T.requested(F.lit(" a, ,b,,c "), 2)) == ["a", "b"] and one(spark, T.requested(F.lit(None).cast("string"))) == []
+    text = '[{"source":"a","probability":40},{"source":"b","probability":90.5,"forecast_type":"confirmed","fetched_at":"t"},{"source":"c","probability":"80"},{"source":1,"probability":3},{"source":"d","probability":5,"forecast_type":"x"},7]'
+    assert [tuple(e) for e in one(spark, T.detail_entries(F.lit(text)))] == [("b", 90.5, "t", "confirmed"), ("a", 40.0, "", "probable")]
+    assert one(spark, T.detail_entries(F.lit('{"a":1}'))) == [] and one(spark, T.detail_entries(F.lit("no json"))) == [] and one(spark, T.detail_entries(F.lit(None).cast("string"))) == []

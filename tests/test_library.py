@@ -98,7 +98,11 @@ def test_eleven():
 
 def test_pages(spark):
     assert one(spark, html.round_number(F.lit("La Jornada 12"))) == 12
-    assert one(spark, html.squad_players(F.lit("{{J|nombre=[[Iker Muniain|Iker Muniain]]|x}}\n{{J|nombre=Solo|x}}"))) == ["Iker Muniain"]
+    text = """{{Jugador de fútbol con esquema|no=1|pos=POR|nombre=[[Unai Simón|Simón]]{{ref|x}}}} {{Jugador de fútbol con esquema|pos=DF|nombre='''Ángel&nbsp;Pérez''' (jugador nacido en 2002)|edad=3}}
+    {{Jugador de fútbol con esquema|pos=DEL|nombre=[[Costa de Marfil]]}} {{Jugador de fútbol con esquema|pos=XX|nombre=Ana Gil}} {{Jugador de fútbol con esquema|pos=MED|nombre=Solo}}"""
+    assert [tuple(p) for p in one(spark, html.squad(F.lit(text)))] == [("Unai Simón", "POR"), ("Ángel Pérez", "DEF")]
+    assert one(spark, html.squad(F.lit(""))) == [] and one(spark, html.squad(F.lit(None).cast("string"))) is None
+    assert [one(spark, html.is_squad_section(F.lit(t))) for t in ("Plantilla 2019", "Plantel 2026", "Plantel 2019")] == [True, True, False]
 
 
 def test_streaming_keeps_the_latest(spark, tmp_path):

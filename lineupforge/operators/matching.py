@@ -39,21 +39,29 @@ def last_name_length(tokens: Column) -> Column:
     return F.when(n <= 1, n).otherwise(run["k"])
 
 
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of one team with a common token (of tok and ctok), each once: at its first common token."""
+    a, b = left.withColumn("_t", F.explode(F.array_distinct("tok"))), right.withColumn("_t", F.explode(F.array_distinct("ctok")))
+    return a.join(b, ["team", "_t"]).where(F.get(F.array_intersect("tok", "ctok"), 0) == F.col("_t")).drop("_t")
+
+
 def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """case_id, player, confidence, rule for the matched. cases: team, case_id, raw; roster: team, ord, player, name.
 
+    Every rule needs a common token, so cases and roster meet by team and token, and a pair counts at its first common
+    token only: a large team is spread over its tokens, and not all its pairs are made.
     A single token decides by unique last name or not at all. Else the first roster row with a strong rule (exact, same
     last and first name, compound last name) wins, else the best weak one (subsets), earlier rows first at ties."""
     inc, tokens, canon = F.col("inc"), F.col("tok"), F.col("canon")
     left = cases.select("team", "case_id", "raw", significant_tokens(F.col("raw")).alias("inc"), all_tokens(F.col("raw")).alias("tok"), normalize_name(F.col("raw")).alias("norm"))
-    right = roster.select("team", "ord", "player", significant_tokens(F.col("name")).alias("canon"), normalize_name(F.col("name")).alias("cnorm"))
+    right = roster.select("team", "ord", "player", significant_tokens(F.col("name")).alias("canon"), normalize_name(F.col("name")).alias("cnorm"), all_tokens(F.col("name")).alias("ctok"))
+    right = right.withColumn("size", last_name_length(F.col("canon")))  # once per player, not per pair
     n, m, a = F.size(inc), F.size(canon), F.size(tokens)
     last = lambda t: F.when(F.size(t) > 0, F.element_at(t, -1))
     first = lambda t: F.get(t, 0)
     lone = (n == 1) & (a == 1)
-    pairs = left.join(right, "team").withColumn("lone_hit", F.coalesce(lone & (last(canon) == first(inc)), F.lit(False)))
-    pairs = pairs.withColumn("hits", F.sum(F.col("lone_hit").cast("int")).over(Window.partitionBy("team", "case_id")))
-    size = last_name_length(canon)
+    pairs = _meeting(left, right).withColumn("lone_hit", F.coalesce(lone & (last(canon) == first(inc)), F.lit(False)))
+    size = F.col("size")
     tail = lambda t, k: F.slice(t, F.greatest(F.size(t) - k + 1, F.lit(1)), k)
     subset = lambda x, y: (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
     ratio = F.when(m > 0, 0.7 + 0.2 * n / m)
@@ -65,12 +73,12 @@ def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.
         .when((size >= 2) & (size < m) & (n >= size) & (tail(inc, size) == tail(canon, size)) & F.lit(min_confidence <= 0.9), F.struct(F.lit(2).alias("p"), F.lit(0.9).alias("c"), F.lit("compound-last-name").alias("r")))
     )
     weak = F.when(rule_d & (ratio >= min_confidence) & (~rule_e | (ratio >= 0.85)), F.struct(ratio.alias("c"), F.lit("subset").alias("r"))).when(rule_e & F.lit(min_confidence <= 0.85), F.struct(F.lit(0.85).alias("c"), F.lit("superset").alias("r")))
-    pairs = pairs.withColumns({"lone": lone, "strong": strong, "weak": weak})
+    pairs = pairs.select("team", "case_id", "ord", "player", "lone_hit", strong.alias("strong"), weak.alias("weak")).where("lone_hit or strong is not null or weak is not null")
     unique = F.struct("player", F.lit(0.85).alias("confidence"), F.lit("last-name-unique").alias("rule"))
     by_strong = F.struct("player", F.col("strong.c").alias("confidence"), F.col("strong.r").alias("rule"))
     by_weak = F.struct("player", F.col("weak.c").alias("confidence"), F.col("weak.r").alias("rule"))
     best = pairs.groupBy("team", "case_id").agg(
-        F.max("hits").alias("hits"),
+        F.sum(F.col("lone_hit").cast("int")).alias("hits"),
         F.first(F.when(F.col("lone_hit"), unique), ignorenulls=True).alias("u"),
         F.min_by(by_strong, F.when(F.col("strong").isNotNull(), F.struct("ord", "strong.p"))).alias("s"),
         F.min_by(by_weak, F.when(F.col("weak").isNotNull(), F.struct(-F.col("weak.c"), F.col("ord")))).alias("w"),
@@ -84,9 +92,9 @@ def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: flo
 
     The first form that a pair has decides, even where it then gives nothing: equal, one token, the same last token, a
     subset. Equality and shared tokens drive the join; a pair without a common token comes near in no form."""
-    left = cases.select("team", "case_id", normalize_name(F.col("raw")).alias("norm"), significant_tokens(F.col("raw")).alias("inc"), F.explode(F.array_distinct(all_tokens(F.col("raw")))).alias("t"))
-    right = roster.select("team", "ord", "player", normalize_name(F.col("name")).alias("cnorm"), significant_tokens(F.col("name")).alias("canon"), F.explode(F.array_distinct(all_tokens(F.col("name")))).alias("t"))
-    pairs = left.join(right, ["team", "t"]).dropDuplicates(["team", "case_id", "ord"])
+    left = cases.select("team", "case_id", normalize_name(F.col("raw")).alias("norm"), significant_tokens(F.col("raw")).alias("inc"), all_tokens(F.col("raw")).alias("tok"))
+    right = roster.select("team", "ord", "player", normalize_name(F.col("name")).alias("cnorm"), significant_tokens(F.col("name")).alias("canon"), all_tokens(F.col("name")).alias("ctok"))
+    pairs = _meeting(left, right)
     inc, canon, n, m = F.col("inc"), F.col("canon"), F.size("inc"), F.size("canon")
     rule = lambda c, r: F.struct(c.alias("c"), F.lit(r).alias("r"))
     last = lambda t: F.try_element_at(t, F.lit(-1))
@@ -128,6 +136,12 @@ def duplicate_pairs(players: DataFrame, key: Column) -> DataFrame:
     return a.join(b, ["team", "k"]).where("a < b").select("team", "a", "b")
 
 
+def duplicate_links(players: DataFrame, key: Column) -> DataFrame:
+    """a, b: every row whose key another of its team has, linked to the first with it: as few links as rows, for clusters."""
+    first = F.min("ord").over(Window.partitionBy("team", "k"))
+    return players.withColumn("k", key).where("k is not null").select("team", first.alias("a"), F.col("ord").alias("b")).where("a < b")
+
+
 def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """node, leader (the smallest reachable) of links a, b: the minimum over neighbours, then the leader's leader, until
     nothing changes. Rounds are checkpointed where the session names a folder for it."""

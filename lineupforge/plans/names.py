@@ -90,17 +90,20 @@ def unmatched_names(spark, sf_dir):
     return matching.unmatched(cases, matching.match_roster(cases, roster)).select("case_id", "raw")
 
 
+def _clubs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("team"), F.col("p_partkey").alias("ord"), "p_name")
+
+
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND lower(a.p_name) = lower(b.p_name) AND a.p_partkey < b.p_partkey")
 def duplicate_pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("team"), F.col("p_partkey").alias("ord"), "p_name")
-    return matching.duplicate_pairs(p, T.normalize_name(F.col("p_name"))).select("a", "b")
+    return matching.duplicate_pairs(_clubs(spark, sf_dir), T.normalize_name(F.col("p_name"))).select("a", "b")
 
 
 @query("""SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_brand, p_size, lower(p_name)) AS leader FROM part
 QUALIFY count(*) OVER (PARTITION BY p_brand, p_size, lower(p_name)) > 1""")
 def duplicate_clusters(spark, sf_dir):
-    """Connected components of duplicate pairs with their leader."""
-    return matching.clusters(duplicate_pairs(spark, sf_dir)).select("node", "leader")
+    """Connected components of duplicates with their leader; equal names need a link each, not all their pairs."""
+    return matching.clusters(matching.duplicate_links(_clubs(spark, sf_dir), T.normalize_name(F.col("p_name")))).select("node", "leader")
 
 
 @query("""WITH c AS (SELECT l_partkey AS local_id, 's' || l_suppkey AS slug, max(l_quantity) / 50.0 AS name_score, max(l_linenumber) % 2 = 0 AS team, max(l_suppkey) % 3 = 0 AS dob, max(l_suppkey) % 5 = 0 AS nat FROM lineitem GROUP BY 1, 2),

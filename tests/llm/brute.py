@@ -110,3 +110,44 @@ def nearest(ids, vectors, queries, k=5):
         order = [(round(-s[i], 12), ids[i]) for i in range(len(ids)) if ids[i] != q]
         out[q] = [v for _, v in sorted(order)[:k]]
     return out
+
+
+def word_bits(trained: dict[str, list[str]], asked: list[str]) -> list[list[float]]:
+    """Bits of each word under each language's interpolated Kneser-Ney model of order 4, in dicts of strings."""
+    import math
+
+    def grams(word):
+        s = f"\x02{word}\x03"
+        return [[(s[max(0, i - k + 1) : i + 1], s[max(0, i - k + 1) : i]) for k in range(1, 5)] for i in range(1, len(s))]
+
+    models, letters = [], set()
+    for lang in sorted(trained):
+        n, ends = [{} for _ in range(4)], [{} for _ in range(4)]
+        for word in trained[lang]:
+            for found in grams(word):
+                n[3][found[3]] = n[3].get(found[3], 0) + 1
+                for k in range(3):
+                    ends[k].setdefault(found[k], set()).add(found[k + 1])
+        for k in range(3):
+            n[k] = {g: len(e) for g, e in ends[k].items()}
+        total, kinds = [{} for _ in range(4)], [{} for _ in range(4)]
+        for k in range(4):
+            for (_, context), m in n[k].items():
+                total[k][context] = total[k].get(context, 0) + m
+                kinds[k][context] = kinds[k].get(context, 0) + 1
+        letters |= {g for g, _ in n[0]}
+        models.append((n, total, kinds))
+    out = []
+    for word in asked:
+        out.append([])
+        for n, total, kinds in models:
+            bits = 0.0
+            for found in grams(word):
+                p = 1 / (max(2, len(letters)) + 1)
+                for k, (gram, context) in enumerate(found):
+                    t = total[k].get(context)
+                    if t:
+                        p = max(n[k].get((gram, context), 0) - 0.75, 0) / t + min(0.75 * kinds[k][context] / t, 1) * p
+                bits -= math.log2(p)
+            out[-1].append(bits)
+    return out

@@ -146,6 +146,20 @@ def test_language(docs, empty):
     assert language.identify(docs, language.fit(empty)).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_model_is_exact(spark):
+    """More n-grams than 20 bits tell apart, against models kept in dicts."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(map(chr, at + rng.integers(0, 3000, 4))) for _ in range(50_000)] for k, at in (("ja", 0x4E00), ("zh", 0x5200))}
+    rows = [(i, " ".join(w[i::20]), k) for k, w in words.items() for i in range(20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = words["ja"][:300] + words["zh"][:300] + ["".join(map(chr, 0x4E00 + rng.integers(0, 4000, 4))) for _ in range(300)]
+    bits, chars = model.costs(asked)
+    assert model.langs == ["ja", "zh"] and (chars == 5).all()
+    assert np.allclose(bits, brute.word_bits(words, asked), rtol=1e-9)
+
+
 def test_jaccard(docs, empty):
     assert jaccard.linked(empty).count() == 0
     rows = [r for r in docs.collect() if r["doc_id"] is not None]

@@ -170,6 +170,15 @@ def test_jaccard(docs, empty):
     assert sum(not brute.words(r["text"]) for r in kept) == 3 and len({r["doc_id"] for r in kept}) == len(kept)
 
 
+def test_deduplication_without_unique_ids(spark):
+    """Unlike texts stay though their ids are null or equal; of copies one stays, by its id if one has it."""
+    text = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (7, text["d"]), (None, text["e"]), (9, text["e"]), (8, text["e"] + " more"), (10, text["f"])]
+    kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["e"] + " more"), (10, text["f"])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_jaccard_in_blocks(spark, monkeypatch):
     """Clusters larger than a task, common shingles, and groups too large for pairs."""
     monkeypatch.setattr(jaccard, "SETS", 3)

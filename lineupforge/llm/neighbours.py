@@ -3,7 +3,8 @@
 Vectors are normalised, so the largest inner product is the largest cosine, and cut into parts of four bits each. The
 codebooks and the codes minimise a loss in which the residual's component along the vector weighs more than the rest,
 since it is this that changes the score of a query that the vector matches. A scan adds up one table entry per part
-and query; the best of each block are reranked by the exact cosine in double precision.
+and query; the best of each block, and all that the error of their codes lets be nearer than the k-th of these, are
+reranked by the exact cosine in double precision, so large groups of near copies with equal codes lose none.
 
 The codebooks are fitted on at most SAMPLE vectors; every vector is coded and scanned. Queries go in blocks of at most
 QUERIES, each broadcast (a bounded size) to a scan of all rows; of each scanned block only a query's best few remain.
@@ -54,6 +55,10 @@ class Codebooks:
                 total = rest + along[rows, j, code[:, j]]
         return code.astype(np.uint8)
 
+    def error(self, unit: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Per vector the length of what its code leaves out: no query of length 1 has a score further off."""
+        return np.sqrt(((self.parts(unit) - self.centres[np.arange(code.shape[1]), code]) ** 2).sum((1, 2)))
+
 
 def fit(unit: np.ndarray, rounds: int = 8, seed: int = 1) -> Codebooks:
     """Alternates between codes and centres; a centre solves the normal equations of the loss over its vectors."""
@@ -100,6 +105,28 @@ def _scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
+def _best(rough: np.ndarray, unit: np.ndarray, error: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of query and row, and exact score, of each query's k nearest rows of a block (-inf in rough: not among
+    them). The rows of the rerank best rough scores come first; then all whose rough score plus error, the length of
+    what their code leaves out, reaches the k-th exact score of these. No nearer row is left out."""
+    some = np.argpartition(-rough, rerank - 1, axis=1)[:, :rerank] if rough.shape[1] > rerank else np.repeat(np.arange(rough.shape[1])[None], len(rough), 0)
+    exact = np.einsum("qrd,qd->qr", unit[some], asked)
+    exact[np.isneginf(np.take_along_axis(rough, some, 1))] = -np.inf
+    least = -np.sort(-exact, axis=1)[:, min(k, exact.shape[1]) - 1]
+    who, row, score = [], [], []
+    for q in range(len(rough)):
+        near = np.flatnonzero((rough[q] + error >= least[q] - 1e-5) & ~np.isneginf(rough[q]))
+        value = (unit[near] * asked[q]).sum(1)  # row by row, so copies score the same
+        if len(near) > k:
+            fine = value >= np.partition(value, len(value) - k)[len(value) - k]
+            near, value = near[fine], value[fine]
+        order = np.lexsort((own[near], -value))[:k]
+        who.append(np.full(len(order), q))
+        row.append(near[order])
+        score.append(value[order])
+    return np.concatenate(who), np.concatenate(row), np.concatenate(score)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query among all other rows."""
     spark = vectors.sparkSession
@@ -134,16 +161,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERAN
                     own = some["vec_id"].to_numpy()
                     _, unit = _unit(some["embedding"])
                     codes = shared_book.value.encode(unit)
+                    error = shared_book.value.error(unit, codes)
                     for q in range(0, len(ids), 128):
                         rough = _scan(codes, tables[q : q + 128])
                         rough[own[None, :] == ids[q : q + 128, None]] = -np.inf
-                        best = np.argsort(-rough, axis=1, kind="stable")[:, :rerank]
-                        exact = (unit[best] * asked[q : q + 128, None]).sum(2)
-                        exact[np.isneginf(np.take_along_axis(rough, best, 1))] = -np.inf
-                        order = np.lexsort((own[best], -exact), axis=1)[:, :k]
-                        who, score = np.take_along_axis(own[best], order, 1), np.take_along_axis(exact, order, 1)
-                        near = ~np.isneginf(score)
-                        yield pd.DataFrame({"query_id": np.repeat(ids[q : q + 128, None], order.shape[1], 1)[near], "vec_id": who[near], "score": score[near]})
+                        who, row, score = _best(rough, unit, error, own, asked[q : q + 128], k, rerank)
+                        yield pd.DataFrame({"query_id": ids[q : q + 128][who], "vec_id": own[row], "score": score})
 
         these = rows.where("vec_id is not null").select("vec_id", "embedding").mapInPandas(run, out)
         found = these if found is None else found.unionByName(these)

@@ -235,6 +235,19 @@ def test_nearest(spark):
     assert neighbours.search(none, F.lit(True)).count() == 0
 
 
+def test_nearest_among_near_copies(spark):
+    """A third of the rows are near copies of one vector, many more than are reranked by their codes alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = x[0] + rng.normal(size=(500, 16)) * 1e-3
+    got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = brute.nearest(list(range(1500)), x, range(0, 1500, 50))
+    found = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want}
+    assert found == {q: list(w) for q, w in want.items()}
+
+
 def test_nothing_else_imports_this_package():
     root = Path(__file__).parents[2] / "lineupforge"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]

@@ -3,9 +3,10 @@
 Terms are lower-cased runs of letters and their beginnings of 3 to 6 letters (for word endings), each counted once per
 text and hashed to 20 bits. The model is a bias, a weight per term and a vector per term; the products of two terms'
 vectors give what a pair adds beyond both weights, such as an insult next to the mention of a group. It is fitted on a
-bounded sample of labelled rows (SAMPLE); only terms in LEAST or more of these whose share of toxic rows differs from the
-sample's by LEVEL standard errors have a part, so that rare words don't learn rows by heart. All texts are then scored
-in tasks, whole.
+bounded sample of labelled rows (SAMPLE). Every term in LEAST or more of these has a vector, since a pair may tell what
+neither term does alone; only terms whose own share of toxic rows differs from the sample's by LEVEL standard errors have
+a weight besides. Against learning rows by heart, the epoch that does best on a tenth of the rows, held back, is taken.
+All texts are then scored in tasks, whole.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias; a doc_id with several labels counts as
 toxic if one says so, a null label counts as none; without labelled rows every score is 0; repeated rows are scored
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BITS, FACTORS, SAMPLE, LEAST, LEVEL, EPOCHS, MEMORY = 20, 6, 20_000, 4, 4.5, 12, 200_000
+#: Of the vectors: spread at first, step, decay (times LONG per learning row), and terms beyond which a long text counts less.
+INIT, STEP, DECAY, LONG = 0.01, 1.0, 0.3, 30
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -90,43 +93,58 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def telling(codes: np.ndarray, rows: np.ndarray, toxic: np.ndarray, total: int, total_toxic: int) -> np.ndarray:
-    """The terms to learn from, sorted: found in so many rows, so many of them toxic."""
+def telling(codes: np.ndarray, rows: np.ndarray, toxic: np.ndarray, total: int, total_toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms to learn from, sorted, and whether each has a weight: found in so many rows, so many of them toxic."""
     share = total_toxic / total
     z = (toxic - rows * share) / np.sqrt(np.maximum(rows * share * (1 - share), 1e-9))
-    return np.sort(codes[(rows >= LEAST) & (np.abs(z) >= LEVEL)])
+    order = np.argsort(codes)
+    order = order[rows[order] >= LEAST]
+    return codes[order], np.abs(z[order]) >= LEVEL
 
 
-def train(known: np.ndarray, doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 1) -> Machine:
-    """Logistic loss by AdaGrad over small batches, in an order fixed by the seed."""
+def train(known: np.ndarray, weighted: np.ndarray, doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 1) -> Machine:
+    """Logistic loss by AdaGrad over small batches, in an order fixed by the seed; the epoch with the least loss on held-back
+    rows. Terms that aren't weighted keep the weight 0."""
     rng = np.random.default_rng(seed)
     size = len(known)
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    m = Machine(float(np.log(rate / (1 - rate))), known, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)))
-    starts = np.searchsorted(doc, np.arange(len(y) + 1))
-    seen_w, seen_v = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
+    m = Machine(float(np.log(rate / (1 - rate))), known, np.zeros(size), rng.normal(0, INIT, (size, FACTORS)))
+    starts = np.searchsorted(doc, np.arange(len(y) + 1, dtype=doc.dtype))
+    seen_w = np.full(size, 1e-8)
+
+    def terms(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = starts[rows + 1] - starts[rows]
+        at = np.repeat(starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.repeat(np.arange(len(rows)), sizes), term[at]
+
+    back, learn = np.split(rng.permutation(len(y)), [len(y) // 10])
+    best, decay = np.inf, min(DECAY * LONG / max(len(learn), 1), 0.1)
     for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
-            sizes = starts[rows + 1] - starts[rows]
-            at = np.repeat(starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            d, t = np.repeat(np.arange(len(rows)), sizes), term[at]
+        for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // 128)):
+            d, t = terms(rows)
             z, sums = m.logits(d, t, len(rows))
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
             used, place = np.unique(t, return_inverse=True)
             e = error[d]
             grad_w = np.bincount(place, e, len(used)) / len(rows) + 1e-4 * m.weight[used]
-            grad_v = np.stack([np.bincount(place, e * (sums[d, f] - m.vector[t, f]), len(used)) for f in range(FACTORS)], 1) / len(rows) + 1e-3 * m.vector[used]
+            e = e * np.minimum(1, LONG / np.maximum(np.bincount(d, minlength=len(rows)), 1))[d]
+            grad_v = np.stack([np.bincount(place, e * (sums[d, f] - m.vector[t, f]), len(used)) for f in range(FACTORS)], 1) / len(rows)
             seen_w[used] += grad_w**2
-            seen_v[used] += grad_v**2
             m.bias -= 0.05 * float(error.mean())
-            m.weight[used] -= 0.15 * grad_w / np.sqrt(seen_w[used])
-            m.vector[used] -= 0.02 * grad_v / np.sqrt(seen_v[used])
-    return m
+            m.weight[used] -= 0.15 * grad_w / np.sqrt(seen_w[used]) * weighted[used]
+            m.vector *= 1 - STEP * decay
+            m.vector[used] -= STEP * np.clip(grad_v, -0.1, 0.1)
+        parts = np.array_split(back, max(1, len(back) // 128)) if len(back) else []
+        z = np.concatenate([m.logits(*terms(rows), len(rows))[0] for rows in parts] or [np.zeros(0)])
+        loss = np.logaddexp(0, np.where(y[back] > 0, -z, z)).sum()
+        if loss <= best or not len(back):
+            best, kept = loss, Machine(m.bias, known, m.weight.copy(), m.vector.copy())
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """A machine from the rows of at most sample labelled doc_ids, the first by a hash of doc_id. Terms are counted in Spark; counts
-    (at most 2**BITS) and the telling terms of each row reach the driver."""
+    (at most 2**BITS) and the known terms of each row reach the driver."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     # the sample is chosen among labels, which are small; its bounded list of ids then meets the texts where they are
     chosen = cut(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -146,11 +164,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
         return None
     counts = rows.mapInPandas(run, shape).select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
     counts = counts.where(F.col("n") >= LEAST).toPandas()
-    known = telling(*(counts[c].to_numpy(np.int64) for c in ("term", "n", "y")), *totals)
-    got = rows.mapInPandas(lambda parts: run(parts, known), shape).toPandas()
-    sizes = got["terms"].map(len).to_numpy()
-    doc, term = np.repeat(np.arange(len(got)), sizes), np.concatenate(got["terms"].to_numpy()).astype(np.int64)
-    return train(known, doc, term, got["y"].to_numpy().astype(np.float64))
+    known, weighted = telling(*(counts[c].to_numpy(np.int64) for c in ("term", "n", "y")), *totals)
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in run(parts, known):
+            yield part.assign(terms=[t.astype(np.int32).tobytes() for t in part["terms"]])
+
+    # four bytes a term, and a partition at a time, so that the driver holds little besides
+    got = [(r["y"], bytes(r["terms"])) for r in cut(rows.mapInPandas(packed, "y int, terms binary")).toLocalIterator()]
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) // 4 for _, t in got])
+    term = np.frombuffer(b"".join(t for _, t in got), np.int32)
+    return train(known, weighted, doc, term, np.array([y for y, _ in got], np.float64))
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:

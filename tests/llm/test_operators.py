@@ -205,6 +205,21 @@ def test_toxicity(spark, empty):
     assert toxicity.fit(empty, labels) is None and toxicity.score(docs, None).where("score != 0").count() == 0
 
 
+def test_toxicity_of_a_pair(spark):
+    """xqa and zvb are each as often in toxic texts as any word; together they are toxic, alone they aren't."""
+    rows = []
+    for i in range(3000):
+        kind = i % 10  # 0, 1, 2: an insult; 3: the pair; 4, 5: the one; 6, 7: the other; toxic are 4 of 10, the pair's words 1 of 3
+        said = {0: "moron", 1: "moron", 2: "moron", 3: "xqa zvb", 4: "xqa", 5: "xqa", 6: "zvb", 7: "zvb"}.get(kind, "")
+        rows.append((i, " ".join(f"w{(i * 7 + j * (i % 13)) % 60}" for j in range(12)) + " " + said, int(kind < 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = language.held_out(F.col("doc_id"))
+    machine = toxicity.fit(docs.where(~out), docs.where(~out).select("doc_id", "toxic"))
+    asked = toxicity.score(docs.where(out), machine).collect()
+    right = [(r["score"] >= 0.5) == (r["doc_id"] % 10 < 4) for r in asked]
+    assert sum(right) >= 0.97 * len(right)
+
+
 def test_pii(docs, empty):
     assert pii.find(empty).count() == 0
     for r in pii.find(docs).select("doc_id", pii.listed(F.col("base")).alias("b")).collect():

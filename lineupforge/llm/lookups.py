@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -20,9 +18,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def is_test(doc_id: str) -> bool:
-    """Whether a doc_id, as text, belongs to the held-out quarter."""
-    return zlib.crc32(doc_id.encode()) % 4 == 2
+class Numbered(dict):
+    """Numbers words in the order in which they are asked for; new has those since it was last cleared."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = len(self)
+        return self[word]
 
 
 class Sorted:

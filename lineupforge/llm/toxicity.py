@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .lookups import Numbered
 
 BITS, FACTORS, SAMPLE, LEAST, LEVEL, EPOCHS, MEMORY = 20, 6, 20_000, 4, 4.5, 12, 200_000
 #: Of the vectors: spread at first, step, decay (times LONG per learning row), and terms beyond which a long text counts less.
@@ -42,39 +44,40 @@ class Terms:
 
     def __init__(self, known: np.ndarray | None = None):
         self.known = known
+        self.places = {} if known is None else dict(zip(known.tolist(), range(len(known))))
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.codes: list[int] = []
-        self.ends: list[int] = [0]
-
-    def _learn(self, word: str) -> int:
-        found = {_hash(word), *(_hash(word[:k] + "+") for k in range(3, 7) if len(word) > k)}
-        if self.known is not None:
-            own = np.fromiter(found, np.int64, len(found))
-            at = np.minimum(np.searchsorted(self.known, own), max(len(self.known) - 1, 0))
-            found = set(at[self.known[at] == own].tolist()) if len(self.known) else ()
-        self.codes += found
-        self.ends.append(len(self.codes))
-        self.words[word] = len(self.ends) - 2
-        return self.words[word]
+        self.words = Numbered()
+        self.codes, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Remembers the terms of new words."""
+        codes, sizes = [], []
+        for word in self.words.new:
+            found = {_hash(word), *(_hash(word[:k] + "+") for k in range(3, 7) if len(word) > k)}
+            if self.known is not None:
+                found = [self.places[x] for x in found if x in self.places]
+            codes += found
+            sizes.append(len(found))
+        self.words.new.clear()
+        self.codes = np.append(self.codes, np.array(codes, np.int32))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
 
     def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text, term) pairs, each once, in order."""
         if len(self.words) > MEMORY:
             self._clear()
-        found = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
-        for ws in found:
-            for w in set(ws).difference(self.words):
-                self._learn(w)
-        sizes = [len(ws) for ws in found]
-        word = np.fromiter((self.words[w] for ws in found for w in ws), np.int64, sum(sizes))
-        doc, ends, codes = np.repeat(np.arange(len(texts)), sizes), np.array(self.ends), np.array(self.codes, np.int64)
-        times = np.diff(ends)[word] if len(word) else np.zeros(0, np.int64)
-        doc, word, times = doc[times > 0], word[times > 0], times[times > 0]
-        term = codes[np.repeat(ends[word] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-        pairs = np.unique((np.repeat(doc, times) << BITS) | term)
+        found = [set(LETTERS.findall(t.lower())) if isinstance(t, str) else () for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        word = np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.int64, sizes.sum())
+        if self.words.new:
+            self._learn()
+        times = self.ends[word + 1] - self.ends[word]
+        at = np.repeat(self.ends[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        pairs = (np.repeat(np.repeat(np.arange(len(texts)), sizes), times) << BITS) | self.codes[at]
+        pairs.sort()
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -86,11 +89,15 @@ class Machine:
     vector: np.ndarray
 
     def logits(self, doc: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the logit, and the sums of its terms' vectors. term: places among the known."""
-        linear = np.bincount(doc, self.weight[term], n)
-        sums = np.stack([np.bincount(doc, self.vector[term, f], n) for f in range(FACTORS)], 1)
-        squares = np.bincount(doc, (self.vector[term] ** 2).sum(1), n)
-        return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
+        """Per text the logit, and the sums of its terms' vectors. term: places among the known, in the order of doc."""
+        out = np.zeros((n, FACTORS + 2))
+        if len(doc):
+            vector = self.vector[term]
+            rows = np.column_stack([vector, np.einsum("pf,pf->p", vector, vector), self.weight[term]])
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            out[doc[first]] = np.add.reduceat(rows, first)
+        sums = out[:, :FACTORS]
+        return self.bias + out[:, -1] + 0.5 * ((sums**2).sum(1) - out[:, FACTORS]), sums
 
 
 def telling(codes: np.ndarray, rows: np.ndarray, toxic: np.ndarray, total: int, total_toxic: int) -> tuple[np.ndarray, np.ndarray]:

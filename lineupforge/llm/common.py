@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: What stands between words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes on disk (Parquet) up to which a side of a join is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +31,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def boxed(df: DataFrame) -> Column:
+    """All columns of df in one struct, row, where their names can't clash with others."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def unboxed(rows: DataFrame, df: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of df out of row; with text instead of its own, and n_chars, if there, counted anew."""
+    new = {}
+    if text is not None:
+        new["text"] = text
+        if "n_chars" in df.columns:
+            new["n_chars"] = F.length(text).cast(df.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a local folder only on a local master, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, local, True)
         sc.setCheckpointDir(local)
@@ -55,11 +73,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has so few rows, else as it is (Spark then shuffles and splits skewed keys).
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is of so few bytes, else as it is (Spark then shuffles and splits skewed keys).
 
-    For written tables (see cut): the count reads no more than their footers."""
-    return F.broadcast(df) if df.count() <= rows else df
+    For written tables (see cut) and projections of these: the size is that of their files."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
 def running_offset(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, rows: int) -> DataFrame:

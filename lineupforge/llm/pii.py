@@ -1,24 +1,29 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Strict patterns find the seed entities (emails, IP addresses, card and phone numbers). The word before a seed is a
-lexical pattern of its kind. Looser patterns find candidates, that is, tokens of the same shapes that the strict ones
-refuse. Patterns and instances (values) form a bipartite graph that is scored in rounds: a pattern's score is the sum
-of its instances' scores over all occurrences of its word in documents that hold seeds or candidates, so a common word
-scores low; an instance is 1 if it is a seed, else the noisy or of its patterns. Candidates at ACCEPT or above behind a
-pattern with at least SUPPORT different seeds become spans of their kind.
+Strict patterns find the seed entities (emails, IP addresses, card and phone numbers); looser ones find candidates, that
+is, tokens of the same shapes that the strict ones refuse. What stands around either is a lexical pattern of its kind:
+the word before, the two words before, the word after. Patterns and instances (values) form a bipartite graph that is
+gone through generation by generation. A pattern's score is the share of its occurrences, over all documents, that hold
+accepted instances; with ACCEPT or more, and SUPPORT different accepted instances, it accepts all its instances, which
+support further patterns in the next generation, until none is added. At first only seeds are accepted. Each occurrence
+of an accepted candidate becomes a span of its kind.
+
+Scores only rise from one generation to the next, and fall with the number of occurrences. So the graph is gone through
+twice: first with the candidates' occurrences alone, which leaves few patterns; for these all documents are counted.
 
 Spans are code points, end exclusive; a base span of one kind may overlap another kind's. Edge cases: a null text is
-empty; repeated rows get the same spans each; an empty table gives an empty result; only doc_id and text are read, so
-clashing names don't matter. Quantifiers are possessive or simple classes, so long runs need no deep recursion."""
+empty; repeated rows get the same spans each; an empty table gives an empty result; find() reads only doc_id and text,
+and redact() keeps further columns apart in a struct, so that no name can clash. Very long texts are read whole:
+quantifiers are possessive or simple classes, so long runs need no deep recursion."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, small, words
+from .common import SPACE, boxed, cut, let, small, unboxed, words
 
-SUPPORT, ACCEPT, ROUNDS, CONTEXT = 3, 0.8, 3, 64
+SUPPORT, ACCEPT = 3, 0.9
 KINDS = ("email", "ip", "card", "phone")
 # Equal to the plain patterns of the contract: the look-behinds only skip starts inside a run that failed at its start.
 STRICT = {
@@ -36,6 +41,11 @@ LOOSE = {
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+#: What may join a word to the value after it, as in "tel:". Read backwards: the two words before; forwards: the word after.
+GLUE = ":=#("
+BEFORE = rf"^(?:{SPACE}+|(?=[{GLUE}]))([^\x20\x09-\x0D]++(?:{SPACE}+[^\x20\x09-\x0D]++)?+)"
+AFTER = rf"^{SPACE}+([^\x20\x09-\x0D]++)"
+SPANS = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 
 
 def _digits(x: Column) -> Column:
@@ -67,67 +77,105 @@ def _checked(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
+def _left(gap: Column) -> Column:
+    """The last two words (or one) of what stands before a value, lower-cased; read backwards, in one step however long."""
+    return F.regexp_replace(F.lower(F.reverse(F.regexp_extract(F.reverse(gap), BEFORE, 1))), SPACE, " ")
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Leftmost matches as structs of start, kind (its number), end and value. A match starts where the pieces between
-    matches, and the matches so far, end."""
+    """Leftmost matches as structs of start, kind (its number), end, value, left and right (the words around it). A match
+    starts where the pieces between matches, and the matches so far, end."""
     k = F.lit(KINDS.index(kind))
 
     def placed(m):
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("n"), x.alias("value")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
-        step = lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), k.alias("kind"), (a["at"] + p["gap"] + p["n"]).alias("end"), p["value"].alias("value")))).alias("out"),
+        pieces = let(
+            F.split(text, pattern, -1),
+            lambda g: F.transform(m, lambda x, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(x).alias("n"), x.alias("value"), _left(F.get(g, i)).alias("left"), F.lower(F.regexp_extract(F.get(g, i + 1), AFTER, 1)).alias("right"))),
         )
-        return F.aggregate(pairs, zero, step, lambda a: a["out"])
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+        def step(a, p):
+            start = a["at"] + p["gap"]
+            span = F.struct(start.alias("start"), k.alias("kind"), (start + p["n"]).alias("end"), p["value"].alias("value"), p["left"].alias("left"), p["right"].alias("right"))
+            return F.struct((start + p["n"]).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(pieces, zero, step, lambda a: a["out"])
+
+    none = F.array().cast(SPANS)
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
     needed = NEEDS[kind] if pattern == STRICT[kind] else NEEDS[kind].replace("+", "")
     return F.when(text.contains(needed), found).otherwise(none) if needed else found
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The word before a place, lower-cased, with what stands between it and the place if no blank does."""
-    begin = F.greatest(F.lit(0), start - CONTEXT)
-    return F.lower(F.regexp_extract(F.substring(text, begin + 1, start - begin), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-
-
 def extracted(docs: DataFrame) -> DataFrame:
     """doc_id, tie (a hash of the text), base (valid strict spans by start and kind) and loose (candidates that overlap
-    no base span of their kind), both with the word before."""
+    no base span)."""
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digits = text.rlike("[0-9@]")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    none = F.array().cast(SPANS)
     every = F.concat(*(F.filter(_matches(text, k, STRICT[k]), _checked(k)) for k in KINDS))
     likely = F.concat(*(_matches(text, k, LOOSE[k]) for k in KINDS))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text", let(F.when(digits, F.sort_array(every)).otherwise(none), lambda b: F.struct(b.alias("base"), F.when(digits, F.filter(likely, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))).otherwise(none).alias("loose"))).alias("s"))
-    context = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], _before(text, s["start"]).alias("word")))
-    return rows.select("doc_id", "tie", context(F.col("s.base")).alias("base"), context(F.col("s.loose")).alias("loose"))
+    apart = lambda b: F.filter(likely, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    both = let(F.when(digits, F.sort_array(every)).otherwise(none), lambda b: F.struct(b.alias("base"), F.when(digits, apart(b)).otherwise(none).alias("loose")))
+    return rows.select("doc_id", F.xxhash64("text").alias("tie"), both.alias("s")).select("doc_id", "tie", "s.base", "s.loose")
+
+
+def graph(spans: DataFrame) -> DataFrame:
+    """The edges: kind, pattern ("<" and the words before, or ">" and the word after), value, n, seed (boolean)."""
 
+    def edges(col: str, seed: bool) -> DataFrame:
+        s = spans.where(F.size(col) > 0).select(F.explode(col).alias("s")).select("s.*")
+        last = F.element_at(F.split("left", " "), -1)
+        forms = F.array(F.concat(F.lit("<"), last), F.concat(F.lit("<"), F.col("left")), F.concat(F.lit(">"), F.col("right")))
+        patterns = F.array_distinct(F.filter(forms, lambda p: F.length(p) > 1))
+        return s.select("kind", "value", F.explode(patterns).alias("pattern"), F.lit(seed).alias("seed"))
 
-def pattern_scores(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """kind, value, score of the candidates' values, after rounds over the graph of patterns and instances."""
+    every = edges("base", True).unionByName(edges("loose", False))
+    return every.groupBy("kind", "pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, uses: how often each pattern's words stand in all documents (before or after anything at all)."""
+    c = F.col
+    wanted = patterns.select("pattern").distinct().withColumn("word", F.element_at(F.split(F.substring("pattern", 2, 1 << 30), " "), -1))
+    wanted = cut(wanted)
+    vocabulary = small(cut(wanted.select("word").distinct()))
+    text = words(F.lower(F.coalesce(c("text"), F.lit(""))))
+    token = docs.select(F.explode(let(text, lambda w: F.transform(w, lambda x, i: F.struct(F.get(w, i - 1).alias("before"), x.alias("own"))))).alias("t")).select("t.*")
+    # a word counts as it stands, and as what is glued to the front of a value
+    forms = F.array_distinct(F.array("own", F.regexp_extract("own", rf"^([^0-9+@]*[{GLUE}])", 1)))
+    token = token.select("before", F.explode(forms).alias("word")).where("word != ''").join(vocabulary, "word", "left_semi")
+    counted = token.groupBy("word", "before").agg(F.count(F.lit(1)).alias("n"))
+    said = F.array(F.concat(F.lit("<"), c("word")), F.concat(F.lit("<"), c("before"), F.lit(" "), c("word")), F.concat(F.lit(">"), c("word")))
+    said = counted.select(F.explode(said).alias("pattern"), "n").where("pattern is not null")
+    return said.join(small(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("uses"))
+
+
+def grown(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns, accepted) after the last generation: kind, pattern, score; and kind, value, generation. edges: those
+    of graph() with uses (null: as often as the pattern's instances stand)."""
     c = F.col
-    edge = lambda col, seed: spans.select(F.explode(col).alias("s")).select("s.kind", "s.word", "s.value", F.lit(seed).alias("seed"))
-    edges = cut(edge("base", 1).unionByName(edge("loose", 0)).where("word != ''").groupBy("kind", "word", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
-    known = edges.groupBy("kind", "word").agg(F.sum("seed").alias("seeds"), F.max(1 - c("seed")).alias("open")).where((c("seeds") >= SUPPORT) & (c("open") == 1)).select("kind", "word")
-    known = cut(known)
-    vocabulary = small(cut(known.select("word").distinct()))
-    text = F.lower(F.coalesce(c("text"), F.lit("")))
-    tokens = docs.where(c("text").rlike("[0-9@]")).select(F.explode(words(text)).alias("token"))
-    # the occurrences of a word: as a token, or glued to the front of what follows
-    tokens = tokens.select(F.explode(F.array_distinct(F.array("token", F.regexp_extract("token", r"^([^0-9+@]*[:=#(])", 1)))).alias("word")).where("word != ''")
-    uses = tokens.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    edges = cut(edges.join(small(known), ["kind", "word"], "left_semi").join(small(cut(uses)), "word", "left"))
-    scores = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(ROUNDS):
-        patterns = edges.join(scores, ["kind", "value"]).groupBy("kind", "word").agg((F.sum(c("n") * c("score")) / F.greatest(F.first("uses"), F.sum("n"))).alias("p"))
-        value = F.when(F.max("seed") == 1, 1.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.least(c("p"), F.lit(0.999))))))
-        scores = cut(edges.join(patterns, ["kind", "word"]).groupBy("kind", "value").agg(F.max("seed").alias("seed"), value.alias("score")))
-    return scores.where("seed = 0").select("kind", "value", "score")
+    edges = cut(edges.withColumn("generation", F.when(c("seed"), 0)))
+    for generation in range(1, 1 << 30):
+        known = c("generation").isNotNull()
+        score = F.sum(F.when(known, c("n")).otherwise(0)) / F.greatest(F.coalesce(F.max("uses"), F.lit(0)), F.sum("n"))
+        patterns = edges.groupBy("kind", "pattern").agg(score.alias("score"), F.sum(known.cast("int")).alias("support"))
+        patterns = cut(patterns.where((c("score") >= ACCEPT) & (c("support") >= SUPPORT)).select("kind", "pattern", "score"))
+        fresh = cut(edges.where(~known).join(small(patterns), ["kind", "pattern"], "left_semi").select("kind", "value").distinct())
+        if not fresh.count():
+            break
+        edges = edges.join(small(fresh.withColumn("_new", F.lit(generation))), ["kind", "value"], "left")
+        edges = cut(edges.withColumn("generation", F.coalesce("generation", "_new")).drop("_new"))
+    return patterns, edges.where(c("generation").isNotNull()).groupBy("kind", "value").agg(F.min("generation").alias("generation"))
+
+
+def bootstrapped(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """grown() over all documents. spans: what extracted() found in docs."""
+    edges = cut(graph(spans).withColumn("uses", F.lit(None).cast("long")))
+    hopeful, _ = grown(edges)
+    edges = edges.join(small(hopeful.select("kind", "pattern")), ["kind", "pattern"], "left_semi").drop("uses")
+    return grown(edges.join(small(cut(occurrences(docs, hopeful))), "pattern", "left"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -135,7 +183,7 @@ def find(docs: DataFrame) -> DataFrame:
     the patterns discovered."""
     c = F.col
     spans = cut(extracted(docs))
-    good = small(cut(pattern_scores(docs, spans).where(c("score") >= ACCEPT).select("kind", "value")))
+    good = small(cut(bootstrapped(docs, spans)[1].where("generation > 0").select("kind", "value")))
     bare = lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"])
     more = spans.where(F.size("loose") > 0).select("doc_id", "tie", F.explode("loose").alias("s")).select("doc_id", "tie", bare(c("s")).alias("s"), "s.kind", "s.value")
     more = more.join(good, ["kind", "value"], "left_semi").groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.collect_set("s").alias("more"))
@@ -155,8 +203,8 @@ def redact(docs: DataFrame) -> DataFrame:
     starts first. A null text stays null, n_chars (if there) is counted anew."""
     c = F.col
     found = find(docs).where(F.size("spans") > 0).select(c("doc_id").alias("_id"), c("tie").alias("_tie"), c("spans").alias("_spans")).dropDuplicates(["_id", "_tie"])
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(small(cut(found), 200_000), c("doc_id").eqNullSafe(c("_id")) & (c("_hash") == c("_tie")), "left")
+    rows = docs.select(boxed(docs), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    rows = rows.join(small(cut(found)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -165,5 +213,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
     clean = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(c("text"), a["at"] + 1, F.length(c("text")))))
-    rows = rows.withColumn("text", F.when(c("_spans").isNull(), c("text")).otherwise(clean)).drop("_hash", "_id", "_tie", "_spans")
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
+    return unboxed(rows, docs, F.when(c("_spans").isNull(), c("text")).otherwise(clean))

@@ -56,7 +56,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.held_out(F.col("doc_id"))
     model = language.fit(docs.where(~out).select("doc_id", "text", "lang"))
-    return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Strict patterns find the seed entities (emails, IP addresses, card and phone numbers); looser ones find candidates, that
 is, tokens of the same shapes that the strict ones refuse. What stands around either is a lexical pattern of its kind:
-the word before, the two words before, the word after. Patterns and instances (values) form a bipartite graph that is
+the word before, the two words before, the words on both sides. Patterns and instances (values) form a bipartite graph that is
 gone through generation by generation. A pattern's score is the share of its occurrences, over all documents, that hold
 accepted instances; with ACCEPT or more, and SUPPORT different accepted instances, it accepts all its instances, which
 support further patterns in the next generation, until none is added. At first only seeds are accepted. Each occurrence
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, boxed, cut, let, small, unboxed, words
 
-SUPPORT, ACCEPT = 3, 0.9
+SUPPORT, ACCEPT = 3, 0.8
 KINDS = ("email", "ip", "card", "phone")
 # Equal to the plain patterns of the contract: the look-behinds only skip starts inside a run that failed at its start.
 STRICT = {
@@ -122,13 +122,14 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 def graph(spans: DataFrame) -> DataFrame:
-    """The edges: kind, pattern ("<" and the words before, or ">" and the word after), value, n, seed (boolean)."""
+    """The edges: kind, pattern (one or two words before, or the word before, ">" and the word after), value, n, seed
+    (boolean)."""
 
     def edges(col: str, seed: bool) -> DataFrame:
         s = spans.where(F.size(col) > 0).select(F.explode(col).alias("s")).select("s.*")
         last = F.element_at(F.split("left", " "), -1)
-        forms = F.array(F.concat(F.lit("<"), last), F.concat(F.lit("<"), F.col("left")), F.concat(F.lit(">"), F.col("right")))
-        patterns = F.array_distinct(F.filter(forms, lambda p: F.length(p) > 1))
+        forms = F.array(last, F.col("left"), F.when(F.col("right") != "", F.concat(last, F.lit(" > "), F.col("right"))))
+        patterns = F.when(F.col("left") != "", F.array_distinct(F.filter(forms, lambda p: p.isNotNull())))
         return s.select("kind", "value", F.explode(patterns).alias("pattern"), F.lit(seed).alias("seed"))
 
     every = edges("base", True).unionByName(edges("loose", False))
@@ -136,20 +137,21 @@ def graph(spans: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, uses: how often each pattern's words stand in all documents (before or after anything at all)."""
+    """pattern, uses: how often each pattern's words stand in all documents, with anything at all as the value (for words
+    on both sides: one token)."""
     c = F.col
-    wanted = patterns.select("pattern").distinct().withColumn("word", F.element_at(F.split(F.substring("pattern", 2, 1 << 30), " "), -1))
-    wanted = cut(wanted)
-    vocabulary = small(cut(wanted.select("word").distinct()))
+    wanted = patterns.select("pattern").distinct()
+    vocabulary = small(cut(wanted.select(F.element_at(F.split(F.split_part("pattern", F.lit(" > "), F.lit(1)), " "), -1).alias("word")).distinct()))
     text = words(F.lower(F.coalesce(c("text"), F.lit(""))))
-    token = docs.select(F.explode(let(text, lambda w: F.transform(w, lambda x, i: F.struct(F.get(w, i - 1).alias("before"), x.alias("own"))))).alias("t")).select("t.*")
+    at = lambda w, i: F.get(w, i)
+    token = docs.select(F.explode(let(text, lambda w: F.transform(w, lambda x, i: F.struct(at(w, i - 1).alias("before"), x.alias("own"), at(w, i + 1).alias("next"), at(w, i + 2).alias("after"))))).alias("t")).select("t.*")
     # a word counts as it stands, and as what is glued to the front of a value
-    forms = F.array_distinct(F.array("own", F.regexp_extract("own", rf"^([^0-9+@]*[{GLUE}])", 1)))
-    token = token.select("before", F.explode(forms).alias("word")).where("word != ''").join(vocabulary, "word", "left_semi")
-    counted = token.groupBy("word", "before").agg(F.count(F.lit(1)).alias("n"))
-    said = F.array(F.concat(F.lit("<"), c("word")), F.concat(F.lit("<"), c("before"), F.lit(" "), c("word")), F.concat(F.lit(">"), c("word")))
-    said = counted.select(F.explode(said).alias("pattern"), "n").where("pattern is not null")
-    return said.join(small(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("uses"))
+    glued = F.regexp_extract("own", rf"^([^0-9+@]*[{GLUE}])", 1)
+    forms = F.array(F.struct(c("own").alias("word"), "after"), F.struct(F.when(glued != c("own"), glued).alias("word"), c("next").alias("after")))
+    token = token.select("before", F.explode(forms).alias("f")).select("before", "f.word", "f.after").where("word != ''").join(vocabulary, "word", "left_semi")
+    said = F.array(c("word"), F.concat_ws(" ", "before", "word"), F.concat_ws(" > ", "word", "after"))
+    said = token.select(F.explode(F.array_distinct(said)).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
+    return said.join(small(wanted), "pattern", "left_semi")
 
 
 def grown(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -73,6 +73,33 @@ def test_mixing(docs, empty):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mixed_words(docs, [3, 1, 2], 1.5, block=8).collect()))
 
 
+def test_shards_are_filled_from_the_plan(spark, monkeypatch):
+    """Counts by shard add up to the sources' targets, vary as drawn, and are what the shards hold."""
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    rows = [(i, " ".join(f"w{j}" for j in range(50 + i % 90)), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = dict(enumerate(len(t.split()) for _, t, _ in rows))
+    out = mixing.mixed_shards(docs, [3, 1, 2], 1.5, block=16).collect()
+    words = mixing.mixed_words(docs, [3, 1, 2], 1.5, block=16).collect()
+    taken = {}
+    for r in out:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["used"]
+        assert 0 <= r["from"] and r["from"] + r["used"] <= size[r["doc_id"]]
+    assert taken == {r["doc_id"]: r["taken"] for r in words if r["taken"]}
+    slots = {(r["shard"], r["source"], r["seat"]) for r in out}
+    by = {}
+    for shard, source, seat in slots:
+        by.setdefault(source, {}).setdefault(shard, []).append(seat)
+    shards = sorted({s for s, _, _ in slots})
+    full = [sum(len(by[k].get(s, ())) for k in by) for s in shards]
+    assert full[:-1] == [64] * (len(full) - 1) and full[-1] <= 64 and len(shards) > 10
+    assert all(sorted(seats) == list(range(len(seats))) for k in by for seats in by[k].values())
+    counts = [len(by["a"].get(s, ())) for s in shards[:-1]]
+    mean = sum(counts) / len(counts)
+    spread = sum((x - mean) ** 2 for x in counts) / len(counts)
+    assert 0.2 * 64 * 0.25 < spread < 4 * 64 * 0.25  # of the order of the binomial's variance, not 0
+
+
 def test_permutation(spark):
     rows = spark.range(37).select("id", mixing.permuted(F.col("id"), F.lit(37), F.lit(5)).alias("p"))
     back = rows.withColumn("q", mixing.permuted(F.col("p"), F.lit(37), F.lit(5), inverse=True)).collect()
@@ -146,6 +173,15 @@ def test_language(docs, empty):
     assert language.identify(docs, language.fit(empty)).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_rejects_what_no_model_knows(spark):
+    rows = [(i, " ".join(VOICE["en" if i % 2 else "de"][(i * 7 + j * (1 + i % 5)) % 12 % 10] for j in range(3 + i % 40)), "en" if i % 2 else "de") for i in range(600)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "Καλημέρα σας τι κάνετε σήμερα παιδιά μου", 1.5), (2, "the house and that with this", 2.5), (3, None, None)], "doc_id long, text string, score double")
+    got = {r["doc_id"]: r["rejected"] for r in language.identify(asked, model).collect()}
+    assert got == {1: True, 2: False, 3: True}
+    assert [tuple(r) for r in language.accepted(asked, model).collect()] == [(2, "the house and that with this", 2.5)]
+
+
 def test_language_model_is_exact(spark):
     """More n-grams than 20 bits tell apart, against models kept in dicts."""
     import numpy as np
@@ -179,10 +215,13 @@ def test_deduplication_without_unique_ids(spark):
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
 
 
-def test_jaccard_in_blocks(spark, monkeypatch):
-    """Clusters larger than a task, common shingles, and groups too large for pairs."""
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_jaccard_in_blocks(spark, monkeypatch, pivots):
+    """Clusters larger than a task, common shingles, groups too large for pairs, and few rows in a task at a time."""
     monkeypatch.setattr(jaccard, "SETS", 3)
     monkeypatch.setattr(jaccard, "GROUP", 2)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "CHUNK", 10)
     rows = []
     for i in range(30):
         w = [f"w{j}" for j in range(80)]
@@ -234,6 +273,21 @@ def test_pii_discovers_by_context(spark):
     assert got[50] == (1, 0) and got[51] == (0, 0) and all(got[i] == (1, 1) for i in range(12))
 
 
+def test_pii_in_two_generations(spark):
+    """Seeds induce a pattern, what it accepts induces the next one; words common elsewhere induce none."""
+    rows = [(i, f"note{i} contact: user{i}@mail.example.com end") for i in range(40)]
+    rows += [(100 + i, f"x{i} contact: {name}@localhost end") for i, name in enumerate(("ann", "bob", "cid", "dan"))]
+    rows += [(200 + i, f"y{i} reach {name}@localhost soon") for i, name in enumerate(("ann", "bob", "cid", "dan"))]
+    rows += [(300, "z reach eve@intranet now"), (301, "z see fay@intranet now"), (302, "the " * 500 + "end")]
+    rows += [(400 + i, f"the gus{i}@mail.example.com end") for i in range(5)] + [(500, "the hal@intranet now"), (501, None), (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["b"], r["s"]) for r in pii.find(docs).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()}
+    assert all(found[i] == (0, 1) for i in (100, 101, 102, 103, 200, 203, 300))
+    assert found[301] == found[500] == found[302] == found[501] == (0, 0) and found[5] == (1, 1)
+    generations = {r["value"]: r["generation"] for r in pii.bootstrapped(docs, pii.extracted(docs))[1].collect()}
+    assert generations["ann@localhost"] == 1 and generations["eve@intranet"] == 2 and generations["user1@mail.example.com"] == 0
+
+
 def test_nearest(spark):
     import numpy as np
 
@@ -263,6 +317,43 @@ def test_nearest_among_near_copies(spark):
     assert found == {q: list(w) for q, w in want.items()}
 
 
+CLASHING = ["score", "bits", "rejected", "skey", "tie", "_tie", "_hash", "_words", "_used", "_spans", "row", "hash", "said", "c0", "t", "key", "lang_pred"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """The documents with further columns, named as the operators name their own."""
+    return docs.drop("key", "count").withColumns({k: F.lit(f"its {k}") for k in CLASHING})
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_stages_with_clashing_columns(clashing, empty, stage):
+    import corpus_pipeline
+
+    name, function = corpus_pipeline.STAGES[stage]
+    out = function(clashing.sparkSession, clashing, None)
+    if stage < 4:
+        assert out.columns == clashing.columns
+        assert out.where(" or ".join(f"`{k}` is null or `{k}` != 'its {k}'" for k in CLASHING)).count() == 0
+    else:
+        assert out.agg(F.sum("length")).first()[0] == sum(len(brute.words(r["text"])) for r in clashing.select("text").collect())
+    none = function(empty.sparkSession, empty, None)
+    assert none.count() == 0 and (stage == 4 or none.columns == empty.columns)
+
+
+def test_pipeline(docs, tmp_path):
+    """run() over a small table: each stage's decisions show in what comes out."""
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(docs.sparkSession, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in out}
+    assert not ids & {4, 5, 6} and 1 not in ids and 2 not in ids  # no language; a copy and a near copy of 0
+    assert all(r["length"] <= r["bucket"] for r in out if r["length"])
+    seats = [(r["bucket"], r["batch"], r["seat"]) for r in out if r["length"]]
+    assert seats and len(set(seats)) == len(seats)
+
+
 def test_nothing_else_imports_this_package():
     root = Path(__file__).parents[2] / "lineupforge"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]

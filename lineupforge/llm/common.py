@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: What stands between words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes on disk (Parquet) up to which a side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

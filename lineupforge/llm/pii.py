@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, cut, let, small, unboxed, words
+from .common import SPACE, beside, boxed, cut, let, small, unboxed, words
 
 SUPPORT, ACCEPT = 3, 0.8
 KINDS = ("email", "ip", "card", "phone")
@@ -206,7 +206,7 @@ def redact(docs: DataFrame) -> DataFrame:
     c = F.col
     found = find(docs).where(F.size("spans") > 0).select(c("doc_id").alias("_id"), c("tie").alias("_tie"), c("spans").alias("_spans")).dropDuplicates(["_id", "_tie"])
     rows = docs.select(boxed(docs), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    rows = rows.join(small(cut(found)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
+    rows = rows.join(beside(cut(found)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import chat, jaccard, language, mixing, neighbours, packing, pii, quality, substrings, toxicity
 from .common import table
+from .oracles import SQL  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,3 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_packing, op4_substring_dedup, op5_chat_format, op6_language_id, op7_ngram_jaccard, op8_toxicity, op9_pii, op10_nearest)}
-SQL: dict[str, str] = {}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import cut, small
+from .common import beside, cut, small
 from .lookups import mixed, windows, word_hashes
 
 WINDOW, ANCHOR, SEGMENTS, SHARD, REFERENCE_ROWS = 35, 10, 1000, 2000, 100_000
@@ -108,7 +108,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     # the words of the open segments, each different segment once
     lists = open_.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.collect_set("start").alias("open"))
-    texts = rows.join(small(cut(lists)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")))
+    texts = rows.join(beside(cut(lists)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")))
 
     def cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -131,7 +131,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = spans.unionByName(more.select("doc_id", "tie", (c("start") + c("s.from")).alias("from"), (c("start") + c("s.to")).alias("to")))
     spans = spans.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("gone"))
     spans = spans.withColumn("gone", _joined_spans(c("gone")))
-    rows = rows.join(small(cut(spans)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
+    rows = rows.join(beside(cut(spans)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
     return rows.select("doc_id", "text", "gone").mapInPandas(_removed, REMOVED)
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens, edit_similarity
+from ..functions.text import all_tokens, edit_similarity, name_tokens, normalize_name, plain_tokens, prefix_dice, token_dice
 from .state import first_per_key
 
 
 def decide(candidates: DataFrame) -> DataFrame:
-    """local_id, slug, confidence (per mille), status, reason from rows of local_id, slug, name_score, team, dob, nat
+    """local_id, slug, confidence (per mille, rounded only here), status, reason from rows of local_id, slug, name_score, team, dob, nat
     (booleans; null is false) and, if there, no_dob: the local row has no birth date.
 
     The best candidate is matched if identity is high (birth date with half a name, club with a full name and no other
@@ -20,15 +20,65 @@ def decide(candidates: DataFrame) -> DataFrame:
     holds = lambda name: F.coalesce(c(name), F.lit(False))
     free = holds("no_dob") if "no_dob" in candidates.columns else F.lit(False)
     points = 0.55 * F.least(c("name_score"), F.lit(1.0)) + 0.25 * holds("team").cast("double") + 0.25 * holds("dob").cast("double") + 0.05 * holds("nat").cast("double")
-    scored = candidates.withColumn("confidence", F.when(c("slug").isNotNull(), F.floor(F.least(F.lit(1.0), F.coalesce(points, F.lit(0.0))) * 1000 + 0.5).cast("long")))
+    scored = candidates.withColumn("confidence", F.when(c("slug").isNotNull(), F.least(F.lit(1.0), F.coalesce(points, F.lit(0.0)))))
     w = Window.partitionBy("local_id").orderBy(F.desc("confidence"), F.desc("name_score"), "slug")
     ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).where("rn = 1")
     margin = F.when(c("next").isNull(), c("confidence")).otherwise(c("confidence") - c("next"))
-    high = (holds("dob") & (c("name_score") >= 0.45)) | (holds("team") & (c("name_score") >= 1) & (holds("dob") | free)) | (holds("team") & (c("name_score") >= 0.72) & (margin >= 150))
-    matched = F.coalesce(high & (margin >= 80), F.lit(False))
+    high = (holds("dob") & (c("name_score") >= 0.45)) | (holds("team") & (c("name_score") >= 1) & (holds("dob") | free)) | (holds("team") & (c("name_score") >= 0.72) & (margin >= 0.15))
+    matched = F.coalesce(high & (margin >= 0.08), F.lit(False))
     status = F.when(c("slug").isNull(), "not_found").when(matched, "matched").otherwise("manual_review")
-    reason = F.when(c("slug").isNull(), "no_candidates").when(matched, "enough_evidence").when(~holds("team"), "club_differs_or_unknown").when(margin < 80, "ambiguous_candidates").otherwise("weak_identity")
-    return ranked.select("local_id", "slug", "confidence", status.alias("status"), reason.alias("reason"))
+    reason = F.when(c("slug").isNull(), "no_candidates").when(matched, "enough_evidence").when(~holds("team"), "club_differs_or_unknown").when(margin < 0.08, "ambiguous_candidates").otherwise("weak_identity")
+    return ranked.select("local_id", "slug", F.floor(c("confidence") * 1000 + 0.5).alias("confidence"), status.alias("status"), reason.alias("reason"))
+
+
+# Clubs by the names under which they go, asked in this order.
+CLUBS = {
+    "alaves": ["alaves", "deportivo alaves"], "athletic-bilbao": ["athletic bilbao", "athletic club", "athletic"],
+    "atletico-madrid": ["atletico madrid", "atletico de madrid"], "barcelona": ["barcelona", "fc barcelona"],
+    "betis": ["real betis", "betis"], "celta-vigo": ["celta vigo", "real club celta"],
+    "deportivo": ["deportivo coruna", "deportivo la coruna"], "espanyol": ["espanyol", "rcd espanyol"], "getafe": ["getafe"],
+    "girona": ["girona"], "las-palmas": ["las palmas", "union deportiva las palmas"], "levante": ["levante"],
+    "mallorca": ["mallorca", "real mallorca"], "osasuna": ["osasuna"], "rayo-vallecano": ["rayo vallecano"],
+    "real-madrid": ["real madrid"], "real-sociedad": ["real sociedad"], "sevilla": ["sevilla"], "valencia": ["valencia"],
+    "villarreal": ["villarreal"],
+}
+
+
+def club_key(name: Column) -> Column:
+    """The club that a name speaks of, or null."""
+    bare = normalize_name(F.coalesce(name, F.lit("")))
+    said = [F.when(F.exists(F.array(*map(F.lit, names)), lambda n: bare.contains(n)), F.lit(key)) for key, names in CLUBS.items()]
+    return F.coalesce(*said)
+
+
+def same_club(local: Column, remote: Column) -> Column:
+    """Whether two club names mean one club: by their keys where both have one, else by two common words (or the only one)."""
+    x, y = F.array_distinct(plain_tokens(local)), F.array_distinct(plain_tokens(remote))
+    shared = F.size(F.array_intersect(x, y))
+    return F.coalesce(club_key(local) == club_key(remote), (shared > 0) & (shared >= F.least(F.lit(2), F.size(x))))
+
+
+def name_score(local: Column, display: Column, full: Column) -> Column:
+    """1 if a name is the display name or the full name, else the best of Dice and prefix Dice with either."""
+    own = normalize_name(F.coalesce(local, F.lit("")))
+    same = lambda c: (own != "") & (own == normalize_name(F.coalesce(c, F.lit(""))))
+    x = name_tokens(local)
+    near = [f(x, name_tokens(c)) for f in (token_dice, prefix_dice) for c in (display, full)]
+    return F.when(same(display) | same(full), 1.0).otherwise(F.greatest(*near))
+
+
+def evidence(local: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What decide() asks for. local: local_id, name, team, born, nationality; candidates: local_id, slug, display, first,
+    last, club, club_slug, born, nationality. A local row without candidates has one row without a slug."""
+    c = F.col
+    theirs = candidates.select("local_id", "slug", "display", F.trim(F.concat_ws(" ", "first", "last")).alias("full"), F.concat_ws(" ", "club", "club_slug").alias("club"), c("born").alias("their_born"), c("nationality").alias("their_nation"))
+    both = local.join(theirs, "local_id", "left")
+    day = lambda x: F.substring(x.cast("string"), 1, 10)
+    nation = lambda x: F.nullif(normalize_name(x), F.lit(""))
+    return both.select(
+        "local_id", "slug", name_score(c("name"), c("display"), c("full")).alias("name_score"), same_club(c("team"), c("club")).alias("team"),
+        (day(c("born")) == day(c("their_born"))).alias("dob"), (nation(c("nationality")) == nation(c("their_nation"))).alias("nat"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"),
+    )
 
 
 def probe(candidates: DataFrame) -> DataFrame:

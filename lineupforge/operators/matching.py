@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, normalize_name, significant_tokens
 
-# Nicknames by first name, and particles of last names.
+# Full first names by nickname, those of the smaller table, particles of last names, names of rules.
 NICKNAMES = {
-    "alejandro": ["alex"], "javier": ["javi"], "fernando": ["fer", "nando"], "facundo": ["facu"], "rodrigo": ["roro"],
-    "ruben": ["rubo"], "youssef": ["yusi"], "jose": ["pepe"], "francisco": ["paco", "francis", "kiko"],
-    "antonio": ["toni"], "rafael": ["rafa"], "manuel": ["manu"], "jesus": ["chus"], "daniel": ["dani"],
-    "enrique": ["kike", "quique"], "cristian": ["cuti"], "nicolas": ["nico"], "julian": ["julen"],
-    "santiago": ["yago", "iago"], "pedro": ["peio"], "luis": ["luismi", "luiz"], "john": ["johnny"],
-    "roberto": ["robert", "rober"],
+    "alex": "alejandro", "javi": "javier", "fer": "fernando", "nando": "fernando", "facu": "facundo", "roro": "rodrigo",
+    "rubo": "ruben", "yusi": "youssef", "pepe": "jose", "paco": "francisco", "francis": "francisco", "kiko": "francisco",
+    "toni": "antonio", "rafa": "rafael", "manu": "manuel", "chus": "jesus", "dani": "daniel", "kike": "enrique",
+    "quique": "enrique", "cuti": "cristian", "nico": "nicolas", "julen": "julian", "yago": "santiago", "iago": "santiago",
+    "peio": "pedro", "luismi": "luis", "luiz": "luis", "johnny": "john", "robert": "roberto", "rober": "roberto",
 }
+FEWER_NICKNAMES = {
+    "alex": "alejandro", "javi": "javier", "fer": "fernando", "nando": "fernando", "facu": "facundo", "roro": "rodrigo",
+    "rubo": "ruben", "yusi": "youssef", "pepe": "jose", "paco": "francisco", "toni": "antonio", "rafa": "rafael",
+    "rafaelo": "rafael", "manu": "manuel", "chus": "jesus",
+}
+ALIAS, UNIQUE, SUBSET_INVERSE, SUBSET_CANON = "first-name-alias-same-lastname", "last-name-unique", "subset-inverse", "subset-canon"
 PARTICLES = ["de", "del", "la", "las", "los", "y", "san", "santa"]
 
 
-def first_name(c: Column) -> Column:
+def first_name(c: Column, nicknames: dict[str, str] = NICKNAMES) -> Column:
     """The full form of a normalised first name."""
-    names = F.create_map(*(F.lit(x) for full, short in NICKNAMES.items() for s in short for x in (s, full)))
+    names = F.create_map(*(F.lit(x) for pair in nicknames.items() for x in pair))
     return F.coalesce(F.try_element_at(names, c), c)
 
 
@@ -69,12 +74,12 @@ def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.
     rule_e = subset(canon, inc) & F.coalesce(F.array_contains(inc, last(canon)), F.lit(False)) & (m <= n)
     strong = (
         F.when((F.col("norm") == F.col("cnorm")) & (F.col("norm") != ""), F.struct(F.lit(0).alias("p"), F.lit(1.0).alias("c"), F.lit("exact").alias("r")))
-        .when((a >= 2) & (m >= 2) & (last(inc) == last(canon)) & same_first_name(first(tokens), first(canon)) & F.lit(min_confidence <= 0.95), F.struct(F.lit(1).alias("p"), F.lit(0.95).alias("c"), F.lit("last-and-first-name").alias("r")))
-        .when((size >= 2) & (size < m) & (n >= size) & (tail(inc, size) == tail(canon, size)) & F.lit(min_confidence <= 0.9), F.struct(F.lit(2).alias("p"), F.lit(0.9).alias("c"), F.lit("compound-last-name").alias("r")))
+        .when((a >= 2) & (m >= 2) & (last(inc) == last(canon)) & same_first_name(first(tokens), first(canon)) & F.lit(min_confidence <= 0.95), F.struct(F.lit(1).alias("p"), F.lit(0.95).alias("c"), F.lit(ALIAS).alias("r")))
+        .when((size >= 2) & (size < m) & (n >= size) & (tail(inc, size) == tail(canon, size)) & F.lit(min_confidence <= 0.9), F.struct(F.lit(2).alias("p"), F.lit(0.9).alias("c"), F.lit(ALIAS).alias("r")))
     )
-    weak = F.when(rule_d & (ratio >= min_confidence) & (~rule_e | (ratio >= 0.85)), F.struct(ratio.alias("c"), F.lit("subset").alias("r"))).when(rule_e & F.lit(min_confidence <= 0.85), F.struct(F.lit(0.85).alias("c"), F.lit("superset").alias("r")))
+    weak = F.when(rule_d & (ratio >= min_confidence) & (~rule_e | (ratio >= 0.85)), F.struct(ratio.alias("c"), F.lit(SUBSET_INVERSE).alias("r"))).when(rule_e & F.lit(min_confidence <= 0.85), F.struct(F.lit(0.85).alias("c"), F.lit(SUBSET_CANON).alias("r")))
     pairs = pairs.select("team", "case_id", "ord", "player", "lone_hit", strong.alias("strong"), weak.alias("weak")).where("lone_hit or strong is not null or weak is not null")
-    unique = F.struct("player", F.lit(0.85).alias("confidence"), F.lit("last-name-unique").alias("rule"))
+    unique = F.struct("player", F.lit(0.85).alias("confidence"), F.lit(UNIQUE).alias("rule"))
     by_strong = F.struct("player", F.col("strong.c").alias("confidence"), F.col("strong.r").alias("rule"))
     by_weak = F.struct("player", F.col("weak.c").alias("confidence"), F.col("weak.r").alias("rule"))
     best = pairs.groupBy("team", "case_id").agg(
@@ -98,9 +103,9 @@ def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: flo
     inc, canon, n, m = F.col("inc"), F.col("canon"), F.size("inc"), F.size("canon")
     rule = lambda c, r: F.struct(c.alias("c"), F.lit(r).alias("r"))
     last = lambda t: F.try_element_at(t, F.lit(-1))
-    alias = F.when(same_first_name(F.get(inc, 0), F.get(canon, 0)), rule(F.lit(0.95), "last-and-first-name"))
-    lone = F.when(last(canon) == F.get(inc, 0), rule(F.lit(0.85), "last-name-unique"))
-    subset = F.when(F.size(F.array_except(inc, canon)) == 0, rule(0.7 + 0.2 * n / m, "subset"))
+    alias = F.when(same_first_name(F.get(inc, 0), F.get(canon, 0)), rule(F.lit(0.95), ALIAS))
+    lone = F.when(last(canon) == F.get(inc, 0), rule(F.lit(0.85), UNIQUE))
+    subset = F.when(F.size(F.array_except(inc, canon)) == 0, rule(0.7 + 0.2 * n / m, SUBSET_INVERSE))
     found = (
         F.when(F.col("norm") == F.col("cnorm"), rule(F.lit(1.0), "exact"))
         .when((n == 1) & (m >= 2), lone)
@@ -118,8 +123,9 @@ def same_player(a: Column, b: Column) -> Column:
     lone, longer = F.when(F.size(x) == 1, F.get(x, 0)).when(F.size(y) == 1, F.get(y, 0)), F.when(F.size(x) == 1, y).otherwise(x)
     both = (F.size(x) >= 2) & (F.size(y) >= 2)
     last = F.try_element_at(x, F.lit(-1)) == F.try_element_at(y, F.lit(-1))
-    first = first_name(F.get(F.split(na, " "), 0)) == first_name(F.get(F.split(nb, " "), 0))
-    single = (F.size(longer) >= 2) & (first_name(lone) == first_name(F.get(longer, 0)))
+    full = lambda c: first_name(c, FEWER_NICKNAMES)
+    first = full(F.get(F.split(na, " "), 0)) == full(F.get(F.split(nb, " "), 0))
+    single = (F.size(longer) >= 2) & (full(lone) == full(F.get(longer, 0)))
     subset = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
     return F.coalesce((na != "") & (nb != "") & ((na == nb) | (both & ((last & first) | subset)) | (~both & single)), F.lit(False))
 
@@ -142,13 +148,13 @@ def duplicate_links(players: DataFrame, key: Column) -> DataFrame:
     return players.withColumn("k", key).where("k is not null").select("team", first.alias("a"), F.col("ord").alias("b")).where("a < b")
 
 
-def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def clusters(pairs: DataFrame) -> DataFrame:
     """node, leader (the smallest reachable) of links a, b: the minimum over neighbours, then the leader's leader, until
-    nothing changes. Rounds are checkpointed where the session names a folder for it."""
+    nothing changes, however many rounds that takes. Rounds are checkpointed where the session names a folder for it."""
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
     labels = keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), F.col("l").alias("leader")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("leader").alias("m"))
         hop = labels.select(F.col("node").alias("leader"), F.col("leader").alias("up"))
         new = labels.join(hop, "leader").join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("leader", "up", "m").alias("new"), "leader")
@@ -156,5 +162,4 @@ def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         done = new.where("new < leader").isEmpty()
         labels = new.select("node", F.col("new").alias("leader"))
         if done:
-            break
-    return labels
+            return labels

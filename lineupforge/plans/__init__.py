@@ -3,6 +3,7 @@
 from .feeds import QUERIES as FEEDS, SQL as FEEDS_SQL
 from .names import QUERIES as NAMES, SQL as NAMES_SQL
 from .relational import QUERIES as RELATIONAL, SQL as RELATIONAL_SQL
+from .upkeep import QUERIES as UPKEEP, SQL as UPKEEP_SQL
 
-QUERIES = FEEDS | NAMES | RELATIONAL
-SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL
+QUERIES = FEEDS | NAMES | RELATIONAL | UPKEEP
+SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL | UPKEEP_SQL

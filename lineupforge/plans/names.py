@@ -73,7 +73,7 @@ roster AS (SELECT p_brand AS team, p_partkey AS ord, p_name AS name, string_spli
 lone AS (SELECT c.team, c.case_id, count(r.ord) AS hits, min(r.ord) AS player FROM cases c LEFT JOIN roster r ON r.team = c.team AND r.l = c.raw WHERE c.lone GROUP BY 1, 2),
 single AS (SELECT c.team, c.case_id, min(CASE WHEN r.f = c.raw THEN r.ord END) AS player FROM cases c JOIN roster r ON r.team = c.team JOIN lone o ON o.case_id = c.case_id AND o.hits = 0 WHERE c.lone GROUP BY 1, 2),
 full_ AS (SELECT c.team, c.case_id, min(CASE WHEN r.name = c.raw THEN r.ord END) AS player FROM cases c JOIN roster r ON r.team = c.team WHERE NOT c.lone GROUP BY 1, 2),
-found AS (SELECT team, case_id, player, 'last-name-unique' AS rule, 850 AS confidence FROM lone WHERE hits = 1 UNION ALL SELECT team, case_id, player, 'subset', 800 FROM single WHERE player IS NOT NULL
+found AS (SELECT team, case_id, player, 'last-name-unique' AS rule, 850 AS confidence FROM lone WHERE hits = 1 UNION ALL SELECT team, case_id, player, 'subset-inverse', 800 FROM single WHERE player IS NOT NULL
 UNION ALL SELECT team, case_id, player, 'exact', 1000 FROM full_ WHERE player IS NOT NULL) """
 
 
@@ -107,9 +107,9 @@ def duplicate_clusters(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT l_partkey AS local_id, 's' || l_suppkey AS slug, max(l_quantity) / 50.0 AS name_score, max(l_linenumber) % 2 = 0 AS team, max(l_suppkey) % 3 = 0 AS dob, max(l_suppkey) % 5 = 0 AS nat FROM lineitem GROUP BY 1, 2),
-s AS (SELECT *, CAST(floor(least(1.0, 0.55::DOUBLE * least(name_score, 1.0) + 0.25::DOUBLE * team::INT + 0.25::DOUBLE * dob::INT + 0.05::DOUBLE * nat::INT) * 1000 + 0.5) AS BIGINT) AS confidence FROM c),
+s AS (SELECT *, least(1.0, 0.55::DOUBLE * least(name_score, 1.0) + 0.25::DOUBLE * team::INT + 0.25::DOUBLE * dob::INT + 0.05::DOUBLE * nat::INT) AS confidence FROM c),
 r AS (SELECT *, row_number() OVER w AS rn, lead(confidence) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY local_id ORDER BY confidence DESC, name_score DESC, slug))
-SELECT local_id, slug, confidence, CASE WHEN ((dob AND name_score >= 0.45) OR (team AND name_score >= 1 AND dob) OR (team AND name_score >= 0.72 AND confidence - coalesce(nxt, 0) >= 150)) AND confidence - coalesce(nxt, 0) >= 80
+SELECT local_id, slug, CAST(floor(confidence * 1000 + 0.5) AS BIGINT) AS confidence, CASE WHEN ((dob AND name_score >= 0.45) OR (team AND name_score >= 1 AND dob) OR (team AND name_score >= 0.72 AND confidence - coalesce(nxt, 0) >= 0.15::DOUBLE)) AND confidence - coalesce(nxt, 0) >= 0.08::DOUBLE
 THEN 'matched' ELSE 'manual_review' END AS status FROM r WHERE rn = 1""")
 def identity_decision(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")

@@ -171,12 +171,17 @@ def team_nav(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", F.lag("n_name").over(w).alias("previous"), F.lead("n_name").over(w).alias("next"))
 
 
-@query("""SELECT l_orderkey, avg(l_quantity) AS average, max(l_quantity) AS latest, CAST(count(*) AS INTEGER) AS records FROM (SELECT * FROM lineitem WHERE l_linenumber <= 5) GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, list_avg(s) AS average, s[1] AS latest, CAST(len(s) AS INTEGER) AS records, s[1] AS s1, s[2] AS s2, s[3] AS s3, s[4] AS s4, s[5] AS s5
+FROM (SELECT l_orderkey, list(CAST(l_quantity AS DOUBLE) ORDER BY l_linenumber, l_quantity) AS s FROM lineitem WHERE l_linenumber <= 5 GROUP BY l_orderkey)""")
 def score_slots(spark, sf_dir):
-    """Mean, best and number of up to five scores."""
-    scores = _t(spark, sf_dir, "lineitem").where("l_linenumber <= 5").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity"), asc=False).alias("s"))
+    """Mean, first, number and five slots (null where missing) of the last five scores, the latest first; what is no
+    finite number doesn't count."""
+    finite = (~F.isnan("l_quantity")) & (F.abs("l_quantity") != float("inf"))
+    last = _t(spark, sf_dir, "lineitem").where("l_linenumber <= 5").where(finite).select("l_orderkey", F.struct("l_linenumber", C("l_quantity").cast("double").alias("q")).alias("x"))
+    scores = last.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x"))["q"].alias("s"))
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
-    return scores.select("l_orderkey", mean.alias("average"), F.try_element_at("s", F.lit(1)).alias("latest"), F.size("s").alias("records"))
+    slots = [F.try_element_at("s", F.lit(i)).alias(f"s{i}") for i in range(1, 6)]
+    return scores.select("l_orderkey", mean.alias("average"), F.try_element_at("s", F.lit(1)).alias("latest"), F.size("s").alias("records"), *slots)
 
 
 @query("""SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT 0 WHERE false""")

@@ -63,7 +63,7 @@ def test_near_misses(spark):
     cases = spark.createDataFrame([("t", 1, "Álex Grimaldo"), ("t", 2, "Lionel Messi"), ("t", 3, "Grimaldo"), ("t", 4, "Alejandro"), ("t", 5, None)], "team string, case_id int, raw string")
     players = spark.createDataFrame([("t", 0, 0, "Alejandro Grimaldo")], "team string, ord int, player int, name string")
     got = rows(matching.near_misses(cases, players).select("case_id", "confidence", "rule"))
-    assert got == [(1, 0.95, "last-and-first-name"), (3, 0.85, "last-name-unique")]
+    assert got == [(1, 0.95, "first-name-alias-same-lastname"), (3, 0.85, "last-name-unique")]
     assert rows(matching.near_misses(cases, players, 0.55, 0.85).select("case_id")) == [(3,)]
 
 

@@ -184,10 +184,10 @@ def score_slots(spark, sf_dir):
     return scores.select("l_orderkey", mean.alias("average"), F.try_element_at("s", F.lit(1)).alias("latest"), F.size("s").alias("records"), *slots)
 
 
-@query("""SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT 0 WHERE false""")
+@query("""SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 7""")
 def set_difference(spark, sf_dir):
     s, li = _t(spark, sf_dir, "supplier", "lineitem")
-    return s.select("s_suppkey").distinct().join(li.where("l_quantity > 49"), C("s_suppkey") == C("l_suppkey"), "left_anti")
+    return s.select("s_suppkey").distinct().join(li.where("l_quantity > 49 and l_linenumber = 7"), C("s_suppkey") == C("l_suppkey"), "left_anti")
 
 
 @query("""SELECT c_custkey, '"' || replace(c_name, '"', '""') || ',x"' AS cell, c_custkey // 1000000 AS span,

@@ -34,15 +34,20 @@ def club_keys(spark, sf_dir):
 
 
 KNOWN_AS = ["Mbappé", "V. Jr", "Lookman", "Pedri", "Nobody Known", "P. E. Aubameyang"]
+OTHERS = ["mbappe!", "Vinicius", "A. Lookman", "Gavi", "Somebody Else", "Pierre Emerick"]
 
 
-@query("""SELECT n_nationkey, [{0}][n_nationkey % 6 + 1] AS raw, ['Kylian Mbappé', 'Vinícius Júnior', 'Ademola Lookman', 'Pedro González', 'Nobody Known', 'Pierre-Emerick Aubameyang'][n_nationkey % 6 + 1] AS name,
-n_nationkey % 6 <> 4 AS alias FROM nation""".format(", ".join(f"'{x}'" for x in KNOWN_AS)))
+def _sql(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in names) + "][n_nationkey % 6 + 1]"
+
+
+@query(f"""SELECT n_nationkey, {_sql(KNOWN_AS)} AS raw, {_sql(['Kylian Mbappé', 'Vinícius Júnior', 'Ademola Lookman', 'Pedro González', 'Nobody Known', 'Pierre-Emerick Aubameyang'])} AS name,
+n_nationkey % 6 NOT IN (3, 4) AS alias FROM nation""")
 def canonical_names(spark, sf_dir):
-    """Names known by another to the full name, and whether both are one player's."""
-    raw = F.element_at(F.array(*map(F.lit, KNOWN_AS)), (C("n_nationkey") % 6 + 1).cast("int"))
-    rows = _t(spark, sf_dir, "nation")[0].select("n_nationkey", raw.alias("raw")).withColumn("name", T.canonical_name(C("raw")))
-    return rows.withColumn("alias", T.is_canonical_alias(C("raw"), F.when(C("raw") == C("name"), "Somebody Else").otherwise(C("name"))))
+    """Names known by another to the full name, and whether two names are one player's."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (C("n_nationkey") % 6 + 1).cast("int"))
+    raw = pick(KNOWN_AS)
+    return _t(spark, sf_dir, "nation")[0].select("n_nationkey", raw.alias("raw"), T.canonical_name(raw).alias("name"), T.is_canonical_alias(raw, pick(OTHERS)).alias("alias"))
 
 
 LONG = "{0} || ' de ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' Jr' ELSE '' END"
@@ -167,7 +172,7 @@ def players_by_team(spark, sf_dir):
     return rows.select(C("n_name").alias("team"), F.coalesce(F.array_join(C("x").cast("array<string>"), ","), F.lit("")).alias("players"))
 
 
-@query("SELECT count(*) AS players, sum(c_custkey % 100) AS total FROM customer")
+@query("SELECT count(*) AS players, CAST(sum(c_custkey % 100) AS BIGINT) AS total FROM customer")
 def grand_total(spark, sf_dir):
     return _t(spark, sf_dir, "customer")[0].agg(F.count(F.lit(1)).alias("players"), F.sum(C("c_custkey") % 100).alias("total"))
 
@@ -210,11 +215,11 @@ def probed_slugs(spark, sf_dir):
     return found.select("p_partkey", F.array_join("x", ",").alias("found"))
 
 
-@query("""SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AND c_acctbal > 9000""")
+@query("""SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AND c_acctbal > 9000""")
 def club_unresolved(spark, sf_dir):
     """Candidates of the same club for players who aren't resolved yet."""
     customer, supplier, orders = _t(spark, sf_dir, "customer", "supplier", "orders")
-    open_ = customer.where("c_acctbal > 9000").join(orders.where("o_totalprice > 100000").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    open_ = customer.where("c_acctbal > 9000").join(orders.where("o_totalprice > 400000").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     return open_.join(supplier, C("c_nationkey") == C("s_nationkey")).select("c_custkey", "s_suppkey")
 
 

@@ -167,3 +167,40 @@ def test_requests_and_details(spark):
     text = '[{"source":"a","probability":40},{"source":"b","probability":90.5,"forecast_type":"confirmed","fetched_at":"t"},{"source":"c","probability":"80"},{"source":1,"probability":3},{"source":"d","probability":5,"forecast_type":"x"},7]'
     assert [tuple(e) for e in one(spark, T.detail_entries(F.lit(text)))] == [("b", 90.5, "t", "confirmed"), ("a", 40.0, "", "probable")]
     assert one(spark, T.detail_entries(F.lit('{"a":1}'))) == [] and one(spark, T.detail_entries(F.lit("no json"))) == [] and one(spark, T.detail_entries(F.lit(None).cast("string"))) == []
+
+
+def test_roster_rules(spark):
+    """Names of three and more tokens, each by its rule."""
+    players = ["Alejandro Grimaldo", "Iñigo Ruiz de Galarreta", "Pablo Martín Páez Gavira", "Nico Williams", "Iñaki Williams", "Yeray Álvarez"]
+    roster_ = spark.createDataFrame([("t", i, i, n) for i, n in enumerate(players)], "team string, ord int, player int, name string")
+    asked = ["Álex Grimaldo", "Ruiz de Galarreta", "Pablo Páez", "N. Williams", "Williams", "Yeray Álvarez López", "Grimaldo", "Otro Williams"]
+    cases = spark.createDataFrame([("t", i, n) for i, n in enumerate(asked)], "team string, case_id int, raw string")
+    got = {r["case_id"]: (r["player"], round(r["confidence"], 3), r["rule"]) for r in matching.match_roster(cases, roster_).collect()}
+    alias = "first-name-alias-same-lastname"
+    assert got == {0: (0, 0.95, alias), 1: (1, 0.9, alias), 2: (2, 0.8, "subset-inverse"), 3: (3, 0.95, alias), 5: (5, 0.85, "subset-canon"), 6: (0, 0.85, "last-name-unique")}
+
+
+def test_one_player_by_the_smaller_table(spark):
+    same = lambda a, b: one(spark, matching.same_player(F.lit(a), F.lit(b)))
+    assert same("Javi Puado", "Javier Puado") and not same("Dani Parejo", "Daniel Parejo") and same("Yusi", "Youssef Enríquez")
+
+
+def test_names_and_clubs(spark):
+    score = lambda a, b, c: round(one(spark, identity.name_score(F.lit(a), F.lit(b), F.lit(c))), 4)
+    assert score("Vinícius Jr.", "Vinicius Jr", "") == 1.0 and score("Ana de la Vega", "Ana Vega", "") == 1.0
+    assert score("Ana Gil Jr", "Ana Sol", "Ana Maria Sol") == 0.5 and score("", "", "") == 0.0
+    club = lambda a, b: one(spark, identity.same_club(F.lit(a), F.lit(b)))
+    assert club("Atlético de Madrid", "Club Atletico Madrid atletico-madrid-madrid") and not club("Real Madrid", "Real Sociedad") and club("Elche CF", "Elche elche-elche") and not club("Elche", None)
+    assert one(spark, T.canonical_name(F.lit(" Mbappé "))) == "Kylian Mbappé" and one(spark, T.canonical_name(F.lit(" Ana "))) == "Ana"
+    assert one(spark, T.more_complete(F.lit("Ana"), F.lit("Ana Gil"))) == "Ana Gil"
+    assert [one(spark, T.is_abbreviated(F.lit(x))) for x in ("P. Gil", "Ana Gil", "Ana Gil Jr", "Al Gil", None)] == [True, False, True, True, False]
+
+
+def test_evidence_decides_in_doubles(spark):
+    local = spark.createDataFrame([(1, "Ana Gil", "Getafe", "2000-01-02", "ES"), (2, "Bea Sol", "Girona", None, None), (3, "Nobody", "Girona", None, None)], "local_id int, name string, team string, born string, nationality string")
+    theirs = "local_id int, slug string, display string, first string, last string, club string, club_slug string, born string, nationality string"
+    candidates = spark.createDataFrame([(1, "ana-gil", "Ana Gil", "Ana", "Gil", "Getafe CF", "getafe", "2000-01-02T00:00", "es"), (1, "ana-x", "Ana", "Ana", "X", "Sevilla", "sevilla", None, None), (2, "bea", "Bea Sol", "Bea", "Sol", "Levante UD", "levante", None, None)], theirs)
+    got = {r["local_id"]: (r["slug"], r["status"], r["reason"]) for r in identity.decide(identity.evidence(local, candidates)).collect()}
+    assert got == {1: ("ana-gil", "matched", "enough_evidence"), 2: ("bea", "manual_review", "club_differs_or_unknown"), 3: (None, "not_found", "no_candidates")}
+    near = spark.createDataFrame([(1, "a", 1.0, True, False, False, True), (1, "b", (0.8 - 0.0796 - 0.25) / 0.55, True, False, False, True)], "local_id int, slug string, name_score double, team boolean, dob boolean, nat boolean, no_dob boolean")
+    assert identity.decide(near).first()["status"] == "manual_review"  # a margin of 0.0796 is less than 0.08

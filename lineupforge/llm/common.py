@@ -80,10 +80,10 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
-def beside(df: DataFrame) -> DataFrame:
+def beside(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """small() for a table that is joined to whole texts: beyond the size it is hashed by partition, so that the texts
     needn't be sorted. It has a row or two for each text at most, so a partition of it is small beside that of the texts."""
-    hinted = small(df)
+    hinted = small(df, most)
     return hinted if hinted is not df else df.hint("shuffle_hash")
 
 

@@ -102,13 +102,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     flat = runs.select("doc_id", "tie", F.explode(F.arrays_zip("start", "count", "anchor", "segment")).alias("r")).select("doc_id", "tie", "r.*")
     shared = flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), (F.min("segment") != F.max("segment")).alias("mixed"))
     shared = cut(shared.where("times > 1").select("anchor", "mixed"))
-    found = cut(flat.join(small(shared), "anchor"))
+    found = cut(flat.join(shared.hint("merge"), "anchor"))
     sure = found.where("not mixed").select("doc_id", "tie", "start", "count")
     open_ = found.where("mixed")
 
     # the words of the open segments, each different segment once
     lists = open_.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.collect_set("start").alias("open"))
-    texts = rows.join(beside(cut(lists)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")))
+    texts = rows.join(beside(cut(lists), 0), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")))
 
     def cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -131,7 +131,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = spans.unionByName(more.select("doc_id", "tie", (c("start") + c("s.from")).alias("from"), (c("start") + c("s.to")).alias("to")))
     spans = spans.groupBy(c("doc_id").alias("_id"), c("tie").alias("_tie")).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("gone"))
     spans = spans.withColumn("gone", _joined_spans(c("gone")))
-    rows = rows.join(beside(cut(spans)), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
+    rows = rows.join(beside(cut(spans), 0), c("doc_id").eqNullSafe(c("_id")) & (c("tie") == c("_tie")), "left")
     return rows.select("doc_id", "text", "gone").mapInPandas(_removed, REMOVED)
 
 

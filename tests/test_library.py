@@ -121,5 +121,5 @@ def test_markup_of_names(spark):
     bare = lambda x: one(spark, html._bare(F.lit(x)))
     assert bare("[[Ana María Gil|Ana]] {{nota|y}}&nbsp;(cap.)") == "Ana María Gil" and bare(":en:Bea Sol <br>&amp; Co|") == "Bea Sol & Co"
     assert bare("Eva Mar archivo:foto.png") == "Eva Mar" and bare("'''Ana''' Gil<small>2</small>") == "Ana Gil2" and bare("[[Ana") == "[[Ana"
-    assert one(spark, html.decoded(F.lit("España".encode("windows-1252")), F.lit("Windows-1252"))) == "España"
+    assert one(spark, html.decoded(F.lit("España – 5 €".encode("windows-1252")), F.lit("Windows-1252"))) == "España – 5 €"
     assert one(spark, html.decoded(F.lit("España".encode()), F.lit(None).cast("string"))) == "España"

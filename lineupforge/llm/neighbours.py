@@ -6,8 +6,9 @@ since it is this that changes the score of a query that the vector matches. A sc
 and query; the best of each block, and all that the error of their codes lets be nearer than the k-th of these, are
 reranked by the exact cosine in double precision, so large groups of near copies with equal codes lose none.
 
-The codebooks are fitted on at most SAMPLE vectors; every vector is coded and scanned. Queries go in blocks of at most
-QUERIES, each broadcast (a bounded size) to a scan of all rows; of each scanned block only a query's best few remain.
+The codebooks are fitted on at most SAMPLE vectors; every vector is coded, once, and written beside its code of two parts
+a byte. Queries go in blocks of at most QUERIES, each broadcast (a bounded size) to a scan of all codes; of each scanned
+block only a query's best few remain. There is no coarse partition, so nothing is lost to one.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components take
 no part; equal cosines are ordered by the smaller vec_id; a query is no candidate for itself, that is, for any row of
@@ -84,6 +85,16 @@ def fit(unit: np.ndarray, rounds: int = 8, seed: int = 1) -> Codebooks:
     return book
 
 
+def packed(code: np.ndarray) -> np.ndarray:
+    """Codes of four bits, two a byte."""
+    code = np.pad(code, ((0, 0), (0, code.shape[1] % 2)))
+    return code[:, ::2] | code[:, 1::2] << 4
+
+
+def unpacked(two: np.ndarray, parts: int) -> np.ndarray:
+    return np.stack([two & 15, two >> 4], 2).reshape(len(two), -1)[:, :parts]
+
+
 def usable(embedding: Column) -> Column:
     """Whether a vector takes part: no null or non-finite component and not zero."""
     fine = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -127,6 +138,22 @@ def _best(rough: np.ndarray, unit: np.ndarray, error: np.ndarray, own: np.ndarra
     return np.concatenate(who), np.concatenate(row), np.concatenate(score)
 
 
+def coded(rows: DataFrame, book: Codebooks) -> DataFrame:
+    """vec_id, embedding, code, error of every row: coded once and written, so that scans only read."""
+    shared = rows.sparkSession.sparkContext.broadcast(book)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), BLOCK):
+                some = part.iloc[at : at + BLOCK]
+                _, unit = _unit(some["embedding"])
+                code = shared.value.encode(unit)
+                yield some.assign(code=[c.tobytes() for c in packed(code)], error=shared.value.error(unit, code))
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return cut(rows.mapInPandas(run, f"vec_id long, embedding {kind}, code binary, error double"))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query among all other rows."""
     spark = vectors.sparkSession
@@ -139,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERAN
     rows = rows.where(F.size("embedding") == length["n"])
     learn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).select("embedding").toPandas()
     book = fit(_unit(learn["embedding"])[1])
-    shared_book = spark.sparkContext.broadcast(book)
+    codes = coded(rows.where("vec_id is not null").select("vec_id", "embedding"), book)
     queries = cut(rows.where("is_query and vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     blocks = max(1, -(-queries.count() // QUERIES))
     queries = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks))) if blocks > 1 else queries.withColumn("_b", F.lit(0))
@@ -160,15 +187,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERAN
                     some = part.iloc[at : at + BLOCK]
                     own = some["vec_id"].to_numpy()
                     _, unit = _unit(some["embedding"])
-                    codes = shared_book.value.encode(unit)
-                    error = shared_book.value.error(unit, codes)
+                    codes = unpacked(np.frombuffer(b"".join(some["code"]), np.uint8).reshape(len(some), -1), tables.shape[1])
+                    error = some["error"].to_numpy()
                     for q in range(0, len(ids), 128):
                         rough = _scan(codes, tables[q : q + 128])
                         rough[own[None, :] == ids[q : q + 128, None]] = -np.inf
                         who, row, score = _best(rough, unit, error, own, asked[q : q + 128], k, rerank)
                         yield pd.DataFrame({"query_id": ids[q : q + 128][who], "vec_id": own[row], "score": score})
 
-        these = rows.where("vec_id is not null").select("vec_id", "embedding").mapInPandas(run, out)
+        these = codes.mapInPandas(run, out)
         found = these if found is None else found.unionByName(these)
     if found is None:
         return empty

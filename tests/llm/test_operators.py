@@ -304,6 +304,23 @@ def test_nearest(spark):
     assert neighbours.search(none, F.lit(True)).count() == 0
 
 
+def test_codes_are_packed():
+    import numpy as np
+
+    for parts in (1, 4, 9):
+        code = np.random.default_rng(parts).integers(0, 16, (50, parts)).astype(np.uint8)
+        two = neighbours.packed(code)
+        assert two.shape == (50, (parts + 1) // 2) and (neighbours.unpacked(two, parts) == code).all()
+
+
+def test_nearest_with_repeats_and_further_columns(spark):
+    """Repeated ids, infinities, columns named as the operator's own."""
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (50, [1.0, 0.1]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [float("inf"), 0.0]), (None, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({k: F.lit(7) for k in ("code", "error", "is_query", "score", "rank", "_b")})
+    got = neighbours.search(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 1), (0, 3, 50), (0, 4, 50), (50, 1, 0), (50, 2, 1), (50, 3, 1)]
+
+
 def test_nearest_among_near_copies(spark):
     """A third of the rows are near copies of one vector, many more than are reranked by their codes alone."""
     import numpy as np

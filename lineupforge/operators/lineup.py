@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Defenders, midfielders, forwards of each formation in order of preference; the cost of a misfit.
 FORMATIONS = [(4, 3, 3), (4, 4, 2), (3, 4, 3), (4, 5, 1), (3, 5, 2), (5, 3, 2), (5, 4, 1)]
@@ -35,11 +36,17 @@ def pick(squad: list[tuple[int, str | None, int]]) -> list[tuple[int, str]]:
 
 
 def best_eleven(players: DataFrame) -> DataFrame:
-    """team, player, line, seat. players: team, player, position (nullable), probability."""
+    """team, player, line, seat. players: team, player, position (nullable), probability, sources_likely.
+
+    Only players count whom a source takes as likely. Of a position no more than eleven are ever chosen, so Spark keeps the
+    first eleven of each, and a group has 55 rows at most for each team."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         squad = [(int(p), x if isinstance(x, str) else None, int(q)) for p, x, q in zip(group["player"], group["position"], group["probability"])]
         chosen = pick(squad)
         return pd.DataFrame({"team": group["team"].iloc[0], "player": [p for p, _ in chosen], "line": [x for _, x in chosen], "seat": range(1, len(chosen) + 1)})
 
-    return players.select("team", "player", "position", "probability").where("probability > 0").groupBy("team").applyInPandas(run, "team long, player long, line string, seat int")
+    able = players.where("probability > 0 and sources_likely > 0").select("team", "player", "position", "probability")
+    seat = F.row_number().over(Window.partitionBy("team", "position").orderBy(F.desc("probability"), "player"))
+    able = able.withColumn("_seat", seat).where("_seat <= 11").drop("_seat")
+    return able.groupBy("team").applyInPandas(run, "team long, player long, line string, seat int")

@@ -1,9 +1,10 @@
 """Queries of the library by name, and their SQL."""
 
+from .cycles import QUERIES as CYCLES, SQL as CYCLES_SQL
 from .feeds import QUERIES as FEEDS, SQL as FEEDS_SQL
 from .names import QUERIES as NAMES, SQL as NAMES_SQL
 from .relational import QUERIES as RELATIONAL, SQL as RELATIONAL_SQL
 from .upkeep import QUERIES as UPKEEP, SQL as UPKEEP_SQL
 
-QUERIES = FEEDS | NAMES | RELATIONAL | UPKEEP
-SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL | UPKEEP_SQL
+QUERIES = FEEDS | NAMES | RELATIONAL | UPKEEP | CYCLES
+SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL | UPKEEP_SQL | CYCLES_SQL

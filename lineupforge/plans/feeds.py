@@ -137,8 +137,11 @@ def session_rounds(spark, sf_dir):
     return S.gap_rounds(rows, "ts", ["event_id"], 3 * 86_400, ["user_id"]).select("event_id", "user_id", "round")
 
 
-@query("""SELECT event_id, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-12-31' THEN CAST(greatest(1, least(38,
-datediff('day', CAST(date_trunc('week', DATE '2024-01-10') AS DATE), CAST(date_trunc('week', ts) AS DATE)) // 7 + 1)) AS INTEGER) END AS week FROM events""")
+WEEK = """CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-12-31' THEN CAST(greatest(1, least(38,
+datediff('day', CAST(date_trunc('week', DATE '2024-01-10') AS DATE), CAST(date_trunc('week', ts) AS DATE)) // 7 + 1)) AS INTEGER) END"""
+
+
+@query(f"SELECT event_id, {WEEK} AS week FROM events")
 def season_week(spark, sf_dir):
     week = N.season_week(F.col("ts"), F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-12-31").cast("timestamp_ntz"))
     return _events(spark, sf_dir).select("event_id", week.alias("week"))
@@ -169,7 +172,7 @@ def home_summary(spark, sf_dir):
 
 def _squads(spark, sf_dir) -> DataFrame:
     kinds = F.array(*map(F.lit, ["POR", "DEF", "MED", "DEL"]), F.lit(None).cast("string"))
-    return _consensus(spark, sf_dir).select("team", "player", F.get(kinds, (F.col("player") % 5).cast("int")).alias("position"), "probability")
+    return _consensus(spark, sf_dir).select("team", "player", F.get(kinds, (F.col("player") % 5).cast("int")).alias("position"), "probability", "sources_likely")
 
 
 @query()

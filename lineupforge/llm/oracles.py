@@ -52,4 +52,55 @@ way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, way.b FROM reach JOIN way ON reach.b = way.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
 
-SQL = {"op1_quality_rules": QUALITY, "op4_substring_dedup": SUBSTRINGS, "op5_chat_format": CHAT, "op7_ngram_jaccard": JACCARD}
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+cells AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+groups AS (SELECT lang, source, any_value(v) AS v, coalesce(sum(cells.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang) LEFT JOIN cells USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(cells.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(cells.n, 0) + 1)) // (total + v)::HUGEINT AS p
+  FROM groups JOIN (SELECT lang, term FROM kept) USING (lang) LEFT JOIN cells USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v)::HUGEINT AS q FROM kept JOIN langs USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+# crc32 bit by bit: a byte is mixed in, then eight times shifted. State after a row: the least (cost, audit) that ends before
+# any turn kept (q0), after a system turn (q1), after a user's (q2), after an assistant's (q3), as text that sorts so.
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::UBIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::UBIGINT for _ in range(8)]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"
+_ADD = "lpad(CAST(CAST({0}[:12] AS BIGINT) + {1} AS VARCHAR), 12, '0') || {0}[13:] || '{2}'"
+_KEEP = lambda q, kind: f"CASE WHEN NOT gone AND kind = '{kind}' THEN {_ADD.format(q, 'more', 'K')} END"
+_TURN = lambda q: f"CASE WHEN NOT gone THEN {_ADD.format(q, '3 + more', 'R')} END"
+_DROP = lambda q: _ADD.format(q, "4", "D")
+# one insert each way: after a row's edits, a user's or an assistant's turn may be put in; twice, for both
+_PUT = "q0, q1, least(q2, {0}, {1}, {2}) AS q2, least(q3, {3}) AS q3".format(_ADD.format("q0", "3", "I"), _ADD.format("q1", "3", "I"), _ADD.format("q3", "3", "I"), _ADD.format("q2", "3", "I"))
+REPAIR = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM c),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM damaged),
+marked AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  role[:1] AS kind, lag(role[:1]) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM numbered),
+r AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM marked),
+chart AS (SELECT k, 0::BIGINT AS i, '000000000000' AS q0, '999999000000' AS q1, '000000000003I' AS q2, '000000000006II' AS q3 FROM (SELECT DISTINCT k FROM r)
+  UNION ALL SELECT k, i, {_PUT} FROM (SELECT k, i, {_PUT} FROM (
+    SELECT r.k, r.i, {_DROP("q0")} AS q0, least({_DROP("q1")}, {_KEEP("q0", "s")}) AS q1,
+      least({_DROP("q2")}, {", ".join(f(q) for q in ("q0", "q1", "q3") for f in (lambda q: _KEEP(q, "u"), _TURN))}) AS q2,
+      least({_DROP("q3")}, {_KEEP("q2", "a")}, {_TURN("q2")}) AS q3
+    FROM chart JOIN r ON r.k = chart.k AND r.i = chart.i + 1))),
+done AS (SELECT k, least(q0, q3) AS best FROM chart JOIN (SELECT k, max(i) AS i FROM r GROUP BY k) USING (k, i)),
+edits AS (SELECT k, best[13:] AS audit, unnest(range(1, length(best) - 11)) AS pos FROM done),
+placed AS (SELECT k, pos, audit[pos] AS edit, sum(CASE WHEN audit[pos] <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS i, sum(CASE WHEN audit[pos] <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS place FROM edits),
+turns AS (SELECT placed.k, pos, edit, place, CASE WHEN edit = 'K' THEN role END AS role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, coalesce(max(CASE WHEN edit = 'K' AND kind = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.k), 0) AS system
+  FROM placed LEFT JOIN r ON r.k = placed.k AND r.i = placed.i AND edit <> 'I' WHERE edit <> 'D'),
+fixed AS (SELECT k, string_agg(coalesce(role, CASE WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY pos) AS t FROM turns GROUP BY k),
+told AS (SELECT k, any_value(conv_id) AS conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (earlier || kind NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY k)
+SELECT all_ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[:12] AS BIGINT), 0) AS cost, coalesce(best[13:], '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) all_ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM all_ids.conv_id LEFT JOIN done USING (k) LEFT JOIN fixed USING (k)"""
+
+SQL = {"op1_quality_rules": QUALITY, "op4_substring_dedup": SUBSTRINGS, "op5_chat_format": CHAT, "op7_ngram_jaccard": JACCARD, "op11_source_divergence": DIVERGENCE, "op12_conversation_repair": REPAIR}

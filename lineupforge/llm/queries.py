@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, mixing, neighbours, packing, pii, quality, substrings, toxicity
+from . import chat, divergence, jaccard, language, mixing, neighbours, packing, pii, quality, repair, substrings, toxicity, urls
 from .common import table
 from .oracles import SQL  # noqa: F401
 
@@ -83,4 +83,22 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_packing, op4_substring_dedup, op5_chat_format, op6_language_id, op7_ngram_jaccard, op8_toxicity, op9_pii, op10_nearest)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=3, most=200)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    found = repair.repair(rows, F.col("times"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", repair.digest(F.col("repaired")).alias("repaired_sha256"))
+
+
+#: The listed rules of op13: verdict, host and path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_packing, op4_substring_dedup, op5_chat_format, op6_language_id, op7_ngram_jaccard, op8_toxicity, op9_pii, op10_nearest, op11_source_divergence, op12_conversation_repair, op13_url_filters)}

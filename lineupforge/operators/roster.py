@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name, significant_tokens
+from ..functions.text import canonical_name, normalize_name, significant_tokens
 from . import matching
 from .state import first_per_key, merge_followers
 
@@ -49,6 +49,15 @@ def choose_leaders(members: DataFrame, rows: Column | None = None) -> DataFrame:
     return members.join(top, "cluster").where("player != leader").select("player", "leader")
 
 
+def reconcile_plan(players: DataFrame) -> DataFrame:
+    """follower, leader: players of one team who go by one full name, equal once normalised or known under it. The name
+    with the most tokens leads, then the longest, then the first by ord. players: player, team, ord, name."""
+    key = F.nullif(normalize_name(canonical_name(F.col("name"))), F.lit(""))
+    members = players.select(F.when(key.isNotNull(), F.struct("team", key.alias("key"))).alias("cluster"), "player", "name", "ord").where("cluster is not null")
+    several = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return choose_leaders(members.join(several, "cluster", "left_semi")).withColumnRenamed("player", "follower")
+
+
 def backfill_plan(players: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """player, leader, confidence, rule: rows outside the closed roster matched to a roster row of their team. players:
     team, player, ord, name, active."""

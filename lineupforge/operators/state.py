@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def first_per_key(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
@@ -37,8 +38,10 @@ def coalescing_upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> Dat
 
 
 def array_upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Field by field: the new array if it has elements, else the old."""
-    return _both(base, delta, keys).select(*keys, *(F.when(F.size(f"_n_{c}") > 0, F.col(f"_n_{c}")).otherwise(F.coalesce(c, f"_n_{c}")).alias(c) for c in base.columns if c not in keys))
+    """Field by field: the new array if it has elements, else the old; other fields as coalescing_upsert has them."""
+    arrays = {f.name for f in base.schema.fields if isinstance(f.dataType, ArrayType)}
+    pick = lambda c: F.when(F.size(f"_n_{c}") > 0, F.col(f"_n_{c}")).otherwise(F.coalesce(c, f"_n_{c}")) if c in arrays else F.coalesce(f"_n_{c}", c)
+    return _both(base, delta, keys).select(*keys, *(pick(c).alias(c) for c in base.columns if c not in keys))
 
 
 def guarded_upsert(base: DataFrame, delta: DataFrame, keys: list[str], free: Column) -> DataFrame:

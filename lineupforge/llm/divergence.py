@@ -20,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from .common import cut, small
 
 #: A term, in UTF-8 bytes whose A-Z are lower-cased: letters of ASCII and all characters beyond it.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
-#: Counts that a task holds before it passes them on.
-HELD = 300_000
+#: Terms that a task holds before it passes their counts on, and documents, for a term's two counts share an integer.
+HELD, DOCUMENTS = 700_000, 1 << 24
 #: Parts into which a group's terms are dealt before its leaders are chosen from the leaders of the parts.
 PARTS = 16
 
@@ -55,30 +56,28 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), documents (that have it). Tasks count what they read before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, dict[bytes, list[int]]] = defaultdict(dict)
+        counts: dict[tuple, dict[bytes, int]] = defaultdict(dict)  # n * DOCUMENTS + documents, by term
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for (lang, source), found in counts.items():
-                names, rows = pa.array(list(found), pa.binary()).cast(pa.string()), list(found.values())
-                same = lambda x: pa.array([x] * len(rows), pa.string())
-                yield pa.RecordBatch.from_arrays([same(lang), same(source), names, *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))], ["lang", "source", "term", "n", "documents"])
+                both = np.fromiter(found.values(), np.int64, len(found))
+                same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(both), np.int64)))
+                columns = [same(lang), same(source), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(both // DOCUMENTS), pa.array(both % DOCUMENTS)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "documents"])
             counts.clear()
 
-        held = 0
+        held = documents = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = counts[lang, source]
                 held -= len(found)
                 for term, n in Counter(TERM.findall(text.lower())).items():  # lower() of bytes changes A-Z alone
-                    if (row := found.get(term)) is None:
-                        found[term] = [n, 1]
-                    else:
-                        row[0] += n
-                        row[1] += 1
+                    found[term] = found.get(term, 0) + n * DOCUMENTS + 1
                 held += len(found)
-                if held > HELD:
+                documents += 1
+                if held > HELD or documents == DOCUMENTS - 1:
                     yield from flushed()
-                    held = 0
+                    held = documents = 0
         yield from flushed()
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

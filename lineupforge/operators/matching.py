@@ -44,28 +44,85 @@ def last_name_length(tokens: Column) -> Column:
     return F.when(n <= 1, n).otherwise(run["k"])
 
 
+def token_holders(names: DataFrame, tokens: str) -> DataFrame:
+    """team, token, holders: how many names of a team have a token. names: team and an array of tokens."""
+    return names.select("team", F.explode(F.array_distinct(tokens)).alias("token")).groupBy("team", "token").agg(F.count(F.lit(1)).alias("holders"))
+
+
+def with_rarest(names: DataFrame, key: str, tokens: str, holders: DataFrame) -> DataFrame:
+    """names with rarest: of its tokens (which follow from key) the one that the fewest of holders have, ties by token;
+    null if a token has no holder at all, for then no name of theirs has all tokens."""
+    each = names.select("team", key, tokens).distinct().select("team", key, F.explode(F.array_distinct(tokens)).alias("token")).join(holders, ["team", "token"], "left")
+    best = each.groupBy("team", key).agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("n"), "token")).alias("_r"))
+    found = best.select("team", key, F.when(F.col("_r.n") > 0, F.col("_r.token")).alias("rarest"))
+    return names.join(found, ["team", key], "left")
+
+
+def _keys(*groups: Column) -> Column:
+    """Some arrays of keys in one, without nulls."""
+    return F.array_distinct(F.filter(F.concat(*(F.coalesce(g, F.array().cast("array<string>")) for g in groups)), lambda k: k.isNotNull()))
+
+
 def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of one team with a common token (of tok and ctok), each once: at its first common token."""
-    a, b = left.withColumn("_t", F.explode(F.array_distinct("tok"))), right.withColumn("_t", F.explode(F.array_distinct("ctok")))
-    return a.join(b, ["team", "_t"]).where(F.get(F.array_intersect("tok", "ctok"), 0) == F.col("_t")).drop("_t")
+    """Pairs of one team with a common key (of lkeys and rkeys), each once: at its first common key."""
+    a, b = left.withColumn("_k", F.explode("lkeys")), right.withColumn("_k", F.explode("rkeys"))
+    return a.join(b, ["team", "_k"]).where(F.get(F.array_intersect("lkeys", "rkeys"), 0) == F.col("_k")).drop("_k", "lkeys", "rkeys")
+
+
+def _indexed(left: DataFrame, right: DataFrame, first: Column, case_keys: list[Column], roster_keys: list[Column]) -> DataFrame:
+    """Pairs that a rule can hold for. left: team, name, norm, inc, ...; right: team, player, cnorm, canon, ...
+
+    Each rule has its own keys. Equal names: the name. Same last name and first names alike: the last name with the full
+    first name, or with the initial where one has no more. Subsets: the rarest token of the smaller name, looked up
+    among the tokens of the larger. So a token that a whole team has brings nobody together who have nothing else in
+    common that a rule asks for. first: what stands for the first name of a case."""
+    inc, canon = F.col("inc"), F.col("canon")
+    key = lambda mark, *parts: F.concat(F.lit(mark), F.concat_ws(" ", *parts))
+    last = lambda t: F.try_element_at(t, F.lit(-1))
+    left = with_rarest(left, "name", "inc", token_holders(right, "canon"))
+    right = with_rarest(right, "cnorm", "canon", token_holders(left.select("team", "inc"), "inc"))
+    lkeys = F.array(
+        F.when(F.col("norm") != "", key("n:", F.col("norm"))), F.when(F.size(inc) > 0, key("f:", last(inc), first_name(first))), F.when((F.size(inc) > 0) & (F.length(first) == 1), key("i:", last(inc), first)),
+        F.when(F.col("rarest").isNotNull(), key("d:", F.col("rarest"))), *case_keys,
+    )
+    name = F.get(canon, 0)
+    rkeys = F.array(
+        F.when(F.col("cnorm") != "", key("n:", F.col("cnorm"))), F.when(F.size(canon) > 0, key("f:", last(canon), first_name(name))), F.when(F.size(canon) > 0, key("i:", last(canon), F.substring(name, 1, 1))),
+        F.when(F.col("rarest").isNotNull(), key("e:", F.col("rarest"))), *roster_keys,
+    )
+    tokens = lambda mark, t: F.transform(F.array_distinct(t), lambda x: F.concat(F.lit(mark), x))
+    tails = F.when(F.size(inc) >= 2, F.transform(F.sequence(F.lit(2), F.size(inc)), lambda k: key("t:", F.slice(inc, F.size(inc) - k + 1, k))))
+    left = left.withColumn("lkeys", _keys(lkeys, tokens("e:", inc), tails)).drop("rarest")
+    return _meeting(left, right.withColumn("rkeys", _keys(rkeys, tokens("d:", canon))).drop("rarest"))
 
 
 def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """case_id, player, confidence, rule for the matched. cases: team, case_id, raw; roster: team, ord, player, name.
 
-    Every rule needs a common token, so cases and roster meet by team and token, and a pair counts at its first common
-    token only: a large team is spread over its tokens, and not all its pairs are made.
+    Each name of a team is matched once, however many cases have it. Names and roster rows meet by keys of the rules (see
+    _indexed); how many rows have a last name is counted, not paired.
     A single token decides by unique last name or not at all. Else the first roster row with a strong rule (exact, same
     last and first name, compound last name) wins, else the best weak one (subsets), earlier rows first at ties."""
+    names = cases.select("team", F.col("raw").alias("name")).distinct()
+    found = _match_names(names, roster, min_confidence)
+    return cases.select("team", "case_id", F.col("raw").alias("name")).join(found, ["team", "name"]).select("team", "case_id", "player", "confidence", "rule")
+
+
+def _match_names(names: DataFrame, roster: DataFrame, min_confidence: float) -> DataFrame:
     inc, tokens, canon = F.col("inc"), F.col("tok"), F.col("canon")
-    left = cases.select("team", "case_id", "raw", significant_tokens(F.col("raw")).alias("inc"), all_tokens(F.col("raw")).alias("tok"), normalize_name(F.col("raw")).alias("norm"))
-    right = roster.select("team", "ord", "player", significant_tokens(F.col("name")).alias("canon"), normalize_name(F.col("name")).alias("cnorm"), all_tokens(F.col("name")).alias("ctok"))
+    left = names.select("team", "name", significant_tokens(F.col("name")).alias("inc"), all_tokens(F.col("name")).alias("tok"), normalize_name(F.col("name")).alias("norm"))
+    right = roster.select("team", "ord", "player", significant_tokens(F.col("name")).alias("canon"), normalize_name(F.col("name")).alias("cnorm"))
     right = right.withColumn("size", last_name_length(F.col("canon")))  # once per player, not per pair
     n, m, a = F.size(inc), F.size(canon), F.size(tokens)
     last = lambda t: F.when(F.size(t) > 0, F.element_at(t, -1))
     first = lambda t: F.get(t, 0)
     lone = (n == 1) & (a == 1)
-    pairs = _meeting(left, right).withColumn("lone_hit", F.coalesce(lone & (last(canon) == first(inc)), F.lit(False)))
+    singles = left.where(lone).select("team", "name", first(inc).alias("last"))
+    by_last = right.select("team", "player", last(canon).alias("last")).groupBy("team", "last").agg(F.count(F.lit(1)).alias("hits"), F.min("player").alias("only"))
+    counted = singles.join(by_last, ["team", "last"]).select("team", "name", "hits", "only")
+    compound = F.when((F.col("size") >= 2) & (F.col("size") < m), F.concat(F.lit("t:"), F.concat_ws(" ", F.slice(canon, m - F.col("size") + 1, F.col("size")))))
+    undecided = left.join(counted.select("team", "name"), ["team", "name"], "left_anti")
+    pairs = _indexed(undecided, right, first(tokens), [], [compound])
     size = F.col("size")
     tail = lambda t, k: F.slice(t, F.greatest(F.size(t) - k + 1, F.lit(1)), k)
     subset = lambda x, y: (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0)
@@ -78,29 +135,29 @@ def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.
         .when((size >= 2) & (size < m) & (n >= size) & (tail(inc, size) == tail(canon, size)) & F.lit(min_confidence <= 0.9), F.struct(F.lit(2).alias("p"), F.lit(0.9).alias("c"), F.lit(ALIAS).alias("r")))
     )
     weak = F.when(rule_d & (ratio >= min_confidence) & (~rule_e | (ratio >= 0.85)), F.struct(ratio.alias("c"), F.lit(SUBSET_INVERSE).alias("r"))).when(rule_e & F.lit(min_confidence <= 0.85), F.struct(F.lit(0.85).alias("c"), F.lit(SUBSET_CANON).alias("r")))
-    pairs = pairs.select("team", "case_id", "ord", "player", "lone_hit", strong.alias("strong"), weak.alias("weak")).where("lone_hit or strong is not null or weak is not null")
-    unique = F.struct("player", F.lit(0.85).alias("confidence"), F.lit(UNIQUE).alias("rule"))
+    pairs = pairs.select("team", "name", "ord", "player", strong.alias("strong"), weak.alias("weak")).where("strong is not null or weak is not null")
     by_strong = F.struct("player", F.col("strong.c").alias("confidence"), F.col("strong.r").alias("rule"))
     by_weak = F.struct("player", F.col("weak.c").alias("confidence"), F.col("weak.r").alias("rule"))
-    best = pairs.groupBy("team", "case_id").agg(
-        F.sum(F.col("lone_hit").cast("int")).alias("hits"),
-        F.first(F.when(F.col("lone_hit"), unique), ignorenulls=True).alias("u"),
+    best = pairs.groupBy("team", "name").agg(
         F.min_by(by_strong, F.when(F.col("strong").isNotNull(), F.struct("ord", "strong.p"))).alias("s"),
         F.min_by(by_weak, F.when(F.col("weak").isNotNull(), F.struct(-F.col("weak.c"), F.col("ord")))).alias("w"),
     )
-    found = F.when(F.col("hits") == 1, F.when(F.lit(min_confidence <= 0.85), F.col("u"))).when(F.col("hits") == 0, F.coalesce("s", "w"))
-    return best.select("team", "case_id", found.alias("f")).where("f is not null").select("team", "case_id", "f.*")
+    decided = best.select("team", "name", F.coalesce("s", "w").alias("f")).select("team", "name", "f.*")
+    unique = counted.where((F.col("hits") == 1) & F.lit(min_confidence <= 0.85)).select("team", "name", F.col("only").alias("player"), F.lit(0.85).alias("confidence"), F.lit(UNIQUE).alias("rule"))
+    return decided.unionByName(unique)
 
 
 def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """team, case_id, player, confidence, rule for every roster row that a name comes near to, within a band (inclusive).
 
     The first form that a pair has decides, even where it then gives nothing: equal, one token, the same last token, a
-    subset. Equality and shared tokens drive the join; a pair without a common token comes near in no form."""
-    left = cases.select("team", "case_id", normalize_name(F.col("raw")).alias("norm"), significant_tokens(F.col("raw")).alias("inc"), all_tokens(F.col("raw")).alias("tok"))
-    right = roster.select("team", "ord", "player", normalize_name(F.col("name")).alias("cnorm"), significant_tokens(F.col("name")).alias("canon"), all_tokens(F.col("name")).alias("ctok"))
-    pairs = _meeting(left, right)
+    subset. Names meet roster rows by keys of these forms (see _indexed); a pair without one comes near in no form."""
+    names = cases.select("team", F.col("raw").alias("name")).distinct()
+    left = names.select("team", "name", normalize_name(F.col("name")).alias("norm"), significant_tokens(F.col("name")).alias("inc"))
+    right = roster.select("team", "ord", "player", normalize_name(F.col("name")).alias("cnorm"), significant_tokens(F.col("name")).alias("canon"))
     inc, canon, n, m = F.col("inc"), F.col("canon"), F.size("inc"), F.size("canon")
+    single = F.when(n == 1, F.concat(F.lit("l:"), F.get(inc, 0)))
+    pairs = _indexed(left, right, F.get(inc, 0), [single], [F.when(m >= 2, F.concat(F.lit("l:"), F.element_at(canon, -1)))])
     rule = lambda c, r: F.struct(c.alias("c"), F.lit(r).alias("r"))
     last = lambda t: F.try_element_at(t, F.lit(-1))
     alias = F.when(same_first_name(F.get(inc, 0), F.get(canon, 0)), rule(F.lit(0.95), ALIAS))
@@ -112,8 +169,23 @@ def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: flo
         .when((n >= 2) & (m >= 2) & (last(inc) == last(canon)), alias)
         .when((n >= 1) & (m >= 1), subset)
     )
-    rows = pairs.select("team", "case_id", "player", found.alias("f")).where("f is not null")
-    return rows.select("team", "case_id", "player", F.col("f.c").alias("confidence"), F.col("f.r").alias("rule")).where(F.col("confidence").between(low, high))
+    rows = pairs.select("team", "name", "player", found.alias("f")).where("f is not null")
+    near = rows.select("team", "name", "player", F.col("f.c").alias("confidence"), F.col("f.r").alias("rule")).where(F.col("confidence").between(low, high))
+    return cases.select("team", "case_id", F.col("raw").alias("name")).join(near, ["team", "name"]).drop("name")
+
+
+def unique_references(asked: DataFrame, roster: DataFrame) -> DataFrame:
+    """asked (team, short, name and more) with unique_reference: whether short, a single word, is the first or last token of
+    name, and at most one name of the team's roster (team, name) has it.
+
+    How many names have a token is counted once per team and token, so no row carries its team's list."""
+    holders = token_holders(roster.select("team", significant_tokens(F.col("name")).alias("t")), "t")
+    x, y = significant_tokens(F.col("short")), significant_tokens(F.col("name"))
+    rows = asked.withColumn("_word", F.when(F.size(x) == 1, F.get(x, 0)))
+    rows = rows.join(holders.select("team", F.col("token").alias("_word"), "holders"), ["team", "_word"], "left")
+    fits = (F.size(y) >= 2) & ((F.col("_word") == F.get(y, 0)) | (F.col("_word") == F.try_element_at(y, F.lit(-1))))
+    alone = F.coalesce("holders", F.lit(0)) <= 1
+    return rows.withColumn("unique_reference", F.coalesce(F.col("_word").isNotNull() & fits & alone, F.lit(False))).select(*asked.columns, "unique_reference")
 
 
 def same_player(a: Column, b: Column) -> Column:

@@ -5,7 +5,8 @@ from .feeds import QUERIES as FEEDS, SQL as FEEDS_SQL
 from .names import QUERIES as NAMES, SQL as NAMES_SQL
 from .rankings import QUERIES as RANKINGS, SQL as RANKINGS_SQL
 from .relational import QUERIES as RELATIONAL, SQL as RELATIONAL_SQL
+from .structures import QUERIES as STRUCTURES, SQL as STRUCTURES_SQL
 from .upkeep import QUERIES as UPKEEP, SQL as UPKEEP_SQL
 
-QUERIES = FEEDS | NAMES | RELATIONAL | UPKEEP | CYCLES | RANKINGS
-SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL | UPKEEP_SQL | CYCLES_SQL | RANKINGS_SQL
+QUERIES = FEEDS | NAMES | RELATIONAL | UPKEEP | CYCLES | RANKINGS | STRUCTURES
+SQL = FEEDS_SQL | NAMES_SQL | RELATIONAL_SQL | UPKEEP_SQL | CYCLES_SQL | RANKINGS_SQL | STRUCTURES_SQL

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import identity
+from ..operators import identity, matching, ordered
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -76,11 +76,10 @@ def name_scores(spark, sf_dir):
 @query("""WITH r AS (SELECT p_brand, p_size, list(lower(p_name)) AS names FROM part GROUP BY ALL)
 SELECT p_partkey, len(list_filter(names, lambda n: list_contains(string_split(n, ' '), lower(string_split(p_name, ' ')[2])))) <= 1 AS unique_reference FROM part JOIN r USING (p_brand, p_size)""")
 def unique_references(spark, sf_dir):
-    """Whether a last name alone means one player of its squad; a squad (brand and size) is a bounded list."""
-    part = _t(spark, sf_dir, "part")[0]
-    squads = part.groupBy("p_brand", "p_size").agg(F.collect_list("p_name").alias("names"))
-    rows = part.join(squads, ["p_brand", "p_size"])
-    return rows.select("p_partkey", T.is_unique_reference(F.element_at(F.split("p_name", " "), -1), C("p_name"), C("names")).alias("unique_reference"))
+    """Whether a last name alone means one player of its squad (brand and size)."""
+    part = _t(spark, sf_dir, "part")[0].select(F.concat_ws("/", "p_brand", C("p_size").cast("string")).alias("team"), "p_partkey", C("p_name").alias("name"))
+    asked = part.withColumn("short", F.element_at(F.split("name", " "), -1))
+    return matching.unique_references(asked, part).select("p_partkey", "unique_reference")
 
 
 @query("""SELECT c_custkey, name, regexp_matches(name, '(^|\\s)[A-Za-z]\\.(\\s|$)') OR regexp_matches(name, '(?i)\\b(jr|junior|ii|iii|iv)\\b') AS abbreviated,
@@ -113,12 +112,12 @@ def placeholders(spark, sf_dir):
 @query("""SELECT n_nationkey, count(c_custkey) FILTER (c_acctbal < 0) > 0 OR count(c_custkey) FILTER (c_acctbal > 9000) > 0 AS any_news, CAST(count(c_custkey) FILTER (c_acctbal < 0) AS INTEGER) AS injured
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
 def any_group(spark, sf_dir):
-    """Whether a team has anything in any of its groups; a group without rows is an empty list."""
+    """Whether a team has anything in any of its groups; a group without rows counts nothing."""
     customer, nation = _t(spark, sf_dir, "customer", "nation")
-    groups = customer.groupBy("c_nationkey").agg(F.collect_list(F.when(C("c_acctbal") < 0, C("c_custkey"))).alias("injured"), F.collect_list(F.when(C("c_acctbal") > 9000, C("c_custkey"))).alias("praised"))
+    groups = customer.groupBy("c_nationkey").agg(F.count_if(C("c_acctbal") < 0).alias("injured"), F.count_if(C("c_acctbal") > 9000).alias("praised"))
     rows = nation.join(groups, C("c_nationkey") == C("n_nationkey"), "left")
-    full = lambda k: F.coalesce(C(k), F.array().cast("array<long>"))
-    return rows.select("n_nationkey", ((F.size(full("injured")) > 0) | (F.size(full("praised")) > 0)).alias("any_news"), F.size(full("injured")).alias("injured"))
+    n = lambda k: F.coalesce(C(k), F.lit(0))
+    return rows.select("n_nationkey", ((n("injured") > 0) | (n("praised") > 0)).alias("any_news"), n("injured").cast("int").alias("injured"))
 
 
 @query("""SELECT CASE WHEN c_acctbal < 0 THEN 'unmatched' WHEN c_acctbal < 5000 THEN 'review' ELSE 'matched' END AS status, count(*) AS players FROM customer GROUP BY 1""")
@@ -187,19 +186,19 @@ def last_hit_per_slug(spark, sf_dir):
 @query("""WITH d AS (SELECT DISTINCT trim(c_mktsegment || '-' || c_nationkey) AS slug FROM customer WHERE c_custkey % 9 <> 0)
 SELECT slug, (row_number() OVER (ORDER BY slug) - 1) // 20 AS batch FROM d""")
 def request_batches(spark, sf_dir):
-    """Requested slugs trimmed, without blanks and repeats, in batches of 20 (a request list is what one run asks for)."""
+    """Requested slugs trimmed, without blanks and repeats, in batches of 20."""
     padded = F.when(C("c_custkey") % 9 != 0, F.concat(F.lit(" "), "c_mktsegment", F.lit("-"), C("c_nationkey").cast("string"), F.lit(" "))).otherwise("  ")
     slugs = _t(spark, sf_dir, "customer")[0].select(F.trim(padded).alias("slug")).where("slug != ''").distinct()
-    return slugs.select("slug", F.floor((F.row_number().over(Window.orderBy("slug")) - 1) / 20).alias("batch"))
+    return ordered.batches(slugs, ["slug"], 20)
 
 
 @query("""SELECT s_suppkey, CAST(count(l_orderkey) AS INTEGER) AS hits FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 49) ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def searches_with_hits(spark, sf_dir):
-    """Every search with its hits; one that found nothing has an empty list."""
+    """Every search with the number of its hits; one that found nothing has none."""
     supplier, lineitem = _t(spark, sf_dir, "supplier", "lineitem")
-    hits = lineitem.where("l_quantity > 49").groupBy("l_suppkey").agg(F.collect_list("l_orderkey").alias("x"))
+    hits = lineitem.where("l_quantity > 49").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("hits"))
     rows = supplier.join(hits, C("l_suppkey") == C("s_suppkey"), "left")
-    return rows.select("s_suppkey", F.size(F.coalesce("x", F.array().cast("array<long>"))).alias("hits"))
+    return rows.select("s_suppkey", F.coalesce("hits", F.lit(0)).cast("int").alias("hits"))
 
 
 @query("""WITH v AS (SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, 1 AS o FROM part UNION ALL SELECT p_partkey, lower(string_split(p_name, ' ')[1]), 2 FROM part UNION ALL SELECT p_partkey, lower(string_split(p_name, ' ')[2]), 3 FROM part),

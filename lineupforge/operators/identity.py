@@ -31,6 +31,31 @@ def decide(candidates: DataFrame) -> DataFrame:
     return ranked.select("local_id", "slug", F.floor(c("confidence") * 1000 + 0.5).alias("confidence"), status.alias("status"), reason.alias("reason"))
 
 
+def decisions(local: DataFrame, candidates: DataFrame) -> DataFrame:
+    """decide() on the evidence of local rows and candidates (see evidence), with method: what a match rests on, none where
+    nothing was found, review_required otherwise."""
+    found = evidence(local, candidates)
+    made = decide(found)
+    seen = found.select("local_id", F.coalesce("slug", F.lit("")).alias("_slug"), F.coalesce("dob", F.lit(False)).alias("dob"), F.coalesce("team", F.lit(False)).alias("team"), "name_score")
+    rows = made.withColumn("_slug", F.coalesce("slug", F.lit(""))).join(first_per_key(seen, ["local_id", "_slug"], [F.desc("name_score")]), ["local_id", "_slug"], "left")
+    full = F.col("name_score") >= 1
+    by = F.when(F.col("dob"), F.when(F.col("team"), "name_club_birth_day").otherwise("name_birth_day")).when(full, "exact_name_club").otherwise("name_club_unique_margin")
+    method = F.when(F.col("status") == "not_found", "none").when(F.col("status") == "matched", by).otherwise("review_required")
+    return rows.select("local_id", "slug", "confidence", "status", method.alias("method"), "reason")
+
+
+def probed(local: DataFrame, candidates: DataFrame, variants: DataFrame) -> DataFrame:
+    """probe() on candidates found under generated slugs: local_id, slug, confidence, status, method; a local row without
+    candidates is not_found. variants: local_id, slug as generated; candidates as in evidence, with ord if they have an order."""
+    order = F.col("ord") if "ord" in candidates.columns else F.lit(0)
+    made = variants.select("local_id", "slug", F.lit(True).alias("exact")).distinct()
+    scored = local.select("local_id", "name").join(candidates.select("local_id", "slug", "display", F.trim(F.concat_ws(" ", "first", "last")).alias("full"), order.alias("ord")), "local_id")
+    rows = scored.join(made, ["local_id", "slug"], "left").select("local_id", "slug", "ord", "exact", name_score(F.col("name"), F.col("display"), F.col("full")).alias("name_score"))
+    best = probe(rows)
+    out = local.select("local_id").distinct().join(best, "local_id", "left")
+    return out.select("local_id", "slug", "confidence", F.coalesce("status", F.lit("not_found")).alias("status"), F.coalesce("method", F.lit("none")).alias("method"))
+
+
 # Clubs by the names under which they go, asked in this order.
 CLUBS = {
     "alaves": ["alaves", "deportivo alaves"], "athletic-bilbao": ["athletic bilbao", "athletic club", "athletic"],

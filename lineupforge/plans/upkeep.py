@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import identity, matching, ordered
+from ..operators import bridging, identity, matching, ordered
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -97,7 +97,8 @@ def abbreviated_first(spark, sf_dir):
 def verified_slugs(spark, sf_dir):
     """The slug of a player's last matched and verified row that has one."""
     rows = _t(spark, sf_dir, "orders")[0].withColumn("slug", F.when(C("o_orderkey") % 7 != 0, F.concat(F.lit("s"), C("o_orderkey").cast("string"))))
-    return rows.where("o_orderstatus = 'F' and o_totalprice > 1000 and slug is not null").groupBy("o_custkey").agg(F.max_by("slug", "o_orderkey").alias("slug"))
+    stored = rows.select(C("o_custkey").alias("local_id"), "slug", F.when(C("o_orderstatus") == "F", "matched").alias("status"), (C("o_totalprice") > 1000).alias("verified"), C("o_orderkey").alias("updated"))
+    return bridging.verified(stored).withColumnRenamed("local_id", "o_custkey")
 
 
 @query("""SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END, ''), 'Desconocido') AS name, coalesce(n_name, 'Fuente') AS source FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON n_nationkey = c_nationkey""")
@@ -180,7 +181,7 @@ def grand_total(spark, sf_dir):
 def last_hit_per_slug(spark, sf_dir):
     """Candidates of all searches, one per slug: the one found last."""
     hits = _t(spark, sf_dir, "lineitem")[0].where("l_linenumber <= 3")
-    return hits.groupBy("l_suppkey").agg(F.max_by("l_orderkey", F.struct("l_orderkey", "l_linenumber")).alias("last_seen"))
+    return bridging.last_hits(hits, ["l_suppkey"], ["l_orderkey", "l_linenumber"]).select("l_suppkey", C("l_orderkey").alias("last_seen"))
 
 
 @query("""WITH d AS (SELECT DISTINCT trim(c_mktsegment || '-' || c_nationkey) AS slug FROM customer WHERE c_custkey % 9 <> 0)
@@ -196,9 +197,8 @@ def request_batches(spark, sf_dir):
 def searches_with_hits(spark, sf_dir):
     """Every search with the number of its hits; one that found nothing has none."""
     supplier, lineitem = _t(spark, sf_dir, "supplier", "lineitem")
-    hits = lineitem.where("l_quantity > 49").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("hits"))
-    rows = supplier.join(hits, C("l_suppkey") == C("s_suppkey"), "left")
-    return rows.select("s_suppkey", F.coalesce("hits", F.lit(0)).cast("int").alias("hits"))
+    hits = lineitem.where("l_quantity > 49").select(C("l_suppkey").alias("s_suppkey"))
+    return bridging.answered(supplier, hits, "s_suppkey").select("s_suppkey", C("hits").cast("int").alias("hits"))
 
 
 @query("""WITH v AS (SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, 1 AS o FROM part UNION ALL SELECT p_partkey, lower(string_split(p_name, ' ')[1]), 2 FROM part UNION ALL SELECT p_partkey, lower(string_split(p_name, ' ')[2]), 3 FROM part),
@@ -218,26 +218,30 @@ def probed_slugs(spark, sf_dir):
 def club_unresolved(spark, sf_dir):
     """Candidates of the same club for players who aren't resolved yet."""
     customer, supplier, orders = _t(spark, sf_dir, "customer", "supplier", "orders")
-    open_ = customer.where("c_acctbal > 9000").join(orders.where("o_totalprice > 400000").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    return open_.join(supplier, C("c_nationkey") == C("s_nationkey")).select("c_custkey", "s_suppkey")
+    players = customer.where("c_acctbal > 9000").select(C("c_custkey").alias("local_id"), C("c_nationkey").alias("club"))
+    resolved = orders.where("o_totalprice > 400000").select(C("o_custkey").alias("local_id"))
+    out = bridging.unresolved(players, resolved, supplier.select("s_suppkey", C("s_nationkey").alias("club")))
+    return out.select(C("local_id").alias("c_custkey"), "s_suppkey")
 
 
 @query("""SELECT c_custkey, coalesce(slug, 'p' || c_custkey) AS slug, coalesce(slug, 'p' || c_custkey) AS external FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey END AS slug FROM customer)""")
 def backfilled_ids(spark, sf_dir):
     """Rows for players without one (on conflict the row there stays), then an empty external slug from the slug."""
-    customer = _t(spark, sf_dir, "customer")[0].select("c_custkey")
-    there = customer.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("s"), C("c_custkey").cast("string")).alias("slug"))
-    fresh = customer.join(there, "c_custkey", "left_anti").select("c_custkey", F.concat(F.lit("p"), C("c_custkey").cast("string")).alias("slug"))
-    rows = there.unionByName(fresh).withColumn("external", F.lit(None).cast("string"))
-    return rows.withColumn("external", F.coalesce("external", "slug"))
+    customer = _t(spark, sf_dir, "customer")[0].select(C("c_custkey").alias("local_id"))
+    slug = lambda mark: F.concat(F.lit(mark), C("local_id").cast("string")).alias("slug")
+    there = customer.where("local_id % 3 = 0").select("local_id", slug("s"), F.lit(None).cast("string").alias("external"))
+    return bridging.backfilled(there, customer.select("local_id", slug("p"))).withColumnRenamed("local_id", "c_custkey")
 
 
 @query("""SELECT o_orderkey, coalesce(c_name, '') AS name, coalesce(c_mktsegment, '') AS segment, coalesce(n_name, '') AS team FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def enriched_rows(spark, sf_dir):
     """Report rows with the cells of their player, blank where none is known."""
     orders, customer, nation = _t(spark, sf_dir, "orders", "customer", "nation")
-    rows = orders.join(customer.where("c_custkey % 2 = 0"), C("o_custkey") == C("c_custkey"), "left").join(nation, C("n_nationkey") == C("c_nationkey"), "left")
-    return rows.select("o_orderkey", *(F.coalesce(C(c), F.lit("")).alias(a) for c, a in (("c_name", "name"), ("c_mktsegment", "segment"), ("n_name", "team"))))
+    known = customer.where("c_custkey % 2 = 0").join(nation, C("n_nationkey") == C("c_nationkey"), "left").select(C("c_custkey").alias("o_custkey"), C("c_name").alias("name"), C("c_mktsegment").alias("segment"), C("n_name").alias("team"))
+    blank = F.lit("")
+    rows = orders.select("o_orderkey", "o_custkey", blank.alias("name"), blank.alias("segment"), blank.alias("team"))
+    out = bridging.enriched(rows, known, "o_custkey", ["name", "segment", "team"])
+    return out.select("o_orderkey", *(F.coalesce(c, F.lit("")).alias(c) for c in ("name", "segment", "team")))
 
 
 @query("""SELECT c_custkey, lower(c_mktsegment) || '-' || c_custkey AS slug FROM customer WHERE c_custkey % 4 = 1""")
@@ -245,18 +249,18 @@ def manual_slugs(spark, sf_dir):
     """Slugs that a reviewer wrote: only well-formed ones, and no words for passing over."""
     key = C("c_custkey").cast("string")
     written = F.when(C("c_custkey") % 4 == 0, "skip").when(C("c_custkey") % 4 == 1, F.concat(F.lower("c_mktsegment"), F.lit("-"), key)).when(C("c_custkey") % 4 == 2, F.concat(F.lit("Not A Slug "), key)).otherwise("")
-    rows = _t(spark, sf_dir, "customer")[0].select("c_custkey", written.alias("slug"))
-    return rows.where(C("slug").rlike("^[a-z0-9]+(-[a-z0-9]+)*$") & ~C("slug").isin("skip", "omitir", "none"))
+    return bridging.reviewed_slugs(_t(spark, sf_dir, "customer")[0].select("c_custkey", written.alias("slug")))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'matched' WHEN c_acctbal < 0 THEN 'not_found' ELSE 'manual_review' END AS status FROM customer""")
 def accepted_reviews(spark, sf_dir):
     """Reviews that say accept set the status; all others change nothing."""
-    customer = _t(spark, sf_dir, "customer")[0]
-    rows = customer.select("c_custkey", F.when(C("c_acctbal") < 0, "not_found").otherwise("manual_review").alias("status"))
-    reviews = customer.where("c_custkey % 2 = 0").select("c_custkey", F.when(C("c_custkey") % 3 == 0, " Accept ").otherwise("reject").alias("decision"))
-    accepted = reviews.where(F.lower(F.trim("decision")) == "accept").select("c_custkey", F.lit("matched").alias("new"))
-    return rows.join(accepted, "c_custkey", "left").select("c_custkey", F.coalesce("new", "status").alias("status"))
+    customer = _t(spark, sf_dir, "customer")[0].withColumn("local_id", C("c_custkey"))
+    none, slug, yes = F.lit(None).cast("string"), F.concat(F.lit("s-"), C("c_custkey").cast("string")), F.lit("yes")
+    stored = customer.select("local_id", none.alias("slug"), none.alias("born"), F.when(C("c_acctbal") < 0, "not_found").otherwise("manual_review").alias("status"))
+    says = F.when(C("c_custkey") % 3 == 0, " Accept ").otherwise("reject")
+    reviews = customer.where("c_custkey % 2 = 0").select("local_id", slug.alias("slug"), says.alias("decision"), yes.alias("exists"), yes.alias("club"), none.alias("born"))
+    return bridging.accepted(stored, reviews).select(C("local_id").alias("c_custkey"), "status")
 
 
 @query("""SELECT k, CASE WHEN max(p) = 1 THEN 'second' ELSE 'first' END AS origin FROM (SELECT c_custkey AS k, 0 AS p FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey % 3 = 0) GROUP BY k""")

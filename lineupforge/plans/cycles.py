@@ -194,7 +194,7 @@ UNION ALL SELECT 'events', now, '', event_id FROM e WHERE event_type = 'error'
 UNION ALL SELECT 'consensus', now, '', n FROM sums QUALIFY row_number() OVER (PARTITION BY now ORDER BY own DESC) = 1
 UNION ALL SELECT 'source_ids', now, event_type, slug FROM ids QUALIFY row_number() OVER (PARTITION BY now, event_type ORDER BY own DESC) = 1
 UNION ALL SELECT 'mappings', now, '', user_id FROM (SELECT DISTINCT now, user_id, own FROM e WHERE user_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY now ORDER BY own DESC) = 1
-UNION ALL SELECT 'unmatched', now, '', event_id FROM e WHERE event_type = 'login'"""
+UNION ALL SELECT 'unmatched', now, '', event_id FROM e WHERE event_type = 'signup'"""
 
 
 @query(MERGED)
@@ -211,7 +211,7 @@ def merge_cascade(spark, sf_dir):
         "consensus": rows.where("event_id % 3 = 0").groupBy("player").agg(F.count(F.lit(1)).alias("value")),
         "source_ids": rows.where("event_id % 5 = 0").groupBy("player", "source").agg(F.min("event_id").alias("value")),
         "mappings": players.where("player % 3 = 0").withColumn("value", C("player")),
-        "unmatched": rows.where("source = 'login'").select(C("player").alias("resolved"), C("event_id").alias("value")),
+        "unmatched": rows.where("source = 'signup'").select(C("player").alias("resolved"), C("event_id").alias("value")),
     }
     out = cascade.merge(cascade.PLAYERS, tables, "players", "player", leaders)
     told = lambda name, df: df.select(F.lit(name).alias("table"), C("resolved" if name == "unmatched" else "player").alias("player"), (C("source") if "source" in df.columns else F.lit("")).alias("key"), (C("value") if "value" in df.columns else F.lit(None).cast("long")).alias("value"))

@@ -58,12 +58,12 @@ def season_weeks(spark, sf_dir):
     return intervals.weeks_of_seasons(orders, "stamp", seasons.withColumn("season", C("season").cast("long"))).select("o_orderkey", "season", "week")
 
 
-@query("""WITH v AS (SELECT DISTINCT user_id % 20 AS team, ts FROM events WHERE event_type = 'login' AND event_id % 5 = 0), r AS (SELECT event_id, user_id % 20 AS team, ts AS at FROM events WHERE event_type = 'purchase')
+@query("""WITH v AS (SELECT DISTINCT user_id % 20 AS team, ts FROM events WHERE event_type = 'signup' AND event_id % 5 = 0), r AS (SELECT event_id, user_id % 20 AS team, ts AS at FROM events WHERE event_type = 'purchase')
 SELECT event_id, CASE WHEN r.at < v.ts + INTERVAL 3 DAY THEN v.ts END AS fetched_at FROM r ASOF LEFT JOIN v ON r.team = v.team AND r.at >= v.ts""")
 def roster_as_of(spark, sf_dir):
     """The version of its team's roster that was there at each purchase, unless it was three days old."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", (C("user_id") % 20).alias("team"))
-    known = rows.where("event_type = 'login' and event_id % 5 = 0").select("team", C("ts").alias("fetched_at"))
+    known = rows.where("event_type = 'signup' and event_id % 5 = 0").select("team", C("ts").alias("fetched_at"))
     asked = rows.where("event_type = 'purchase'").select("event_id", "team", C("ts").alias("at"))
     return versions.as_of(asked, C("at"), known, ["team"], "fetched_at", 3).select("event_id", "fetched_at")
 
@@ -109,7 +109,7 @@ def sync_stages(spark, sf_dir):
 
 @query("""WITH e AS (SELECT *, user_id % 20 AS team, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS sev FROM events), teams AS (SELECT DISTINCT team FROM e UNION ALL SELECT 99),
 news AS (SELECT team, string_agg(event_id, ',' ORDER BY r) AS news FROM (SELECT team, event_id, row_number() OVER (PARTITION BY team ORDER BY sev DESC, ts DESC, event_id) AS r FROM e) WHERE r <= 8 GROUP BY team),
-ahead AS (SELECT team, string_agg(event_id, ',' ORDER BY r) AS upcoming FROM (SELECT team, event_id, row_number() OVER (PARTITION BY team ORDER BY ts, event_id) AS r FROM e WHERE event_type = 'login' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 9 DAY) WHERE r <= 5 GROUP BY team)
+ahead AS (SELECT team, string_agg(event_id, ',' ORDER BY r) AS upcoming FROM (SELECT team, event_id, row_number() OVER (PARTITION BY team ORDER BY ts, event_id) AS r FROM e WHERE event_type = 'signup' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 9 DAY) WHERE r <= 5 GROUP BY team)
 SELECT team, coalesce(news, '') AS news, (SELECT count(*) FROM e WHERE e.team = teams.team) AS news_total, coalesce(upcoming, '') AS upcoming FROM teams LEFT JOIN news USING (team) LEFT JOIN ahead USING (team)""")
 def team_documents(spark, sf_dir):
     """A document per team: its worst news, then the newest, and its next five matches."""
@@ -117,7 +117,7 @@ def team_documents(spark, sf_dir):
     severity = F.coalesce(*(F.when(C("event_type") == k, F.lit(v)) for k, v in kinds.items()), F.lit("none"))
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", (C("user_id") % 20).alias("team"), severity.alias("severity"))
     newest = rows.agg(F.max("ts")).first()[0]
-    ahead = rows.where((C("event_type") == "login") & (C("ts") >= F.lit(newest) - F.expr("interval 9 days")))
+    ahead = rows.where((C("event_type") == "signup") & (C("ts") >= F.lit(newest) - F.expr("interval 9 days")))
     teams = rows.select("team").distinct().unionByName(spark.createDataFrame([(99,)], "team long"))
     parts = {
         "news": documents.Part(rows, (F.desc(L.severity_rank(C("severity"))), F.desc("ts"), C("event_id")), 8, ("event_id", "severity", "ts")),

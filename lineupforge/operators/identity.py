@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens, edit_similarity, name_tokens, normalize_name, plain_tokens, prefix_dice, token_dice
+from ..functions.text import all_tokens, compared_tokens, edit_similarity, list_dice, name_tokens, normalize_name, plain_tokens, prefix_dice, strip_marks, token_dice
 from .state import first_per_key
 
 
@@ -83,6 +83,35 @@ def same_club(local: Column, remote: Column) -> Column:
     return F.coalesce(club_key(local) == club_key(remote), (shared > 0) & (shared >= F.least(F.lit(2), F.size(x))))
 
 
+# Words that don't tell clubs apart in a search.
+CLUB_NOISE = ["cf", "ud", "rc", "cd", "fc", "ca", "ac", "ad", "club", "de", "la", "el", "il", "al", "sd"]
+
+
+def bare_club(name: Column) -> Column:
+    """Lower case without marks and without the words that clubs share."""
+    words = F.filter(F.split(strip_marks(F.lower(F.coalesce(name, F.lit("")))), r"\s+"), lambda w: (w != "") & ~w.isin(CLUB_NOISE))
+    return F.array_join(words, " ")
+
+
+def clubs_alike(a: Column, b: Column) -> Column:
+    """Whether one bare club name holds the other; false where either is empty."""
+    x, y = bare_club(a), bare_club(b)
+    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
+
+
+def searched(local: DataFrame, hits: DataFrame) -> DataFrame:
+    """What research() asks for. local: local_id, name, team, born, nationality; hits: local_id, slug, display, club, born,
+    nationality. Names are compared with list_dice, clubs with clubs_alike; nations by their letters."""
+    c = F.col
+    letters = lambda x: F.nullif(F.regexp_replace(strip_marks(F.upper(F.coalesce(x, F.lit("")))), "[^A-Z]", ""), F.lit(""))
+    theirs = hits.select("local_id", "slug", "display", c("club").alias("_club"), c("born").alias("_born"), c("nationality").alias("_nation"))
+    both = local.join(theirs, "local_id")
+    return both.select(
+        "local_id", "slug", list_dice(compared_tokens(c("name")), compared_tokens(c("display"))).alias("name_score"), clubs_alike(c("team"), c("_club")).alias("club"),
+        (F.substring(c("born").cast("string"), 1, 10) == F.substring(c("_born").cast("string"), 1, 10)).alias("dob"), (letters(c("nationality")) == letters(c("_nation"))).alias("nat"),
+    )
+
+
 def name_score(local: Column, display: Column, full: Column) -> Column:
     """1 if a name is the display name or the full name, else the best of Dice and prefix Dice with either."""
     own = normalize_name(F.coalesce(local, F.lit("")))

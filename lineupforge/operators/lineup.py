@@ -49,4 +49,4 @@ def best_eleven(players: DataFrame) -> DataFrame:
     able = players.where("probability > 0 and sources_likely > 0").select("team", "player", "position", "probability")
     seat = F.row_number().over(Window.partitionBy("team", "position").orderBy(F.desc("probability"), "player"))
     able = able.withColumn("_seat", seat).where("_seat <= 11").drop("_seat")
-    return able.groupBy("team").applyInPandas(run, "team long, player long, line string, seat int")
+    return able.groupBy("team").applyInPandas(run, f"team {players.schema['team'].dataType.simpleString()}, player long, line string, seat int")

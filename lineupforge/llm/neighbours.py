@@ -3,10 +3,14 @@
 Vectors are normalised, so the largest inner product is the largest cosine, and cut into parts of four bits each. The
 codebooks and the codes minimise a loss in which the residual's component along the vector weighs more than the rest,
 since it is this that changes the score of a query that the vector matches. A scan adds up one table entry per part
-and query; the best of each block, and all that the error of their codes lets be nearer than the k-th of these, are
-reranked by the exact cosine in double precision, so large groups of near copies with equal codes lose none.
+and query; the best of each block are reranked by the exact cosine in double precision, and with them all whose rough
+score, and a share of what their code leaves out, reaches the k-th of these, or whose rough score is that of one of
+these k: large groups of near copies with equal codes lose none.
 
-The codebooks are fitted on at most SAMPLE vectors; every vector is coded, once, and written beside its code of two parts
+That share is calibrated: on the sample, codes fall short of the exact scores of near rows by more than it in one case of
+SHORT. With exact=True it is 1, beyond which no query can be; then no nearer row is lost, and many more are reranked.
+
+The codebooks are fitted on at most SAMPLE vectors, chosen by a hash; every vector is coded, once, and written beside its code of two parts
 a byte. Queries go in blocks of at most QUERIES, each broadcast (a bounded size) to a scan of all codes; of each scanned
 block only a query's best few remain. There is no coarse partition, so nothing is lost to one.
 
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PART, CENTRES, SAMPLE, QUERIES, RERANK, BLOCK, PARALLEL = 2, 16, 10_000, 2048, 60, 4096, 4.0
+#: One near row in so many falls shorter than the calibrated share; near rows of a query that are looked at for it.
+SHORT, NEAR = 1000, 20
 
 
 @dataclass
@@ -116,17 +122,38 @@ def _scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(rough: np.ndarray, unit: np.ndarray, error: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def calibrated(book: Codebooks, unit: np.ndarray, asked: int = 512) -> float:
+    """The share of a code's error by which the rough scores of the nearest rows hardly ever fall short of the exact ones,
+    between 0 and 1: on a sample of vectors, of which some ask."""
+    rows = unit[: 2 * BLOCK]
+    ask = rows[:asked]
+    code = book.encode(rows)
+    tables = np.einsum("qmd,mcd->qmc", book.parts(ask), book.centres).astype(np.float32)
+    rough, exact = _scan(code, tables), ask @ rows.T
+    own = np.arange(len(ask))
+    exact[own, own] = -np.inf
+    near = np.argsort(-exact, axis=1)[:, : min(NEAR, len(rows) - 1)]
+    if not near.size:
+        return 1.0
+    short = (np.take_along_axis(exact, near, 1) - np.take_along_axis(rough, near, 1)) / np.maximum(book.error(rows, code)[near], 1e-9)
+    return float(np.clip(np.quantile(short, 1 - 1 / SHORT), 0.0, 1.0))
+
+
+def _best(rough: np.ndarray, unit: np.ndarray, error: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int, rerank: int, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of query and row, and exact score, of each query's k nearest rows of a block (-inf in rough: not among
-    them). The rows of the rerank best rough scores come first; then all whose rough score plus error, the length of
-    what their code leaves out, reaches the k-th exact score of these. No nearer row is left out."""
+    them). The rows of the rerank best rough scores come first; then all whose rough score plus a share of their error, the
+    length of what their code leaves out, reaches the k-th exact score of these, and all whose rough score is not below
+    that of all these k. With a share of 1 no nearer row is left out."""
     some = np.argpartition(-rough, rerank - 1, axis=1)[:, :rerank] if rough.shape[1] > rerank else np.repeat(np.arange(rough.shape[1])[None], len(rough), 0)
     exact = np.einsum("qrd,qd->qr", unit[some], asked)
     exact[np.isneginf(np.take_along_axis(rough, some, 1))] = -np.inf
-    least = -np.sort(-exact, axis=1)[:, min(k, exact.shape[1]) - 1]
+    best = np.argsort(-exact, axis=1)[:, : min(k, exact.shape[1])]
+    least = np.take_along_axis(exact, best[:, -1:], 1)[:, 0]
+    lowest = np.take_along_axis(np.take_along_axis(rough, some, 1), best, 1).min(1)
     who, row, score = [], [], []
     for q in range(len(rough)):
-        near = np.flatnonzero((rough[q] + error >= least[q] - 1e-5) & ~np.isneginf(rough[q]))
+        fits = (rough[q] + share * error >= least[q] - 1e-5) | (rough[q] >= lowest[q] - 1e-5)
+        near = np.flatnonzero(fits & ~np.isneginf(rough[q]))
         value = (unit[near] * asked[q]).sum(1)  # row by row, so copies score the same
         if len(near) > k:
             fine = value >= np.partition(value, len(value) - k)[len(value) - k]
@@ -154,7 +181,17 @@ def coded(rows: DataFrame, book: Codebooks) -> DataFrame:
     return cut(rows.mapInPandas(run, f"vec_id long, embedding {kind}, code binary, error double"))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def sampled(rows: DataFrame, most: int) -> pd.DataFrame:
+    """The vectors of about most rows, at most so many, in the order of a hash of their vec_id. Rows are chosen by that hash
+    where they are; none but these leave their task."""
+    total = rows.count()
+    share = min(1.0, 0.95 * most / max(total, 1)) if total > most else 1.0
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
+    few = rows.select(place.alias("place"), "vec_id", "embedding").where(F.col("place") < int(share * (1 << 20))).limit(most).toPandas()
+    return few.sort_values(["place", "vec_id"], kind="stable", na_position="last", ignore_index=True)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK, sample: int = SAMPLE, exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query among all other rows."""
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -164,8 +201,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERAN
     if length is None:
         return empty
     rows = rows.where(F.size("embedding") == length["n"])
-    learn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).select("embedding").toPandas()
-    book = fit(_unit(learn["embedding"])[1])
+    learn = _unit(sampled(rows, sample)["embedding"])[1]
+    book = fit(learn)
+    share = 1.0 if exact else calibrated(book, learn)
     codes = coded(rows.where("vec_id is not null").select("vec_id", "embedding"), book)
     queries = cut(rows.where("is_query and vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     blocks = max(1, -(-queries.count() // QUERIES))
@@ -192,7 +230,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERAN
                     for q in range(0, len(ids), 128):
                         rough = _scan(codes, tables[q : q + 128])
                         rough[own[None, :] == ids[q : q + 128, None]] = -np.inf
-                        who, row, score = _best(rough, unit, error, own, asked[q : q + 128], k, rerank)
+                        who, row, score = _best(rough, unit, error, own, asked[q : q + 128], k, rerank, share)
                         yield pd.DataFrame({"query_id": ids[q : q + 128][who], "vec_id": own[row], "score": score})
 
         these = codes.mapInPandas(run, out)

@@ -162,10 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
         for part in parts:
             doc, term = of.pairs(part["text"].tolist())
             groups = np.split(term, np.searchsorted(doc, np.arange(1, len(part)))) if len(part) else []
-            yield pd.DataFrame({"y": (part["y"] > 0).astype("int32"), "terms": groups})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "y": (part["y"] > 0).astype("int32"), "terms": groups})
 
-    rows = cut(rows.select("text", "y").repartition(docs.sparkSession.sparkContext.defaultParallelism))
-    shape = "y int, terms array<int>"
+    rows = cut(rows.select("doc_id", "text", "y").repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    shape = "doc_id long, y int, terms array<int>"
     totals = rows.agg(F.count(F.lit(1)), F.sum((F.col("y") > 0).cast("long"))).first()
     if not totals[0]:
         return None
@@ -178,10 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
             yield part.assign(terms=[t.astype(np.int32).tobytes() for t in part["terms"]])
 
     # four bytes a term, and a partition at a time, so that the driver holds little besides
-    got = [(r["y"], bytes(r["terms"])) for r in cut(rows.mapInPandas(packed, "y int, terms binary")).toLocalIterator()]
-    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) // 4 for _, t in got])
-    term = np.frombuffer(b"".join(t for _, t in got), np.int32)
-    return train(known, weighted, doc, term, np.array([y for y, _ in got], np.float64))
+    got = [(r["place"], r["doc_id"], r["y"], bytes(r["terms"])) for r in cut(rows.mapInPandas(packed, "doc_id long, y int, terms binary").withColumn("place", F.xxhash64("doc_id"))).toLocalIterator()]
+    got.sort()  # the order in which rows are learnt from is theirs, not that of tasks
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) // 4 for *_, t in got])
+    term = np.frombuffer(b"".join(t for *_, t in got), np.int32)
+    return train(known, weighted, doc, term, np.array([y for _, _, y, _ in got], np.float64))
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:

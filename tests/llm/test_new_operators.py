@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineupforge.llm import divergence, oracles, queries, repair, urls
+from lineupforge.llm import divergence, neighbours, oracles, queries, repair, toxicity, urls
 from lineupforge.llm.earley import Grammar, Row, parse
 
 DOCS = "doc_id long, text string, lang string, source string, rank int, term string, n long"
@@ -312,3 +313,57 @@ def test_url_query(spark, tmp_path):
     got = queries.op13_url_filters(spark, str(tmp_path))
     assert got.columns == ["page_id", "host", "path", "rule", "verdict"] and got.count() == len(pages())
     assert {(r["rule"], r["verdict"]) for r in got.where("rule is not null").collect()} <= {(rule, verdict) for verdict, rule in RULES}
+
+
+def test_toxicity_is_learnt_alike_in_any_order(spark):
+    random.seed(3)
+    texts = [(i, " ".join(random.choices(["bad", "idiot", "group", "nice", "house", "tree", "river"], k=12)), None) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, other string")
+    labels = spark.createDataFrame([(i, int("idiot" in t and "group" in t)) for i, t, _ in texts], "doc_id long, toxic int")
+    one, two = (toxicity.fit(docs.repartition(n, "text"), labels.repartition(n)) for n in (2, 7))
+    assert (one.known == two.known).all() and (one.weight == two.weight).all() and (one.vector == two.vector).all() and one.bias == two.bias
+    scores = [rows(toxicity.score(docs.repartition(n), one)) for n in (1, 5)]
+    assert scores[0] == scores[1]
+
+
+def test_toxicity_of_long_empty_and_repeated_texts(spark):
+    long = "nice tree " * 60_000 + "idiot group"
+    docs = spark.createDataFrame([(1, "idiot group"), (2, "nice tree"), (3, None), (4, ""), (5, long), (5, long), (6, "idiot group")] + [(i, "idiot group" if i % 2 else "nice tree") for i in range(10, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 60)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    got = rows(toxicity.score(docs, machine))
+    score = dict(got)
+    assert len(got) == docs.count() and score[1] == score[6] > 0.9 and score[2] < 0.1 and score[3] == score[4] and 0 <= score[5] <= 1
+    assert toxicity.score(docs.where("false"), machine).count() == 0
+
+
+def test_codes_decide_and_an_exact_way_is_there(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + 1e-3 * rng.normal(size=(1000, 16))  # a third are near copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 3000, 50):
+        near = unit @ unit[q]
+        near[q] = -9
+        want[q] = set(np.lexsort((np.arange(3000), -near))[:5])
+    found = {}
+    for exact in (False, True):
+        got = neighbours.search(df, F.col("vec_id") % 50 == 0, exact=exact).collect()
+        found[exact] = sum(r["vec_id"] in want[r["query_id"]] for r in got) / (5 * len(want))
+    assert found[True] == 1.0 and found[False] >= 0.97
+    book = neighbours.fit(unit)
+    code = book.encode(unit)
+    share = neighbours.calibrated(book, unit)
+    asked = unit[1000::40]
+    rough = neighbours._scan(code, np.einsum("qmd,mcd->qmc", book.parts(asked), book.centres).astype(np.float32))
+    least = -np.sort(-(asked @ unit.T), axis=1)[:, 5]
+    kept = (rough + share * book.error(unit, code) >= least[:, None]).mean()
+    assert share < 0.8 and kept < 0.1  # few of all pairs are scored exactly
+
+
+def test_vectors_are_sampled_where_they_are(spark):
+    df = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    few = neighbours.sampled(df, 1000)
+    assert 850 <= len(few) <= 1000 and few.equals(neighbours.sampled(df.repartition(9), 1000)) and len(neighbours.sampled(df, 6000)) == 5000

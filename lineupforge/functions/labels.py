@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_name, strip_accents
+from .text import STOP_WORDS, fold_name, strip_accents
 
-# Labels, months, days; words that don't tell clubs apart; the dash for what is missing.
+# Labels, months, days; the dash for what is missing.
 EVENTS = {"injury": "Lesión", "suspension": "Sanción", "doubt": "Duda", "transfer": "Fichaje"}
 SEVERITIES = {"none": "Sin gravedad", "light": "Leve", "moderate": "Moderada", "serious": "Grave", "out": "Baja segura"}
 RUNS = {"running": "En curso", "success": "OK", "partial": "Parcial", "failed": "Fallo"}
@@ -15,7 +15,6 @@ MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 SHORT_MONTHS = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sept", "oct", "nov", "dic"]
 DAYS = ["domingo", "lunes", "martes", "miércoles", "jueves", "viernes", "sábado"]
 SHORT_DAYS = ["dom", "lun", "mar", "mié", "jue", "vie", "sáb"]
-CLUB_WORDS = ["fc", "cf", "ud", "rcd", "ca", "club", "real", "de", "la", "el"]
 MISSING = "—"
 
 
@@ -90,7 +89,7 @@ def nationality(value: Column) -> Column:
 def club_known(local: Column, name: Column, slug: Column) -> Column:
     """Whether all telling words of a local club stand in a name and slug; null if neither is known, false if the local
     club has no telling word."""
-    ours = F.array_except(F.filter(F.split(fold_name(local), " "), lambda t: t != ""), F.array(*map(F.lit, CLUB_WORDS)))
+    ours = F.array_except(F.filter(F.split(fold_name(local), " "), lambda t: t != ""), F.array(*map(F.lit, STOP_WORDS)))
     theirs = F.split(fold_name(F.concat_ws(" ", name, F.translate(slug, "-", " "))), " ")
     return F.when(name.isNull() & slug.isNull(), None).otherwise((F.size(ours) > 0) & (F.size(F.array_except(ours, theirs)) == 0))
 

@@ -78,8 +78,3 @@ def refresh_plan(expires: Column, now: Column, force: Column) -> Column:
 
 def tone(c: Column) -> Column:
     return F.when(c >= 80, "high").when(c >= 60, "medium").otherwise("low")
-
-
-def time_ago(seconds: Column) -> Column:
-    minutes = F.floor(seconds / 60)
-    return F.when(minutes < 1, "now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit(" d")))

@@ -108,6 +108,14 @@ def answered(requests: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     return requests.join(counts, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
+def audited(requests: DataFrame, answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """slug, status: found or missing where its batch was answered, unknown where the batch failed or never was asked.
+    requests: slug, batch; answers: batch, error (null: none); hits: slug."""
+    told = requests.join(answers.where("error is null").select("batch").distinct().withColumn("_told", F.lit(True)), "batch", "left")
+    seen = told.join(hits.select("slug").distinct().withColumn("_hit", F.lit(True)), "slug", "left")
+    return seen.select("slug", F.when(F.col("_told").isNull(), "unknown").when(F.col("_hit"), "found").otherwise("missing").alias("status"))
+
+
 def unresolved(players: DataFrame, resolved: DataFrame, candidates: DataFrame) -> DataFrame:
     """players who aren't resolved, with the candidates of their club. players: local_id, club; resolved: local_id;
     candidates: slug, club."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, normalize_name, significant_tokens
+from ..sinks.shared import written
 
 # Full first names by nickname, those of the smaller table, particles of last names, names of rules.
 NICKNAMES = {
@@ -222,15 +223,15 @@ def duplicate_links(players: DataFrame, key: Column) -> DataFrame:
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """node, leader (the smallest reachable) of links a, b: the minimum over neighbours, then the leader's leader, until
-    nothing changes, however many rounds that takes. Rounds are checkpointed where the session names a folder for it."""
+    nothing changes, however many rounds that takes. Each round is written once, so its lineage ends there."""
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    labels = keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), F.col("l").alias("leader")))
+    edges = written(edges)
+    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), F.col("l").alias("leader")))
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("leader").alias("m"))
         hop = labels.select(F.col("node").alias("leader"), F.col("leader").alias("up"))
         new = labels.join(hop, "leader").join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("leader", "up", "m").alias("new"), "leader")
-        new = keep(new)
+        new = written(new)
         done = new.where("new < leader").isEmpty()
         labels = new.select("node", F.col("new").alias("leader"))
         if done:

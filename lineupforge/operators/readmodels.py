@@ -9,13 +9,28 @@ from ..functions.labels import severity_rank
 from .documents import Part, top_lists
 from .jobs import shown_rounds
 from .lineup import best_eleven
-from .state import first_per_key
+from .state import first_per_key, latest_within_newest
 
 NEWS_HOURS, NEWS_ROWS, NEXT = 48, 500, 5
 #: More players than any squad has; the list of a team is bounded by it.
 SQUAD = 1000
 
 
+def home_teams(teams: DataFrame, players: DataFrame, consensus: DataFrame, likely: int = 60) -> DataFrame:
+    """teams with players, covered (those with a consensus) and likely; 0 where a team has none."""
+    rows = players.select("team", "player").join(consensus.select("player", "probability"), "player", "left")
+    counts = rows.groupBy("team").agg(F.count(F.lit(1)).alias("players"), F.count("probability").alias("covered"), F.count_if(F.col("probability") >= likely).alias("likely"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return teams.join(counts, "team", "left").withColumns({c: zero(c) for c in ("players", "covered", "likely")})
+
+
+def source_status(sources: DataFrame, runs: DataFrame, newest: int = 100) -> DataFrame:
+    """sources with status and finished_at of their last run among the newest runs of all sources; null where a source has
+    none among these, for then it has been silent for long."""
+    last = latest_within_newest(runs, ["source"], [F.desc("finished_at"), F.desc("run")], newest)
+    return sources.join(last.select("source", "status", "finished_at"), "source", "left")
+
+
 def by_source_name(agreement: Column, names: Column, locale: str = "es") -> Column:
     """An array of structs with source in the order of the sources' names, as the locale has it; names: a map."""
     keyed = F.transform(agreement, lambda a: F.struct(F.collate(F.coalesce(F.try_element_at(names, a["source"]), a["source"]), locale).alias("name"), a["source"].alias("source"), a.alias("a")))

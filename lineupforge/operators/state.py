@@ -27,6 +27,12 @@ def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFra
     return base.unionByName(delta.join(base.select(*keys), keys, "left_anti").select(*base.columns))
 
 
+def seeded(base: DataFrame, catalogue: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(base with the catalogue's rows that it lacks, rows of base that the catalogue lacks): what is outside is told, not
+    deleted."""
+    return insert_ignore(base, catalogue, keys), base.join(catalogue.select(*keys), keys, "left_anti")
+
+
 def _both(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     new = delta.select(*keys, F.lit(True).alias("_new"), *(F.col(c).alias(f"_n_{c}") for c in base.columns if c not in keys))
     return base.withColumn("_old", F.lit(True)).join(new, keys, "full_outer")

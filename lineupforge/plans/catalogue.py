@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import bridging, caching, identity, readmodels
+from ..operators import bridging, caching, identity, ordered, readmodels
+from ..operators import consensus as CO
+from ..operators import state as S
+from ..sources import adapters
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -216,3 +219,74 @@ def agreement_by_name(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
     said = rows.groupBy("user_id").agg(F.collect_list(F.struct(C("event_type").alias("source"), N.clamp_probability(C("value")).alias("probability"))).alias("agreement"))  # a row per source
     return said.select("user_id", F.array_join(F.transform(readmodels.by_source_name(C("agreement"), known), lambda a: a["source"]), ",").alias("sources"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_partkey AS local_id, l_suppkey AS s, 's' || l_suppkey AS slug, p_name, string_split(p_name, ' ') AS x, p_partkey % 10 = 0 AS no_dob FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT *, CASE WHEN s % 3 = 0 THEN x WHEN s % 3 = 1 THEN [x[1], 'zz' || s] ELSE [x[2], x[1]] END AS y, s % 2 = 0 AS club, s % 4 = 0 AND NOT no_dob AS dob, s % 5 = 0 AS nat FROM c),
+e AS (SELECT *, 2.0::DOUBLE * len(list_intersect(list_distinct(x), list_distinct(y))) / (len(x) + len(y)) AS name_score FROM n), k AS (SELECT *, (dob AND name_score >= 0.5) OR (club AND name_score >= 0.7) OR name_score >= 0.9 AS ok FROM e),
+t AS (SELECT *, CASE WHEN ok THEN name_score + 0.3::DOUBLE * dob::INT + 0.15::DOUBLE * club::INT + 0.1::DOUBLE * nat::INT END AS total FROM k),
+r AS (SELECT *, row_number() OVER w AS rn, lead(total) OVER w AS nxt FROM t WINDOW w AS (PARTITION BY local_id ORDER BY total DESC NULLS LAST, slug)), d AS (SELECT *, CASE WHEN NOT ok THEN 'weak' WHEN nxt >= total - 0.1::DOUBLE THEN 'ambiguous' ELSE 'verified' END AS kind FROM r WHERE rn = 1)
+SELECT local_id, kind, CASE WHEN kind <> 'weak' THEN slug END AS slug, CASE WHEN kind = 'verified' THEN CAST(floor(1000 * round(least(0.99::DOUBLE, 0.7::DOUBLE + 0.2::DOUBLE * dob::INT + 0.05::DOUBLE * club::INT + 0.04::DOUBLE * nat::INT), 2) + 0.5) AS BIGINT) END AS confidence FROM d""")
+def research_search(spark, sf_dir):
+    """What a search's hits say of each player: names, clubs, dates and nations compared as a search does."""
+    found = identity.research(identity.searched(*_people(spark, sf_dir)))
+    return found.select("local_id", "kind", "slug", F.floor(1000 * C("confidence") + 0.5).alias("confidence"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(string_split(p_name, ' ')[1]) <= 3 THEN string_split(p_name, ' ')[2] ELSE p_name END AS words FROM part")
+def search_words(spark, sf_dir):
+    """What to search for, by name."""
+    return table(spark, sf_dir, "part").select("p_partkey", adapters.search_words(C("p_name")).alias("words"))
+
+
+@query("""WITH d AS (SELECT 's' || s_suppkey AS slug, (row_number() OVER (ORDER BY 's' || s_suppkey) - 1) // 20 AS batch, s_acctbal FROM supplier) SELECT slug, CASE WHEN batch % 4 = 1 THEN 'unknown' WHEN s_acctbal > 0 THEN 'found' ELSE 'missing' END AS status FROM d""")
+def audit_batches(spark, sf_dir):
+    """Slugs asked for in batches of twenty, every fourth of which failed: found, missing, or not known."""
+    supplier = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), C("s_suppkey").cast("string")).alias("slug"), "s_acctbal")
+    asked = ordered.batches(supplier.select("slug"), ["slug"], 20)
+    answers = asked.select("batch").distinct().withColumn("error", F.when(C("batch") % 4 == 1, "timeout"))
+    return bridging.audited(asked, answers, supplier.where("s_acctbal > 0"))
+
+
+@query("""SELECT n_nationkey AS team, CASE WHEN n_nationkey % 3 = 0 THEN 'old' ELSE 'new' END AS label, n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 AS outside FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 1""")
+def catalogue_seed(spark, sf_dir):
+    """A catalogue put into a table: rows that are there stay, rows outside the catalogue are told."""
+    nation = table(spark, sf_dir, "nation").select(C("n_nationkey").alias("team"))
+    base = nation.where("team % 3 = 0").withColumn("label", F.lit("old"))
+    rows, outside = S.seeded(base, nation.where("team % 2 = 1").withColumn("label", F.lit("new")), ["team"])
+    return rows.join(outside.select("team", F.lit(True).alias("outside")), "team", "left").withColumn("outside", F.coalesce("outside", F.lit(False)))
+
+
+@query("""WITH runs AS (SELECT event_id, event_type AS source, CASE WHEN value > 300 THEN 'failed' ELSE 'success' END AS status, ts FROM events WHERE event_id % 7 = 0 AND (event_type <> 'error' OR event_id < 100)),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT * FROM runs ORDER BY ts DESC, event_id DESC LIMIT 100)) WHERE rn = 1)
+SELECT s.source, status, ts AS finished_at FROM (SELECT DISTINCT event_type AS source FROM events) s LEFT JOIN last USING (source)""")
+def home_sources(spark, sf_dir):
+    """Each source's last run among the newest hundred of all."""
+    events = table(spark, sf_dir, "events")
+    runs = events.where("event_id % 7 = 0 and (event_type != 'error' or event_id < 100)").select(C("event_id").alias("run"), C("event_type").alias("source"), F.when(C("value") > 300, "failed").otherwise("success").alias("status"), C("ts").alias("finished_at"))
+    return readmodels.source_status(events.select(C("event_type").alias("source")).distinct(), runs)
+
+
+@query("""SELECT n_nationkey AS team, count(c_custkey) AS players, count(c_custkey) FILTER (c_custkey % 4 <> 0) AS covered, count(c_custkey) FILTER (c_custkey % 4 <> 0 AND c_custkey % 101 >= 60) AS likely FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) ON c_nationkey = n_nationkey GROUP BY 1""")
+def home_teams(spark, sf_dir):
+    """Teams with how many of their players are covered, and likely."""
+    customer, nation = table(spark, sf_dir, "customer").where("c_nationkey != 3"), table(spark, sf_dir, "nation")
+    players = customer.select(C("c_nationkey").alias("team"), C("c_custkey").alias("player"))
+    known = players.where("player % 4 != 0").select("player", (C("player") % 101).alias("probability"))
+    return readmodels.home_teams(nation.select(C("n_nationkey").alias("team")), players, known)
+
+
+@query("""WITH l AS (SELECT * FROM (SELECT event_id, ts, user_id, event_type, user_id % 20 AS team, CAST(greatest(0, least(100, floor(value + 0.5))) AS INTEGER) AS p, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
+f AS (SELECT *, event_id % 4 = 0 AS sure FROM l WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR),
+g AS (SELECT a.team, a.user_id, c.event_type AS source, coalesce(f.p, 0) AS p, coalesce(f.sure, false) AS sure, f.ts FROM (SELECT DISTINCT team, user_id FROM f) a JOIN (SELECT DISTINCT team, event_type FROM f) c USING (team) LEFT JOIN f ON f.user_id = a.user_id AND f.event_type = c.event_type)
+SELECT user_id AS player, source, p AS probability, CASE WHEN sure THEN 'confirmed' ELSE 'probable' END AS kind, ts AS fetched_at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sure DESC, p DESC, source) - 1 AS INTEGER) AS place FROM g""")
+def consensus_agreement(spark, sf_dir):
+    """The sources behind a consensus with kind and time: confirmed ones first, then by falling probability."""
+    events = table(spark, sf_dir, "events")
+    newest = events.agg(F.max("ts")).first()[0]
+    last = S.first_per_key(events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).where(C("ts") >= F.lit(newest) - F.expr("interval 12 hours"))
+    kind = F.when(C("event_id") % 4 == 0, "confirmed").otherwise("probable")
+    rows = last.select((C("user_id") % 20).alias("team"), C("user_id").alias("player"), C("event_type").alias("source"), N.clamp_probability(C("value")).alias("probability"), kind.alias("kind"), C("ts").alias("fetched_at"))
+    sources = events.select(C("event_type").alias("source")).distinct().withColumn("weight", F.lit(1.0))
+    out = CO.consensus_detailed(rows, sources).select("player", F.posexplode("agreement").alias("place", "a"))
+    return out.select("player", "a.source", "a.probability", "a.kind", "a.fetched_at", "place")

@@ -103,4 +103,20 @@ SELECT all_ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
   coalesce(CAST(best[:12] AS BIGINT), 0) AS cost, coalesce(best[13:], '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) all_ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM all_ids.conv_id LEFT JOIN done USING (k) LEFT JOIN fixed USING (k)"""
 
-SQL = {"op1_quality_rules": QUALITY, "op4_substring_dedup": SUBSTRINGS, "op5_chat_format": CHAT, "op7_ngram_jaccard": JACCARD, "op11_source_divergence": DIVERGENCE, "op12_conversation_repair": REPAIR}
+# All token sets of the labelled URLs are counted (URLs of the given tables have eight tokens at most), as FP-growth would.
+_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')"
+URLS = rf"""
+WITH u AS (SELECT page_id, {_AZ.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+l AS (SELECT *, CASE WHEN {_FITS.format("example.com", "de/")} THEN 'example.com/de/' WHEN {_FITS.format("example.net", "en/")} THEN 'example.net/en/' WHEN {_FITS.format("org", "fr/")} THEN 'org/fr/' WHEN {_FITS.format("net", "")} THEN 'net/' END AS rule,
+  list_sort(list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+    list_transform(list_filter(regexp_split_to_array({_AZ.format("path")}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g'))))) AS t FROM u),
+k AS (SELECT *, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' END AS label FROM l),
+sets AS (SELECT list_filter(t, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS a, label FROM (SELECT t, label, unnest(range(1, 1::BIGINT << len(t))) AS mask FROM k WHERE label IS NOT NULL)),
+counts AS (SELECT a, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY a) AS total FROM sets GROUP BY a, label),
+mined AS (SELECT a, label, n, n::DOUBLE / total AS c FROM counts WHERE n >= greatest(3, ceil(0.002 * (SELECT count(*) FROM k WHERE label IS NOT NULL))) AND n::DOUBLE / total >= 0.9),
+kept AS (SELECT * FROM mined m WHERE NOT EXISTS (SELECT 1 FROM mined s WHERE s.label = m.label AND len(s.a) < len(m.a) AND s.c >= m.c AND list_has_all(m.a, s.a))),
+best AS (SELECT t, first(kept.label ORDER BY c DESC, n DESC, len(a), a, kept.label) AS verdict FROM (SELECT DISTINCT t FROM k WHERE label IS NULL) open JOIN kept ON list_has_all(t, a) GROUP BY t)
+SELECT page_id, host, path, rule, coalesce(label, best.verdict, 'allow') AS verdict FROM k LEFT JOIN best ON best.t = k.t"""
+
+SQL = {"op1_quality_rules": QUALITY, "op4_substring_dedup": SUBSTRINGS, "op5_chat_format": CHAT, "op7_ngram_jaccard": JACCARD, "op11_source_divergence": DIVERGENCE, "op12_conversation_repair": REPAIR, "op13_url_filters": URLS}

@@ -294,12 +294,13 @@ def test_urls_without_labels(spark):
     assert {r["verdict"] for r in urls.judged(df, rules=RULES, default="block").collect()} == {"block"}
 
 
-@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_conversation_repair"])
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_conversation_repair", "op13_url_filters"])
 def test_queries_against_sql(spark, name, tmp_path):
     spark.createDataFrame(collection(), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(talks()[0], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, u, "<p>") for i, u in pages()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     got = queries.QUERIES[name](spark, str(tmp_path))
     want = con.sql(oracles.SQL[name])
@@ -308,13 +309,6 @@ def test_queries_against_sql(spark, name, tmp_path):
     assert rows(got) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr)
 
 
-def test_url_query(spark, tmp_path):
-    spark.createDataFrame([(i, u, "<p>") for i, u in pages()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = queries.op13_url_filters(spark, str(tmp_path))
-    assert got.columns == ["page_id", "host", "path", "rule", "verdict"] and got.count() == len(pages())
-    assert {(r["rule"], r["verdict"]) for r in got.where("rule is not null").collect()} <= {(rule, verdict) for verdict, rule in RULES}
-
-
 def test_toxicity_is_learnt_alike_in_any_order(spark):
     random.seed(3)
     texts = [(i, " ".join(random.choices(["bad", "idiot", "group", "nice", "house", "tree", "river"], k=12)), None) for i in range(400)]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
 from ..operators.state import first_per_key
+from . import pages as P
+from .html import is_squad_section, squad
 from .pages import CERTAIN
 
 # From which share on a player is certain; notes of a source that flags doubts.
@@ -91,3 +96,50 @@ def search_words(name: Column) -> Column:
     full = F.try_element_at(F.create_map(*(F.lit(x) for pair in SEARCH_NAMES.items() for x in pair)), first)
     words = F.when((n >= 2) & full.isNotNull(), F.concat_ws(" ", full, F.get(t, 1))).when(n >= 3, F.array_join(F.slice(t, 1, 2), " ")).when((n == 2) & (F.length(first) <= 3), F.get(t, 1)).otherwise(F.array_join(t, " "))
     return F.when(n > 0, words)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a source's pages are read: players and events from landed pages."""
+
+    players: Callable[[DataFrame], DataFrame]
+    events: Callable[[DataFrame], DataFrame]
+
+
+# The sections of a page that lists a team by position.
+SECTIONS = {"portero": "POR", "defensa": "DEF", "medio": "MED", "delantero": "DEL"}
+#: The layouts by source; another source needs an entry here and nothing else.
+LAYOUTS = {
+    "sectioned": Layout(lambda pages: P.sectioned_lineup(pages, SECTIONS), lambda pages: P.flagged_events(P.sectioned_lineup(pages, SECTIONS))),
+    "photos": Layout(P.photo_lineup, P.medical_report),
+    "sided": Layout(P.sided_lineup, P.absences),
+    "rows": Layout(P.row_lineup, P.unavailable),
+}
+
+
+def read_source(source: str, layout: Layout, pages: DataFrame, meant: DataFrame) -> dict[str, DataFrame]:
+    """reports, events, answers (one row) and quarantine of a source, as jobs takes them. pages: page_id, url, html; meant:
+    page_id, place, home, away. A page that gives no players goes to quarantine and makes the run partial; the others count."""
+    players = layout.players(pages)
+    found = layout.events(pages).join(meant.select("page_id", "home", "away"), "page_id")
+    team = F.when(F.col("side") == "home", F.col("home")).otherwise(F.col("away"))
+    none = F.lit(None).cast("string")
+    events = found.select(F.lit(source).alias("source"), team.alias("team"), F.col("player").alias("raw"), "event", "severity", "reason", none.alias("expected_return"), none.alias("note")).where("team is not null")
+    return {"reports": reports(players, meant, source), "events": events, "answers": answer(pages, players, source), "quarantine": P.quarantine(pages, players)}
+
+
+def encyclopaedia_rosters(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(team, page, section, name, position of the squads that could be read; team, page, error of the others) from landed
+    answers: team, page, redirects, sections, wikitext (JSON texts; null where a call failed).
+
+    The page is where the redirect leads, the section the first whose line is one of a squad; the wikitext is that
+    section's. A failure concerns its own team alone."""
+    redirect = F.from_json("redirects", "query struct<redirects:array<struct<to:string>>>")["query"]["redirects"]
+    listed = F.from_json("sections", "parse struct<sections:array<struct<line:string,index:string>>>")["parse"]["sections"]
+    section = F.get(F.filter(listed, lambda s: is_squad_section(s["line"])), F.lit(0))
+    text = F.from_json("wikitext", "parse struct<wikitext:struct<`*`:string>>")["parse"]["wikitext"]["*"]
+    rows = landed.select("team", F.coalesce(F.get(redirect, F.lit(0))["to"], F.col("page")).alias("page"), section["line"].alias("section"), F.coalesce(squad(text), F.array().cast("array<struct<name:string,position:string>>")).alias("squad"), F.col("sections").isNull().alias("lost"), F.col("wikitext").isNull().alias("silent"))
+    error = F.when(F.col("lost"), "no answer on sections").when(F.col("section").isNull(), "no section of a squad").when(F.col("silent"), "no answer on the text")
+    rows = rows.withColumn("error", error)
+    fine = rows.where("error is null").select("team", "page", "section", F.explode("squad").alias("p")).select("team", "page", "section", "p.name", "p.position")
+    return fine, rows.where("error is not null").select("team", "page", "error")

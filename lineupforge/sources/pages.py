@@ -110,7 +110,10 @@ def flagged_events(rows: DataFrame) -> DataFrame:
 
 
 def listed_matches(pages: DataFrame, prefix: str) -> DataFrame:
-    """page_id, ord, match, home, away of the item lists in a page's linked data; names stand as 'A vs. B'."""
+    """page_id, ord, match, home, away of the item lists in a page's linked data; names stand as 'A vs. B'.
+
+    A match that was listed before ends its block: what follows it there is not read, as the format's reader has it. A
+    page's items are folded in order, in its own row."""
     blocks = F.regexp_extract_all("html", F.lit(r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
     item = "struct<url:string,item:struct<url:string,name:string>>"
     lists = pages.select("page_id", F.posexplode(blocks).alias("block", "text")).where(F.col("text").contains("ItemList"))
@@ -118,8 +121,21 @@ def listed_matches(pages: DataFrame, prefix: str) -> DataFrame:
     many = F.flatten(F.filter(F.transform(F.from_json("text", f"array<struct<itemListElement:array<{item}>>>"), lambda x: x["itemListElement"]), lambda x: x.isNotNull()))
     rows = lists.select("page_id", "block", F.posexplode(F.when(F.ltrim("text").startswith("["), many).otherwise(one)).alias("at", "i"))
     url, sides = F.coalesce("i.url", "i.item.url"), F.split("i.item.name", r"(?i)\s+vs\.?\s+")
-    rows = rows.where(url.startswith(prefix)).select("page_id", (F.col("block") * 1_000_000 + F.col("at")).alias("ord"), F.substring(url, F.lit(len(prefix) + 1), F.length(url)).alias("match"), F.get(sides, 0).alias("home"), F.get(sides, 1).alias("away"))
-    return first_per_key(rows.where("home != '' and away != ''"), ["page_id", "match"], [F.col("ord")])
+    rows = rows.where(url.startswith(prefix)).select("page_id", "block", (F.col("block") * 1_000_000 + F.col("at")).alias("ord"), F.substring(url, F.lit(len(prefix) + 1), F.length(url)).alias("match"), F.get(sides, 0).alias("home"), F.get(sides, 1).alias("away"))
+    item_kind = "struct<ord:bigint,block:int,match:string,home:string,away:string>"
+    pages_items = rows.where("home != '' and away != ''").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("block").cast("int").alias("block"), "match", "home", "away"))).alias("items"))
+    begin = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{item_kind}>").alias("kept"), F.lit(-1).alias("ended"))
+
+    def read(state: Column, x: Column) -> Column:
+        over, known = state["ended"] == x["block"], F.array_contains(state["seen"], x["match"])
+        new = ~over & ~known
+        return F.struct(
+            F.when(new, F.array_append(state["seen"], x["match"])).otherwise(state["seen"]).alias("seen"),
+            F.when(new, F.array_append(state["kept"], x)).otherwise(state["kept"]).alias("kept"), F.when(known & ~over, x["block"]).otherwise(state["ended"]).alias("ended"),
+        )
+
+    kept = pages_items.select("page_id", F.explode(F.aggregate("items", begin, read)["kept"]).alias("m"))
+    return kept.select("page_id", "m.ord", "m.match", "m.home", "m.away")
 
 
 def linked_matches(pages: DataFrame, slugs: DataFrame, section: str | None = "proxjornada") -> DataFrame:

@@ -1,5 +1,6 @@
 """The page layouts on small hand-written pages."""
 
+from lineupforge.sources import adapters as A
 from lineupforge.sources import pages as P
 
 
@@ -68,3 +69,33 @@ def test_row_lineup_and_unavailable(spark):
     assert _rows(P.row_lineup(pages), "side", "player", "position", "probability") == [("away", "Carla", "POR", 100), ("away", "Dora", "DEL", 100), ("home", "Ana", "POR", 55), ("home", "Bea", "DEL", 100)]
     assert set(_rows(P.unavailable(pages), "side", "player", "event", "severity", "reason")) == {
         ("home", "Eva", "injury", "moderate", "knee"), ("home", "Flo", "doubt", "none", "Duda"), ("home", "Ira", "injury", "light", "Duda"), ("away", "Gia", "suspension", "moderate", "Sancionada"), ("away", "Hel", "injury", "light", None)}
+
+
+def test_a_repeat_ends_its_block(spark):
+    item = lambda i: f'{{"url":"https://x.example/m/{i}","item":{{"name":"H{i} vs A{i}"}}}}'
+    block = lambda *n: '<script type="application/ld+json">{"@type":"ItemList","itemListElement":[' + ",".join(map(item, n)) + "]}</script>"
+    got = P.listed_matches(_pages(spark, block(1, 2, 1, 3) + block(4, 3, 2, 5) + block(5), block(9, 9)), "https://x.example/m/").orderBy("page_id", "ord")
+    assert [(r["page_id"], r["match"]) for r in got.collect()] == [(0, "1"), (0, "2"), (0, "4"), (0, "3"), (0, "5"), (1, "9")]
+
+
+def test_sources_read_as_a_whole(spark):
+    photos = """<div data-lineup-field><img alt="Foto de Ana Gil" src="a.png"><span class="b tabular-nums">75%</span></div><div data-lineup-field><img alt="Foto de Bea" src="b.png"></div>
+    <h3>Jugadores en Duda (1)</h3><a href="/jugadores/a"><span class="truncate">Ana Gil</span><p>knee</p></a>"""
+    again = '<div data-lineup-field><img alt="Foto de Other" src="a.png"></div><div data-lineup-field><img alt="Foto de Eva" src="b.png"></div>'
+    landed = _pages(spark, photos, again, "<p>nothing</p>")
+    meant = spark.createDataFrame([(0, 1, "t", "u"), (1, 2, "t", "v"), (2, 3, "w", "x")], "page_id long, place int, home string, away string")
+    out = A.read_source("s", A.LAYOUTS["photos"], landed, meant)
+    assert sorted(tuple(r) for r in out["reports"].select("team", "raw", "probability", "certain").collect()) == [("t", "Ana Gil", 75.0, False), ("u", "Bea", 100.0, True), ("v", "Eva", 100.0, True)]
+    assert [tuple(r)[:6] for r in out["events"].collect()] == [("s", "t", "Ana Gil", "doubt", "none", "knee")]
+    assert [tuple(r) for r in out["answers"].collect()] == [("s", True, None)] and [r["page_id"] for r in out["quarantine"].collect()] == [2]
+    for layout in A.LAYOUTS.values():
+        assert layout.players(landed.limit(0)).count() == 0 and layout.events(landed.limit(0)).count() == 0
+
+
+def test_encyclopaedia_rosters(spark):
+    sections = '{"parse":{"sections":[{"line":"Historia","index":"1"},{"line":"Plantilla 2025","index":"7"},{"line":"Plantel 2026","index":"8"}]}}'
+    wiki = '{"parse":{"wikitext":{"*":"{{Jugador de fútbol con esquema|no=1|pos=POR|nombre=[[Unai Simón]]}} {{Jugador de fútbol con esquema|pos=DF|nombre=Ana Gil}}"}}}'
+    landed = spark.createDataFrame([("a", "A", '{"query":{"redirects":[{"to":"A2"}]}}', sections, wiki), ("b", "B", None, '{"parse":{"sections":[{"line":"x","index":"1"}]}}', wiki), ("c", "C", "{}", None, None), ("d", "D", "", sections, None)], "team string, page string, redirects string, sections string, wikitext string")
+    fine, failed = A.encyclopaedia_rosters(landed)
+    assert sorted(map(tuple, fine.collect())) == [("a", "A2", "Plantilla 2025", "Ana Gil", "DEF"), ("a", "A2", "Plantilla 2025", "Unai Simón", "POR")]
+    assert sorted(map(tuple, failed.collect())) == [("b", "B", "no section of a squad"), ("c", "C", "no answer on sections"), ("d", "D", "no answer on the text")]

@@ -106,14 +106,25 @@ class Layout:
     events: Callable[[DataFrame], DataFrame]
 
 
-# The sections of a page that lists a team by position.
-SECTIONS = {"portero": "POR", "defensa": "DEF", "medio": "MED", "delantero": "DEL"}
+# The sections of a page that lists a team by position, and what stands before its pictures.
+SECTIONS = {"portero": "POR", "defensas": "DEF", "medios": "MED", "delanteros": "DEL"}
+SECTIONED_BASE = "https://www.comuniate.com"
+
+
+def _sectioned(pages: DataFrame) -> DataFrame:
+    return P.sectioned_lineup(pages, SECTIONS, SECTIONED_BASE)
+
+
+def _flagged(pages: DataFrame) -> DataFrame:
+    return flag_notes(_sectioned(pages)).select("page_id", "side", "ord", "player", "event", "severity", F.lit(None).cast("string").alias("reason"), "note")
+
+
 #: The layouts by source; another source needs an entry here and nothing else.
 LAYOUTS = {
-    "sectioned": Layout(lambda pages: P.sectioned_lineup(pages, SECTIONS), lambda pages: P.flagged_events(P.sectioned_lineup(pages, SECTIONS))),
-    "photos": Layout(P.photo_lineup, P.medical_report),
-    "sided": Layout(P.sided_lineup, P.absences),
-    "rows": Layout(P.row_lineup, P.unavailable),
+    "comuniate": Layout(_sectioned, _flagged),
+    "analiticafantasy": Layout(P.photo_lineup, P.medical_report),
+    "futbolfantasy": Layout(P.sided_lineup, P.absences),
+    "jornadaperfecta": Layout(P.row_lineup, P.unavailable),
 }
 
 
@@ -124,7 +135,8 @@ def read_source(source: str, layout: Layout, pages: DataFrame, meant: DataFrame)
     found = layout.events(pages).join(meant.select("page_id", "home", "away"), "page_id")
     team = F.when(F.col("side") == "home", F.col("home")).otherwise(F.col("away"))
     none = F.lit(None).cast("string")
-    events = found.select(F.lit(source).alias("source"), team.alias("team"), F.col("player").alias("raw"), "event", "severity", "reason", none.alias("expected_return"), none.alias("note")).where("team is not null")
+    note = F.col("note") if "note" in found.columns else none
+    events = found.select(F.lit(source).alias("source"), team.alias("team"), F.col("player").alias("raw"), "event", "severity", "reason", none.alias("expected_return"), note.alias("note")).where("team is not null")
     return {"reports": reports(players, meant, source), "events": events, "answers": answer(pages, players, source), "quarantine": P.quarantine(pages, players)}
 
 

@@ -84,10 +84,16 @@ def test_sources_read_as_a_whole(spark):
     again = '<div data-lineup-field><img alt="Foto de Other" src="a.png"></div><div data-lineup-field><img alt="Foto de Eva" src="b.png"></div>'
     landed = _pages(spark, photos, again, "<p>nothing</p>")
     meant = spark.createDataFrame([(0, 1, "t", "u"), (1, 2, "t", "v"), (2, 3, "w", "x")], "page_id long, place int, home string, away string")
-    out = A.read_source("s", A.LAYOUTS["photos"], landed, meant)
+    out = A.read_source("s", A.LAYOUTS["analiticafantasy"], landed, meant)
     assert sorted(tuple(r) for r in out["reports"].select("team", "raw", "probability", "certain").collect()) == [("t", "Ana Gil", 75.0, False), ("u", "Bea", 100.0, True), ("v", "Eva", 100.0, True)]
     assert [tuple(r)[:6] for r in out["events"].collect()] == [("s", "t", "Ana Gil", "doubt", "none", "knee")]
     assert [tuple(r) for r in out["answers"].collect()] == [("s", True, None)] and [r["page_id"] for r in out["quarantine"].collect()] == [2]
+    html = """<div id="portero"><div class="jugador jugador_campo"><span class="nombre_jugador">Ana Gil</span><i class="duda"></i><b class="alternativo">Eva</b></div></div><div id="delanteros"><div class="jugador jugador_campo">
+    <span class="nombre_jugador">Bea</span><span class="icono_porcentaje">40%</span><i class="fa-plus"></i></div></div>"""
+    out = A.read_source("s", A.LAYOUTS["comuniate"], _pages(spark, html), meant.where("page_id = 0"))
+    assert sorted(tuple(r) for r in out["reports"].select("raw", "position", "probability", "certain", "note").collect()) == [("Ana Gil", "POR", 100.0, True, "Alternativa: Eva"), ("Bea", "DEL", 40.0, False, None)]
+    assert sorted(tuple(r) for r in out["events"].select("raw", "event", "severity", "note").collect()) == [("Ana Gil", "doubt", "none", "Duda de titularidad. Alternativa: Eva."), ("Bea", "injury", "light", A.HURT)]
+    assert [tuple(r) for r in out["answers"].collect()] == [("s", False, None)]
     for layout in A.LAYOUTS.values():
         assert layout.players(landed.limit(0)).count() == 0 and layout.events(landed.limit(0)).count() == 0
 

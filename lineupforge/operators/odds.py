@@ -40,6 +40,16 @@ def three_way(home: Column, away: Column, bookmakers: Column, preferred: list[st
     return bound(F.array_min(F.filter(F.transform(bookmakers, chosen), lambda x: x["p"].isNotNull())), shown)
 
 
+def best_lines(lines: DataFrame, by: list[str], preferred: list[str]) -> DataFrame:
+    """by, home, draw, away, bookmaker: three_way for feeds with a row per match and bookmaker. Each line's percentages are
+    computed where it is, and a match keeps its first valid line by preference, then place; matches without one are left
+    out. lines: by, place, key, title, home, draw, away (prices)."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, preferred)), F.col("key")), F.lit(0)), F.lit(100))
+    rows = lines.withColumns({"_p": devig(F.col("home"), F.col("draw"), F.col("away")), "_rank": rank}).where("_p is not null")
+    first = F.min_by(F.struct("_p.home", "_p.draw", "_p.away", F.col("title").alias("bookmaker")), F.struct("_rank", "place", "title", "home", "draw", "away"))
+    return rows.groupBy(*by).agg(first.alias("o")).select(*by, "o.*")
+
+
 def normalized(events: DataFrame, teams: DataFrame, aliases: DataFrame, preferred: list[str], season: tuple[Column, Column]) -> DataFrame:
     """event_id, competition, commence, home_id, away_id, matchday, home, draw, away, bookmaker.
 

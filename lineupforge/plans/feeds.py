@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -30,10 +30,14 @@ def _latest(spark, sf_dir) -> DataFrame:
     return S.first_per_key(rows, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
 
 
-def _as_of(rows: DataFrame, hours: int) -> DataFrame:
-    """Rows of the last hours before the newest, the border included."""
-    newest = rows.agg(F.max("ts")).first()[0]
-    return rows.where(F.col("ts") >= F.lit(newest) - F.expr(f"interval {hours} hours"))
+def _newest(spark, sf_dir):
+    """The time of the queries: that of the newest row, which one column tells."""
+    return F.lit(_events(spark, sf_dir).agg(F.max("ts")).first()[0])
+
+
+def _as_of(rows: DataFrame, at: Column, hours: int) -> DataFrame:
+    """Rows of the last hours before a time, the border included."""
+    return rows.where(F.col("ts") >= at - F.expr(f"interval {hours} hours"))
 
 
 @query(f"SELECT user_id, event_type, event_id, ts, value FROM ({LATEST})")
@@ -55,7 +59,7 @@ def parse_weight(spark, sf_dir):
 
 
 def _consensus(spark, sf_dir) -> DataFrame:
-    fresh = _as_of(_latest(spark, sf_dir), HOURS).select("team", F.col("user_id").alias("player"), F.col("event_type").alias("source"), "probability")
+    fresh = _as_of(_latest(spark, sf_dir), _newest(spark, sf_dir), HOURS).select("team", F.col("user_id").alias("player"), F.col("event_type").alias("source"), "probability")
     kinds = [("click", "1.5x"), ("view", "1"), ("purchase", "2"), ("signup", "abc"), ("login", "0")]
     named = spark.createDataFrame(kinds, "source string, text string").select("source", N.parse_weight(F.col("text")).alias("weight"))
     types = _events(spark, sf_dir).select(F.col("event_type").alias("source")).distinct().join(named, "source", "left").fillna(1.0, ["weight"])
@@ -117,7 +121,7 @@ def latest_run_in_top100(spark, sf_dir):
 @query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
 FROM (SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR ORDER BY ts DESC, event_id DESC LIMIT 500)) WHERE rn = 1""")
 def latest_event_top500(spark, sf_dir):
-    rows = _as_of(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "ts"), 48)
+    rows = _as_of(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "ts"), _newest(spark, sf_dir), 48)
     return S.latest_within_newest(rows, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")], 500).select("user_id", "event_type", "event_id")
 
 

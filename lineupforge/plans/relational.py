@@ -9,7 +9,7 @@ from ..functions import labels as L
 from ..functions import numeric as N
 from ..operators import prices, roster
 from ..operators import state as S
-from ..operators.odds import three_way
+from ..operators.odds import best_lines, three_way
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -313,12 +313,24 @@ def euro_prices(spark, sf_dir):
 LINE = "l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax"
 
 
-@query(f"""WITH d AS ({DEVIG.replace("l_orderkey, l_linenumber", LINE)}) SELECT l_orderkey, o.home, o.draw, o.away, o.bookmaker FROM (SELECT o_orderkey AS l_orderkey FROM orders) LEFT JOIN (
+ODDS = f"""WITH d AS ({DEVIG.replace("l_orderkey, l_linenumber", LINE)}) SELECT l_orderkey, o.home, o.draw, o.away, o.bookmaker FROM (SELECT o_orderkey AS l_orderkey FROM orders) LEFT JOIN (
 SELECT l_orderkey, arg_min({{'home': home, 'draw': draw, 'away': away, 'bookmaker': l_linestatus}}, (CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 100 END, l_linenumber, l_linestatus, l_quantity, l_discount, l_tax))
-FILTER (home IS NOT NULL) AS o FROM d GROUP BY l_orderkey) USING (l_orderkey)""")
+FILTER (home IS NOT NULL) AS o FROM d GROUP BY l_orderkey) USING (l_orderkey)"""
+
+
+@query(ODDS)
 def odds_feed(spark, sf_dir):
     """Percentages per match from the preferred bookmaker with valid odds (orders stand for matches, lines for bookmakers)."""
     orders, li = _t(spark, sf_dir, "orders", "lineitem")
+    lines = li.select(C("l_orderkey"), C("l_linenumber").alias("place"), C("l_returnflag").alias("key"), C("l_linestatus").alias("title"), (C("l_quantity") / 4.0).cast("double").alias("home"), (3.0 + C("l_discount")).cast("double").alias("draw"), (1.0 + C("l_tax") * 50).cast("double").alias("away"))
+    best = best_lines(lines, ["l_orderkey"], ["N", "R"])
+    return orders.select(C("o_orderkey").alias("l_orderkey")).join(best, "l_orderkey", "left").select("l_orderkey", "home", "draw", "away", "bookmaker")
+
+
+@query(ODDS)
+def odds_nested(spark, sf_dir):
+    """The same from nested payloads, a match with its bookmakers, markets and outcomes in one row."""
+    orders, li = _t(spark, sf_dir, "orders", "lineitem")
     price = lambda name, p: F.struct(F.lit(name).alias("name"), p.cast("double").alias("price"))
     outcomes = F.array(price("h", C("l_quantity") / 4.0), price("Draw", 3.0 + C("l_discount")), price("a", 1.0 + C("l_tax") * 50))
     markets = F.array(F.struct(F.lit("h2h").alias("key"), outcomes.alias("outcomes")))

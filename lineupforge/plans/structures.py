@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import documents, identity, intervals, ordered, residual, similar, versions
+from ..functions import text as T
+from ..operators import documents, identity, intervals, odds, ordered, residual, similar, versions
 from .names import EVIDENCE, PROBE, _evidence
 from .registry import registry, table
+from .relational import ODDS
 
 QUERIES, SQL, query = registry()
 C = F.col
@@ -126,3 +128,47 @@ def team_documents(spark, sf_dir):
     out = documents.counted_lists(teams, "team", parts)
     ids = lambda name: F.array_join(F.transform(name, lambda e: e["event_id"].cast("string")), ",").alias(name)
     return out.select("team", ids("news"), "news_total", ids("upcoming"))
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS event_id, o_custkey % 500 AS competition, CAST(o_orderdate AS TIMESTAMP) AS commence, o_custkey % 25 AS h, (o_custkey + 1) % 30 AS a FROM orders), p AS ({ODDS}),
+r AS (SELECT *, 1 + sum(CASE WHEN gap > INTERVAL 3 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY competition ORDER BY commence, event_id ROWS UNBOUNDED PRECEDING) AS round FROM (SELECT *, commence - lag(commence) OVER (PARTITION BY competition ORDER BY commence, event_id) AS gap FROM m))
+SELECT event_id, competition, commence, h + 100 AS home_id, CASE WHEN a < 25 THEN a + 100 END AS away_id, CAST(CASE WHEN CAST(commence AS DATE) BETWEEN DATE '1994-08-15' AND DATE '1995-05-24'
+THEN greatest(1, least(38, datediff('day', CAST(date_trunc('week', DATE '1994-08-15') AS DATE), CAST(date_trunc('week', commence) AS DATE)) // 7 + 1)) ELSE round END AS BIGINT) AS matchday, home, draw, away, bookmaker FROM r JOIN p ON l_orderkey = event_id""")
+def odds_normalized(spark, sf_dir):
+    """A feed of matches as it is stored: clubs by alias, round by season or by gaps, odds of the preferred bookmaker."""
+    orders, li, nation = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "nation"))
+    price = lambda name, p: F.struct(name.alias("name"), p.cast("double").alias("price"))
+    names = nation.select("n_nationkey", F.concat(F.initcap("n_name"), F.lit(" FC")).alias("name"))
+    side = lambda k, at: names.select(C("n_nationkey").alias(at), C("name").alias(k))
+    rows = orders.select(C("o_orderkey").alias("event_id"), (C("o_custkey") % 500).alias("competition"), C("o_orderdate").cast("timestamp_ntz").alias("commence"), (C("o_custkey") % 25).alias("h"), ((C("o_custkey") + 1) % 30).alias("a"))
+    rows = rows.join(F.broadcast(side("home_team", "h")), "h", "left").join(F.broadcast(side("away_team", "a")), "a", "left")  # a row per nation
+    rows = rows.withColumn("away_team", F.coalesce("away_team", F.lit("Unknown CF")))
+    lines = li.join(rows.select(C("event_id").alias("l_orderkey"), "home_team", "away_team"), "l_orderkey")
+    outcomes = F.array(price(C("home_team"), C("l_quantity") / 4.0), price(F.lit("Draw"), 3.0 + C("l_discount")), price(C("away_team"), 1.0 + C("l_tax") * 50))
+    book = F.struct("l_linenumber", C("l_returnflag").alias("key"), C("l_linestatus").alias("title"), F.array(F.struct(F.lit("h2h").alias("key"), outcomes.alias("outcomes"))).alias("markets"))
+    books = lines.groupBy(C("l_orderkey").alias("event_id")).agg(F.transform(F.sort_array(F.collect_list(book)), lambda b: F.struct(b["key"], b["title"], b["markets"])).alias("bookmakers"))
+    teams = nation.select(F.lower("n_name").alias("slug"), (C("n_nationkey") + 100).alias("team_id"))
+    aliases = nation.select(F.lower("n_name").alias("key"), F.lower("n_name").alias("slug"))
+    season = (F.lit("1994-08-15").cast("timestamp_ntz"), F.lit("1995-05-24").cast("timestamp_ntz"))
+    return odds.normalized(rows.join(books, "event_id", "left"), teams, aliases, ["N", "R"], season)
+
+
+@query("""SELECT l_orderkey, coalesce(min(l_linenumber) FILTER (l_quantity > 25), 0) AS attempt, coalesce(CAST(arg_min(l_quantity, l_linenumber) FILTER (l_quantity > 25) AS BIGINT), 0) AS first_row,
+CASE WHEN count(*) FILTER (l_quantity > 25) = 0 THEN 'e' || max(l_linenumber) END AS error FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY l_orderkey""")
+def first_answers(spark, sf_dir):
+    """Of several addresses the first that answers with rows, else the last error."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    rows = F.when(C("l_quantity") > 25, F.array(C("l_quantity").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    landed = li.select("l_orderkey", C("l_linenumber").alias("attempt"), rows.alias("rows"), F.when(C("l_quantity") <= 25, F.concat(F.lit("e"), C("l_linenumber").cast("string"))).alias("error"))
+    out = odds.first_answer(landed, ["l_orderkey"])
+    return out.select("l_orderkey", F.coalesce("attempt", F.lit(0)).cast("long").alias("attempt"), F.coalesce(F.get("rows", F.lit(0)), F.lit(0)).alias("first_row"), "error")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 100 >= 50 THEN 'a:' || event_id % 100 || ',c:50' ELSE 'c:50,a:' || event_id % 100 END AS entries FROM events""")
+def agreement_entries(spark, sf_dir):
+    """The valid entries of stored agreements, by falling probability; what isn't an array has none."""
+    p = (C("event_id") % 100).cast("string")
+    text = F.concat(F.lit('[{"source":"a","probability":'), p, F.lit(',"forecast_type":"confirmed"},{"source":5,"probability":1},{"source":"b","probability":"x"},{"source":"d","probability":9,"forecast_type":"sure"},{"source":"c","probability":50}]'))
+    json = F.when(C("event_id") % 13 == 0, F.concat(F.lit('{"x":'), p, F.lit("}"))).otherwise(text)
+    rows = table(spark, sf_dir, "events").select("event_id", T.detail_entries(json).alias("e"))
+    return rows.select("event_id", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["source"], x["probability"].cast("int").cast("string"))), ",").alias("entries"))

@@ -35,6 +35,25 @@ def numbered(df: DataFrame, order: list[str], name: str = "number", parts: int |
     return carried.withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).drop("_before", PART)
 
 
+def placed(df: DataFrame, by: list[str], order: list[Column], name: str = "place", parts: int | None = None) -> DataFrame:
+    """df with the place of each row among those of its key (by) in an order, from 1. A key with most of the rows lies in
+    many parts, each numbered by itself; a part's first key alone can go on from the part before, so what is carried over
+    is a row per part at most. order should tell the rows of a key apart."""
+    wanted = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = [F.asc_nulls_first(c) for c in by]
+    dealt = written(df.repartitionByRange(wanted, *keyed, *order).withColumn(PART, F.spark_partition_id()))
+    counts = dealt.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("_before", F.sum("_rows").over(earlier)).where("_before is not null")
+    carried = carried.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col(PART).alias("_part"), "_before")
+    same = F.col(PART) == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    inside = Window.partitionBy(PART, *by).orderBy(*order)
+    rows = dealt.join(F.broadcast(carried), same, "left").withColumn(name, (F.coalesce("_before", F.lit(0)) + F.row_number().over(inside)).cast("int"))
+    return rows.select(*df.columns, name)
+
+
 def batches(df: DataFrame, order: list[str], size: int, name: str = "batch", parts: int | None = None) -> DataFrame:
     """df with the number of the batch of size rows that a row falls into, from 0."""
     return numbered(df, order, name, parts).withColumn(name, F.floor(F.col(name) / size))

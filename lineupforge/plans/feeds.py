@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import consensus as C
-from ..operators import lineup
+from ..operators import lineup, ordered
 from ..operators import state as S
 from .registry import registry, table
 
@@ -199,5 +199,5 @@ def team_page(spark, sf_dir):
     """All players of a team in the page's order: by probability, sources, name; those without a consensus come last."""
     players = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("team"), F.col("user_id").alias("player")).distinct()
     rows = players.join(_consensus(spark, sf_dir), ["team", "player"], "left")
-    w = Window.partitionBy("team").orderBy(F.desc(F.coalesce("probability", F.lit(-1))), F.desc(F.coalesce("sources_total", F.lit(0))), "player")
-    return rows.select("team", "player", "probability", F.row_number().over(w).alias("place"))
+    order = [F.desc(F.coalesce("probability", F.lit(-1))), F.desc(F.coalesce("sources_total", F.lit(0))), F.asc("player")]
+    return ordered.placed(rows.select("team", "player", "probability", "sources_total"), ["team"], order).select("team", "player", "probability", "place")

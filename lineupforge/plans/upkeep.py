@@ -89,8 +89,7 @@ def abbreviated_first(spark, sf_dir):
     """Requests of a team, abbreviated names first."""
     name = F.when(C("c_custkey") % 3 == 0, F.concat(F.lit("J. "), "c_mktsegment")).when(C("c_custkey") % 3 == 1, F.concat("c_mktsegment", F.lit(" Jr"))).otherwise(F.concat("c_mktsegment", F.lit(" Surname")))
     rows = _t(spark, sf_dir, "customer")[0].select("c_custkey", "c_nationkey", name.alias("name")).withColumn("abbreviated", T.is_abbreviated(C("name")))
-    turn = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("abbreviated"), "c_custkey"))
-    return rows.select("c_custkey", "name", "abbreviated", turn.alias("turn"))
+    return ordered.placed(rows, ["c_nationkey"], [F.desc("abbreviated"), F.asc("c_custkey")], "turn").select("c_custkey", "name", "abbreviated", "turn")
 
 
 @query("""SELECT o_custkey, 's' || arg_max(o_orderkey, o_orderkey) AS slug FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_orderkey % 7 <> 0 GROUP BY o_custkey""")
@@ -298,8 +297,8 @@ FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN 'Álvaro' WHEN 1 THEN 'Ángel' EL
 def display_order(spark, sf_dir):
     """Players of a team by probability (null: -1), sources (null: 0), and name as Spanish sorts it."""
     rows = _t(spark, sf_dir, "customer")[0].select("c_custkey", "c_nationkey", F.when(C("c_custkey") % 5 != 0, C("c_custkey") % 3).alias("probability"), F.when(C("c_custkey") % 2 == 1, 1).alias("sources"), F.element_at(F.array(F.lit("Álvaro"), F.lit("Ángel"), F.lit("Zoé")), (C("c_custkey") % 3 + 1).cast("int")).alias("name"))
-    order = [F.desc(F.coalesce("probability", F.lit(-1))), F.desc(F.coalesce("sources", F.lit(0))), F.collate("name", "es"), C("c_custkey")]
-    return rows.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*order)).alias("place"))
+    order = [F.desc(F.coalesce("probability", F.lit(-1))), F.desc(F.coalesce("sources", F.lit(0))), F.asc(F.collate("name", "es")), F.asc("c_custkey")]
+    return ordered.placed(rows, ["c_nationkey"], order).select("c_custkey", "place")
 
 
 @query("""SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS place FROM nation""")

@@ -106,6 +106,17 @@ def test_ordered_scans(spark, parts):
     assert ordered.numbered(df.where("false"), ["at", "id"]).count() == 0 and ordered.gap_rounds(df.where("false"), "at", ["id"], 60).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5, 30])
+def test_places_within_hot_keys(spark, parts):
+    random.seed(parts)
+    data = [(i, "hot" if i % 3 else random.choice(["a", "b", None]), random.choice([1, 2, None])) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, k string, worth int").repartition(6)
+    order = [F.desc("worth"), F.asc("id")]
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert rows(ordered.placed(df, ["k"], order, parts=parts)) == rows(want)
+    assert ordered.placed(df.where("false"), ["k"], order).count() == 0
+
+
 def test_intervals(spark):
     random.seed(3)
     points = [(i, random.choice("ab"), None if i % 41 == 0 else DAY + dt.timedelta(days=random.random() * 900, hours=i)) for i in range(300)] + [(900, "a", DAY), (901, "a", DAY + dt.timedelta(days=10))]

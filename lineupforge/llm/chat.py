@@ -8,7 +8,8 @@ reads back unchanged.
 Edge cases: a null text is empty; a null role is the role ''; turns of one number are ordered by role, then text;
 repeated rows are turns of their own; a conversation that breaks the order is formatted as well, with valid false and
 the first bad turn in broken_at; rows with a null conv_id are conversations of one turn each, for nothing says that they
-belong together. A conversation, like a text, is one record and is formatted in one piece."""
+belong together; an empty table gives an empty result; very long texts are formatted whole; only conv_id, turn, role and
+text are read, so further columns can't clash. A conversation, like a text, is one record and is formatted in one piece."""
 
 from __future__ import annotations
 

@@ -10,7 +10,9 @@ All texts are then scored in tasks, whole.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias; a doc_id with several labels counts as
 toxic if one says so, a null label counts as none; without labelled rows every score is 0; repeated rows are scored
-each; an empty table gives an empty result; only doc_id and text are read."""
+each, and alike; equal scores are left equal; very long texts are read whole, their terms counted once each; an empty
+table gives an empty result; rows are learnt from in the order of a hash of doc_id, however tasks have them; only doc_id
+and text are read, so further columns can't clash."""
 
 from __future__ import annotations
 

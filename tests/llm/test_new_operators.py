@@ -5,17 +5,22 @@ import hashlib
 import heapq
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineupforge.llm import divergence, neighbours, oracles, queries, repair, toxicity, urls
-from lineupforge.llm.earley import Grammar, Row, parse
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from lineupforge.llm import chat, divergence, mixing, neighbours, oracles, quality, queries, repair, toxicity, urls  # noqa: E402
+from lineupforge.llm.earley import Grammar, Row, parse  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, rank int, term string, n long"
 
@@ -361,3 +366,98 @@ def test_vectors_are_sampled_where_they_are(spark):
     df = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
     few = neighbours.sampled(df, 1000)
     assert 850 <= len(few) <= 1000 and few.equals(neighbours.sampled(df.repartition(9), 1000)) and len(neighbours.sampled(df, 6000)) == 5000
+
+
+def written_tables(spark, path):
+    """Small tables of all kinds, for the queries as they are registered."""
+    voice = {"en": "the house and that with this were there then they all".split(), "de": "das haus und nicht mit wird ein ich auch über größe".split()}
+    docs = []
+    for i in range(90):
+        lang = "en" if i % 2 else "de"
+        said = " ".join(voice[lang][(i * j + j * j) % 11] for j in range(1, 70))
+        docs.append((i, said + (" idiot group" if i % 6 == 1 else "") + (f" mail joe{i}@example.com call +1 (966) 555-04{i:02d}" if i % 5 == 0 else ""), lang, f"s{i % 4}", len(said)))
+    docs += [(90, None, None, None, None), (91, "", "en", "s0", 0), (92, "12 34", "de", "s1", 5), (93, docs[3][1], "en", "s2", 1), (94, "x " * 40_000, "en", "s3", 80_000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 1)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=12).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 12), (302, [float("nan")] * 12)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    return docs, vectors
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    return (path, *written_tables(spark, path))
+
+
+def test_query_of_languages(spark, tables):
+    path, docs, _ = tables
+    got = {r["doc_id"]: r for r in queries.op6_language_id(spark, path).collect()}
+    assert len(got) == len(docs)
+    for i, text, lang, *_ in docs:
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        if text is None or not any(c.isalpha() for c in text):
+            assert r["lang_pred"] == "und"
+        elif i < 90:
+            assert r["lang_pred"] == lang
+
+
+def test_query_of_toxicity(spark, tables):
+    path, docs, _ = tables
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, path).collect()}
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    assert all(got[i]["predicted"] == int(i % 6 == 1) for i in range(90)) and got[90]["score"] == got[91]["score"]
+
+
+def test_query_of_personal_data(spark, tables):
+    path, docs, _ = tables
+    texts = {d[0]: d[1] for d in docs}
+    for r in queries.op9_pii(spark, path).collect():
+        counts, listed = brute.pii(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == counts and r["base_sha256"] == brute.sha(listed)
+        assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+
+
+def test_query_of_neighbours(spark, tables):
+    path, _, vectors = tables
+    ids, x = [i for i, _ in vectors[:300]], [v for _, v in vectors[:300]]
+    want = brute.nearest(ids, x, [i for i in ids if i % 50 == 0])
+    found = defaultdict(list)
+    for r in sorted(queries.op10_nearest(spark, path).collect(), key=lambda r: r["rank"]):
+        found[r["query_id"]].append(r["vec_id"])
+    assert set(found) == set(want) and sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_queries_of_mixing_and_packing(spark, tables):
+    path, docs, _ = tables
+    sizes = {i: len((t or "").split()) for i, t, *_ in docs}
+    mixed = {r["doc_id"]: r for r in queries.op2_mixing(spark, path).collect()}
+    assert {i: r["size"] for i, r in mixed.items()} == sizes and all(r["taken"] <= 2 * r["size"] for r in mixed.values())
+    by_source = defaultdict(int)
+    for r in mixed.values():
+        by_source[r["source_size"], r["target"]] += r["taken"]
+    assert all(abs(taken - target) <= max(2, 0.01 * target) and target <= 2 * size for (size, target), taken in by_source.items())
+    assert abs(sum(t for _, t in by_source) - 1.5 * sum(sizes.values())) < 1
+    assert {r["doc_id"]: r["taken"] for r in queries.op2_mixing(spark, path).collect()} == {i: r["taken"] for i, r in mixed.items()}
+    packed = queries.op3_packing(spark, path)
+    assert packed.count() == queries.op3_packing(spark, path).count() > 0
+    assert queries.op1_quality_rules(spark, path).count() == len(docs) and queries.op4_substring_dedup(spark, path).count() == len(docs) and queries.op7_ngram_jaccard(spark, path).count() == len(docs)
+
+
+def test_chat_of_long_texts_and_further_columns(spark):
+    long = "</s> \\ [INST] " * 20_000
+    df = spark.createDataFrame([(1, 0, "user", long, "x", 1), (1, 1, "assistant", long, "y", 2), (2, 0, None, None, None, None)], "conv_id long, turn long, role string, text string, formatted string, segments int")
+    got = {r["conv_id"]: r for r in chat.format_chat(df).collect()}
+    assert chat.read_back(got[1]["formatted"], chat.Template()) == [("user", long), ("assistant", long)] and chat.read_back(got[2]["formatted"], chat.Template()) == [("", "")]
+    assert chat.format_chat(df.where("false")).count() == 0
+
+
+def test_quality_and_shards_with_further_columns(spark):
+    names = "doc_id long, text string, source string, m int, host int, kept string, n_words int, size int, target int, block int, shard int"
+    df = spark.createDataFrame([(i, "w " * (60 if i else 30_000), f"s{i % 2}", 1, 2, "k", 3, 4, 5, 6, 7) for i in range(8)], names)
+    got = quality.quality(df).collect()
+    assert len(got) == 8 and {r["host"] for r in got} == {"s0", "s1"} and {r["n_words"] for r in got} == {60, 30_000}
+    shards = mixing.mixed_shards(df, weights=[3, 1, 2], share=1.5)
+    assert shards.count() > 0

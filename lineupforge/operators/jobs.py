@@ -5,8 +5,6 @@ run does a cycle on a store: it reads and writes only the parts whose teams have
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +37,7 @@ def dead_letters(told: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def persist(reports: DataFrame, events: DataFrame, players: DataFrame, forecasts: DataFrame, at: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+def persist(reports: DataFrame, events: DataFrame, players: DataFrame, forecasts: DataFrame, at: Column) -> dict[str, DataFrame]:
     """players, forecasts, events (new rows for the log), unmatched (dead letters of reports and of events) and processed
     (rows per source) after the reports.
 
@@ -47,14 +45,14 @@ def persist(reports: DataFrame, events: DataFrame, players: DataFrame, forecasts
     team, raw, event, severity, reason and, if there, expected_return and note; players: player, team, ord, name, position,
     photo and, if there, closed (whether a name may mean the row; all may if it isn't there); forecasts: player, source,
     probability, certain, kind, note, fetched_at. Rows of teams without players are left out. Of several rows on one
-    player the last counts. Whom a source had and now leaves out gets 0, if its report has anybody of that team. keep is
-    applied to what several results share, to write it once."""
+    player the last counts. Whom a source had and now leaves out gets 0, if its report has anybody of that team. Whom each name
+    means is written once, for all results."""
     known = players.select("team").distinct()
     reports, events = reports.join(known, "team", "left_semi"), events.join(known, "team", "left_semi")
     names = reports.select("team", "raw").unionByName(events.select("team", "raw")).distinct()
     cases = names.select("team", F.col("raw").alias("case_id"), "raw")
     open_to = players.where("closed") if "closed" in players.columns else players
-    matched = keep(matching.match_roster(cases, open_to).select("team", F.col("case_id").alias("raw"), "player"))
+    matched = written(matching.match_roster(cases, open_to).select("team", F.col("case_id").alias("raw"), "player"))
     told = reports.join(matched, ["team", "raw"], "left")
     heard = events.withColumns({"expected_return": _optional(events, "expected_return"), "note": _optional(events, "note")}).join(matched, ["team", "raw"], "left")
     of = told.where("player is not null")
@@ -112,6 +110,7 @@ def cycle(answers: DataFrame, sources: DataFrame, reports: DataFrame, events: Da
     good = runs.where("status != 'failed'").select("source")
     kept = lambda df: df.join(good, "source", "left_semi")
     out = persist(kept(reports), kept(events), players, forecasts, at)
+    out["forecasts"] = written(out["forecasts"])
     out["runs"] = runs.join(out["processed"], "source", "left").withColumn("items", F.coalesce("items", F.lit(0).cast("long")))
     new = consensus(fresh_forecasts(out["forecasts"], out["players"], at), sources.select("source", "weight"))
     some = F.broadcast(good.limit(1).select(F.lit(True).alias("_any")))  # a row, or none if every source failed
@@ -181,7 +180,7 @@ def run(store: Store, answers: DataFrame, sources: DataFrame, reports: DataFrame
     teams = written(told.join(known, "team", "left_semi").unionByName(stale).distinct())
     parts = store.parts_of(teams)
     old = {name: store.read(name, parts) for name in TABLES}
-    news = persist(reports, events, old["players"], old["forecasts"].drop("team"), at, written)
+    news = persist(reports, events, old["players"], old["forecasts"].drop("team"), at)
     team_news = persist_teams(info, pieces, old["players"], old["info"], old["pieces"], at)
     of_team = old["players"].select("player", "team")
     tables = {"players": written(news["players"]), "forecasts": written(news["forecasts"].join(of_team, "player")), "events": news["events"].join(of_team, "player"), "unmatched": news["unmatched"], "consensus": old["consensus"]}

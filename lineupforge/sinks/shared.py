@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if not sc.getCheckpointDir():
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not re.match(r"local(\[.*\])?$", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, local, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, compared_tokens, edit_similarity, list_dice, name_tokens, normalize_name, plain_tokens, prefix_dice, strip_marks, token_dice
+from ..sinks.shared import written
 from .state import first_per_key
 
 
@@ -34,7 +35,7 @@ def decide(candidates: DataFrame) -> DataFrame:
 def decisions(local: DataFrame, candidates: DataFrame) -> DataFrame:
     """decide() on the evidence of local rows and candidates (see evidence), with method: what a match rests on, none where
     nothing was found, review_required otherwise."""
-    found = evidence(local, candidates)
+    found = written(evidence(local, candidates))
     made = decide(found)
     seen = found.select("local_id", F.coalesce("slug", F.lit("")).alias("_slug"), F.coalesce("dob", F.lit(False)).alias("dob"), F.coalesce("team", F.lit(False)).alias("team"), "name_score")
     rows = made.withColumn("_slug", F.coalesce("slug", F.lit(""))).join(first_per_key(seen, ["local_id", "_slug"], [F.desc("name_score")]), ["local_id", "_slug"], "left")
@@ -76,11 +77,19 @@ def club_key(name: Column) -> Column:
     return F.coalesce(*said)
 
 
+def _club(name: Column) -> Column:
+    """What same_club compares of a name: its key and its words."""
+    return F.struct(club_key(name).alias("key"), F.array_distinct(plain_tokens(name)).alias("words"))
+
+
+def _one_club(x: Column, y: Column) -> Column:
+    shared = F.size(F.array_intersect(x["words"], y["words"]))
+    return F.coalesce(x["key"] == y["key"], (shared > 0) & (shared >= F.least(F.lit(2), F.size(x["words"]))))
+
+
 def same_club(local: Column, remote: Column) -> Column:
     """Whether two club names mean one club: by their keys where both have one, else by two common words (or the only one)."""
-    x, y = F.array_distinct(plain_tokens(local)), F.array_distinct(plain_tokens(remote))
-    shared = F.size(F.array_intersect(x, y))
-    return F.coalesce(club_key(local) == club_key(remote), (shared > 0) & (shared >= F.least(F.lit(2), F.size(x))))
+    return _one_club(_club(local), _club(remote))
 
 
 # Words that don't tell clubs apart in a search.
@@ -112,26 +121,38 @@ def searched(local: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def _name(name: Column) -> Column:
+    """What name_score compares of a name: the name, normalised, and its tokens."""
+    return F.struct(normalize_name(F.coalesce(name, F.lit(""))).alias("whole"), name_tokens(name).alias("tokens"))
+
+
+def _score(own: Column, display: Column, full: Column) -> Column:
+    same = lambda c: (own["whole"] != "") & (own["whole"] == c["whole"])
+    near = [f(own["tokens"], c["tokens"]) for f in (token_dice, prefix_dice) for c in (display, full)]
+    return F.when(same(display) | same(full), 1.0).otherwise(F.greatest(*near))
+
+
 def name_score(local: Column, display: Column, full: Column) -> Column:
     """1 if a name is the display name or the full name, else the best of Dice and prefix Dice with either."""
-    own = normalize_name(F.coalesce(local, F.lit("")))
-    same = lambda c: (own != "") & (own == normalize_name(F.coalesce(c, F.lit(""))))
-    x = name_tokens(local)
-    near = [f(x, name_tokens(c)) for f in (token_dice, prefix_dice) for c in (display, full)]
-    return F.when(same(display) | same(full), 1.0).otherwise(F.greatest(*near))
+    return _score(_name(local), _name(display), _name(full))
 
 
 def evidence(local: DataFrame, candidates: DataFrame) -> DataFrame:
     """What decide() asks for. local: local_id, name, team, born, nationality; candidates: local_id, slug, display, first,
     last, club, club_slug, born, nationality. A local row without candidates has one row without a slug."""
     c = F.col
-    theirs = candidates.select("local_id", "slug", "display", F.trim(F.concat_ws(" ", "first", "last")).alias("full"), F.concat_ws(" ", "club", "club_slug").alias("club"), c("born").alias("their_born"), c("nationality").alias("their_nation"))
-    both = local.join(theirs, "local_id", "left")
     day = lambda x: F.substring(x.cast("string"), 1, 10)
     nation = lambda x: F.nullif(normalize_name(x), F.lit(""))
+    # what is compared is made of each side before they meet, once a row
+    ours = local.select("local_id", _name(c("name")).alias("own"), _club(c("team")).alias("our_club"), day(c("born")).alias("our_day"), nation(c("nationality")).alias("our_nation"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"))
+    theirs = candidates.select(
+        "local_id", "slug", _name(c("display")).alias("display"), _name(F.trim(F.concat_ws(" ", "first", "last"))).alias("full"), _club(F.concat_ws(" ", "club", "club_slug")).alias("their_club"),
+        day(c("born")).alias("their_day"), nation(c("nationality")).alias("their_nation"),
+    )
+    both = ours.join(theirs, "local_id", "left")
     return both.select(
-        "local_id", "slug", name_score(c("name"), c("display"), c("full")).alias("name_score"), same_club(c("team"), c("club")).alias("team"),
-        (day(c("born")) == day(c("their_born"))).alias("dob"), (nation(c("nationality")) == nation(c("their_nation"))).alias("nat"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"),
+        "local_id", "slug", F.when(c("display").isNotNull(), _score(c("own"), c("display"), c("full"))).alias("name_score"), F.when(c("their_club").isNotNull(), _one_club(c("our_club"), c("their_club"))).alias("team"),
+        (c("our_day") == c("their_day")).alias("dob"), (c("our_nation") == c("their_nation")).alias("nat"), "no_dob",
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, compared_tokens, edit_similarity, list_dice, name_tokens, normalize_name, plain_tokens, prefix_dice, strip_marks, token_dice
-from ..sinks.shared import written
+from ..sinks.shared import looked_up, written
 from .state import first_per_key
 
 
@@ -17,11 +20,21 @@ def decide(candidates: DataFrame) -> DataFrame:
     The best candidate is matched if identity is high (birth date with half a name, club with a full name and no other
     birth date, or club with a good name and a clear margin) and it leads the runner-up by 0.08; otherwise it goes to
     manual review. Rows without a slug stand for a search without candidates: not_found."""
+    return _decide(candidates)
+
+
+def points(candidates: DataFrame) -> Column:
+    """The confidence of a candidate, 0 to 1."""
+    holds = lambda name: F.coalesce(F.col(name), F.lit(False)).cast("double")
+    sum_ = 0.55 * F.least(F.col("name_score"), F.lit(1.0)) + 0.25 * holds("team") + 0.25 * holds("dob") + 0.05 * holds("nat")
+    return F.least(F.lit(1.0), F.coalesce(sum_, F.lit(0.0)))
+
+
+def _decide(candidates: DataFrame, *more: str) -> DataFrame:
     c = F.col
     holds = lambda name: F.coalesce(c(name), F.lit(False))
     free = holds("no_dob") if "no_dob" in candidates.columns else F.lit(False)
-    points = 0.55 * F.least(c("name_score"), F.lit(1.0)) + 0.25 * holds("team").cast("double") + 0.25 * holds("dob").cast("double") + 0.05 * holds("nat").cast("double")
-    scored = candidates.withColumn("confidence", F.when(c("slug").isNotNull(), F.least(F.lit(1.0), F.coalesce(points, F.lit(0.0)))))
+    scored = candidates.withColumn("confidence", F.when(c("slug").isNotNull(), points(candidates)))
     w = Window.partitionBy("local_id").orderBy(F.desc("confidence"), F.desc("name_score"), "slug")
     ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).where("rn = 1")
     margin = F.when(c("next").isNull(), c("confidence")).otherwise(c("confidence") - c("next"))
@@ -29,18 +42,22 @@ def decide(candidates: DataFrame) -> DataFrame:
     matched = F.coalesce(high & (margin >= 0.08), F.lit(False))
     status = F.when(c("slug").isNull(), "not_found").when(matched, "matched").otherwise("manual_review")
     reason = F.when(c("slug").isNull(), "no_candidates").when(matched, "enough_evidence").when(~holds("team"), "club_differs_or_unknown").when(margin < 0.08, "ambiguous_candidates").otherwise("weak_identity")
-    return ranked.select("local_id", "slug", F.floor(c("confidence") * 1000 + 0.5).alias("confidence"), status.alias("status"), reason.alias("reason"))
+    return ranked.select("local_id", "slug", F.floor(c("confidence") * 1000 + 0.5).alias("confidence"), status.alias("status"), reason.alias("reason"), *more)
 
 
 def decisions(local: DataFrame, candidates: DataFrame) -> DataFrame:
     """decide() on the evidence of local rows and candidates (see evidence), with method: what a match rests on, none where
     nothing was found, review_required otherwise."""
-    found = written(evidence(local, candidates))
-    made = decide(found)
-    seen = found.select("local_id", F.coalesce("slug", F.lit("")).alias("_slug"), F.coalesce("dob", F.lit(False)).alias("dob"), F.coalesce("team", F.lit(False)).alias("team"), "name_score")
-    rows = made.withColumn("_slug", F.coalesce("slug", F.lit(""))).join(first_per_key(seen, ["local_id", "_slug"], [F.desc("name_score")]), ["local_id", "_slug"], "left")
-    full = F.col("name_score") >= 1
-    by = F.when(F.col("dob"), F.when(F.col("team"), "name_club_birth_day").otherwise("name_birth_day")).when(full, "exact_name_club").otherwise("name_club_unique_margin")
+    return decided(evidence(local, candidates))
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """decisions() from evidence that is there. What a match rests on comes along with its row, in one exchange by local row."""
+    each = Window.partitionBy("local_id", "slug")
+    kept = F.max_by(F.struct(F.coalesce("dob", F.lit(False)).alias("dob"), F.coalesce("team", F.lit(False)).alias("team"), "name_score"), "name_score").over(each)
+    rows = _decide(found.repartition("local_id").withColumn("_kept", kept), "_kept")
+    full = F.col("_kept.name_score") >= 1
+    by = F.when(F.col("_kept.dob"), F.when(F.col("_kept.team"), "name_club_birth_day").otherwise("name_birth_day")).when(full, "exact_name_club").otherwise("name_club_unique_margin")
     method = F.when(F.col("status") == "not_found", "none").when(F.col("status") == "matched", by).otherwise("review_required")
     return rows.select("local_id", "slug", "confidence", "status", method.alias("method"), "reason")
 
@@ -72,9 +89,9 @@ CLUBS = {
 
 def club_key(name: Column) -> Column:
     """The club that a name speaks of, or null."""
-    bare = normalize_name(F.coalesce(name, F.lit("")))
-    said = [F.when(F.exists(F.array(*map(F.lit, names)), lambda n: bare.contains(n)), F.lit(key)) for key, names in CLUBS.items()]
-    return F.coalesce(*said)
+    # bound once: as a plain expression the name would be normalised anew for each of the names it is compared with
+    said = lambda bare: F.coalesce(*(F.when(reduce(or_, (bare.contains(n) for n in names)), F.lit(key)) for key, names in CLUBS.items()))
+    return F.get(F.transform(F.array(normalize_name(F.coalesce(name, F.lit("")))), said), 0)
 
 
 def _club(name: Column) -> Column:
@@ -143,17 +160,15 @@ def evidence(local: DataFrame, candidates: DataFrame) -> DataFrame:
     c = F.col
     day = lambda x: F.substring(x.cast("string"), 1, 10)
     nation = lambda x: F.nullif(normalize_name(x), F.lit(""))
-    # what is compared is made of each side before they meet, once a row
-    ours = local.select("local_id", _name(c("name")).alias("own"), _club(c("team")).alias("our_club"), day(c("born")).alias("our_day"), nation(c("nationality")).alias("our_nation"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"))
-    theirs = candidates.select(
-        "local_id", "slug", _name(c("display")).alias("display"), _name(F.trim(F.concat_ws(" ", "first", "last"))).alias("full"), _club(F.concat_ws(" ", "club", "club_slug")).alias("their_club"),
-        day(c("born")).alias("their_day"), nation(c("nationality")).alias("their_nation"),
-    )
-    both = ours.join(theirs, "local_id", "left")
-    return both.select(
-        "local_id", "slug", F.when(c("display").isNotNull(), _score(c("own"), c("display"), c("full"))).alias("name_score"), F.when(c("their_club").isNotNull(), _one_club(c("our_club"), c("their_club"))).alias("team"),
-        (c("our_day") == c("their_day")).alias("dob"), (c("our_nation") == c("their_nation")).alias("nat"), "no_dob",
-    )
+    ours = local.select("local_id", "name", c("team").alias("our_team"), day(c("born")).alias("our_day"), c("nationality").alias("our_nation"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"))
+    full = F.trim(F.concat_ws(" ", "first", "last")).alias("full")
+    theirs = candidates.select("local_id", "slug", "display", full, F.concat_ws(" ", "club", "club_slug").alias("club"), day(c("born")).alias("their_day"), c("nationality").alias("their_nation"))
+    both = written(ours.join(theirs.withColumn("there", F.lit(True)), "local_id", "left"))
+    # two clubs, nations or names are compared once, however many rows bring them together
+    clubs = looked_up(both, ["there", "our_team", "club"], both, same_club=F.when(c("there"), same_club(c("our_team"), c("club"))))
+    nations = looked_up(clubs, ["our_nation", "their_nation"], both, nat=nation(c("our_nation")) == nation(c("their_nation")))
+    named = looked_up(nations, ["there", "name", "display", "full"], both, name_score=F.when(c("there"), name_score(c("name"), c("display"), c("full"))))
+    return named.select("local_id", "slug", "name_score", c("same_club").alias("team"), (c("our_day") == c("their_day")).alias("dob"), "nat", "no_dob")
 
 
 def probe(candidates: DataFrame) -> DataFrame:

@@ -7,8 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +44,16 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "written") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a written table is broadcast. Files may be far smaller than the rows in them, so their size doesn't tell.
+FEW = 20_000
+
+
+def looked_up(rows: DataFrame, keys: list[str], values: DataFrame | None = None, **made: Column) -> DataFrame:
+    """rows with columns made of keys alone, each made once for every distinct value of the keys (null is one), however
+    many rows have it. values: where the keys' values stand, if that is less to read than rows."""
+    given = (rows if values is None else values).select(*keys).distinct()
+    known = written(given.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c.alias(n) for n, c in made.items())))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    return rows.join(known.hint("broadcast" if known.count() <= FEW else "merge"), same, "left").drop(*(f"_k_{k}" for k in keys))

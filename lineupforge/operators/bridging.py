@@ -26,10 +26,8 @@ def bridge_rows(decisions: DataFrame, ranked: DataFrame, held: DataFrame, now: C
     A match to a slug that another row holds goes to review. External id, the verified flag, verification and expiry are
     set only for what stays matched; candidates are the first eight of ranked (local_id, slug, confidence) by falling
     confidence, then slug. held: local_id, slug of the matched so far."""
-    checked = bridge(decisions, held).select("*", F.col("status").alias("_status"))
-    before = decisions.select("local_id", F.col("status").alias("_was"))
-    rows = checked.join(before, "local_id", "left")
-    lost = (F.col("_was") == "matched") & (F.col("_status") != "matched")
+    rows = bridge(decisions.withColumn("_was", F.col("status")), held)
+    lost = (F.col("_was") == "matched") & (F.col("status") != "matched")
     sure = F.col("status") == "matched"
     best = first_candidates(ranked)
     out = rows.join(best, "local_id", "left")

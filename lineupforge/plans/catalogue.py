@@ -9,6 +9,7 @@ from ..functions import numeric as N
 from ..operators import bridging, caching, identity, ordered, readmodels
 from ..operators import consensus as CO
 from ..operators import state as S
+from ..sinks.shared import written
 from ..sources import adapters
 from .registry import registry, table
 
@@ -72,11 +73,10 @@ after = 'matched' AS verified, CASE WHEN after = 'matched' THEN """ + NOW + """
 def bridge_rows(spark, sf_dir):
     """Rows of the bridge from decisions: a slug that is somebody's goes to review; eight candidates are kept."""
     local, found = _people(spark, sf_dir)
-    made = identity.decisions(local, found).withColumns({"external_id": F.concat(F.lit("x"), "slug"), "name": F.lit(None).cast("string")})
+    seen = written(identity.evidence(local, found))
+    made = identity.decided(seen).withColumns({"external_id": F.concat(F.lit("x"), "slug"), "name": F.lit(None).cast("string")})
     held = table(spark, sf_dir, "supplier").where("s_suppkey % 6 = 0").select(C("s_suppkey").alias("local_id"), F.concat(F.lit("s"), C("s_suppkey").cast("string")).alias("slug"))
-    seen = identity.evidence(local, found)
-    points = F.least(F.lit(1.0), 0.55 * F.least(C("name_score"), F.lit(1.0)) + 0.25 * F.coalesce(C("team"), F.lit(False)).cast("double") + 0.25 * F.coalesce(C("dob"), F.lit(False)).cast("double") + 0.05 * F.coalesce(C("nat"), F.lit(False)).cast("double"))
-    out = bridging.bridge_rows(made, seen.select("local_id", "slug", points.alias("confidence")), held, _now())
+    out = bridging.bridge_rows(made, seen.select("local_id", "slug", identity.points(seen).alias("confidence")), held, _now())
     return out.select("local_id", "slug", "external_id", "status", "method", "reason", "verified", "expires", F.array_join(F.transform("candidates", lambda c: c["slug"]), ",").alias("candidates"))
 
 

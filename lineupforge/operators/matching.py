@@ -53,10 +53,10 @@ def token_holders(names: DataFrame, tokens: str) -> DataFrame:
 def with_rarest(names: DataFrame, key: str, tokens: str, holders: DataFrame) -> DataFrame:
     """names with rarest: of its tokens (which follow from key) the one that the fewest of holders have, ties by token;
     null if a token has no holder at all, for then no name of theirs has all tokens."""
-    each = names.select("team", key, tokens).distinct().select("team", key, F.explode(F.array_distinct(tokens)).alias("token")).join(holders, ["team", "token"], "left")
+    each = names.select("team", key, tokens).distinct().select("team", key, F.explode(F.array_distinct(tokens)).alias("token")).join(holders.hint("merge"), ["team", "token"], "left")
     best = each.groupBy("team", key).agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("n"), "token")).alias("_r"))
     found = best.select("team", key, F.when(F.col("_r.n") > 0, F.col("_r.token")).alias("rarest"))
-    return names.join(found, ["team", key], "left")
+    return names.join(found.hint("merge"), ["team", key], "left")
 
 
 def _keys(*groups: Column) -> Column:
@@ -67,7 +67,8 @@ def _keys(*groups: Column) -> Column:
 def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of one team with a common key (of lkeys and rkeys), each once: at its first common key."""
     a, b = left.withColumn("_k", F.explode("lkeys")), right.withColumn("_k", F.explode("rkeys"))
-    return a.join(b, ["team", "_k"]).where(F.get(F.array_intersect("lkeys", "rkeys"), 0) == F.col("_k")).drop("_k", "lkeys", "rkeys")
+    # rows with keys spread are many times the files that a broadcast is judged by
+    return a.join(b.hint("merge"), ["team", "_k"]).where(F.get(F.array_intersect("lkeys", "rkeys"), 0) == F.col("_k")).drop("_k", "lkeys", "rkeys")
 
 
 def _indexed(left: DataFrame, right: DataFrame, first: Column, case_keys: list[Column], roster_keys: list[Column]) -> DataFrame:
@@ -106,23 +107,25 @@ def match_roster(cases: DataFrame, roster: DataFrame, min_confidence: float = 0.
     last and first name, compound last name) wins, else the best weak one (subsets), earlier rows first at ties."""
     names = cases.select("team", F.col("raw").alias("name")).distinct()
     found = _match_names(names, roster, min_confidence)
-    return cases.select("team", "case_id", F.col("raw").alias("name")).join(found, ["team", "name"]).select("team", "case_id", "player", "confidence", "rule")
+    return cases.select("team", "case_id", F.col("raw").alias("name")).join(found.hint("merge"), ["team", "name"]).select("team", "case_id", "player", "confidence", "rule")
 
 
 def _match_names(names: DataFrame, roster: DataFrame, min_confidence: float) -> DataFrame:
     inc, tokens, canon = F.col("inc"), F.col("tok"), F.col("canon")
     left = names.select("team", "name", significant_tokens(F.col("name")).alias("inc"), all_tokens(F.col("name")).alias("tok"), normalize_name(F.col("name")).alias("norm"))
-    right = roster.select("team", "ord", "player", significant_tokens(F.col("name")).alias("canon"), normalize_name(F.col("name")).alias("cnorm"))
-    right = right.withColumn("size", last_name_length(F.col("canon")))  # once per player, not per pair
+    # of players of one name the first by ord decides; the others only count
+    rostered = roster.groupBy("team", F.col("name").alias("known")).agg(F.min(F.struct("ord", "player")).alias("_first"), F.count(F.lit(1)).alias("players"), F.min("player").alias("least"))
+    right = rostered.select("team", "_first.*", "players", "least", significant_tokens(F.col("known")).alias("canon"), normalize_name(F.col("known")).alias("cnorm"))
+    right = right.withColumn("size", last_name_length(F.col("canon")))  # once per name, not per pair
     n, m, a = F.size(inc), F.size(canon), F.size(tokens)
     last = lambda t: F.when(F.size(t) > 0, F.element_at(t, -1))
     first = lambda t: F.get(t, 0)
     lone = (n == 1) & (a == 1)
     singles = left.where(lone).select("team", "name", first(inc).alias("last"))
-    by_last = right.select("team", "player", last(canon).alias("last")).groupBy("team", "last").agg(F.count(F.lit(1)).alias("hits"), F.min("player").alias("only"))
-    counted = singles.join(by_last, ["team", "last"]).select("team", "name", "hits", "only")
+    by_last = right.select("team", "players", "least", last(canon).alias("last")).groupBy("team", "last").agg(F.sum("players").alias("hits"), F.min("least").alias("only"))
+    counted = singles.join(by_last.hint("merge"), ["team", "last"]).select("team", "name", "hits", "only")
     compound = F.when((F.col("size") >= 2) & (F.col("size") < m), F.concat(F.lit("t:"), F.concat_ws(" ", F.slice(canon, m - F.col("size") + 1, F.col("size")))))
-    undecided = left.join(counted.select("team", "name"), ["team", "name"], "left_anti")
+    undecided = left.join(counted.select("team", "name").hint("merge"), ["team", "name"], "left_anti")
     pairs = _indexed(undecided, right, first(tokens), [], [compound])
     size = F.col("size")
     tail = lambda t, k: F.slice(t, F.greatest(F.size(t) - k + 1, F.lit(1)), k)
@@ -154,8 +157,9 @@ def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: flo
     The first form that a pair has decides, even where it then gives nothing: equal, one token, the same last token, a
     subset. Names meet roster rows by keys of these forms (see _indexed); a pair without one comes near in no form."""
     names = cases.select("team", F.col("raw").alias("name")).distinct()
+    rostered = roster.select("team", F.col("name").alias("known")).distinct()
     left = names.select("team", "name", normalize_name(F.col("name")).alias("norm"), significant_tokens(F.col("name")).alias("inc"))
-    right = roster.select("team", "ord", "player", normalize_name(F.col("name")).alias("cnorm"), significant_tokens(F.col("name")).alias("canon"))
+    right = rostered.select("team", "known", normalize_name(F.col("known")).alias("cnorm"), significant_tokens(F.col("known")).alias("canon"))
     inc, canon, n, m = F.col("inc"), F.col("canon"), F.size("inc"), F.size("canon")
     single = F.when(n == 1, F.concat(F.lit("l:"), F.get(inc, 0)))
     pairs = _indexed(left, right, F.get(inc, 0), [single], [F.when(m >= 2, F.concat(F.lit("l:"), F.element_at(canon, -1)))])
@@ -170,9 +174,13 @@ def near_misses(cases: DataFrame, roster: DataFrame, low: float = 0.0, high: flo
         .when((n >= 2) & (m >= 2) & (last(inc) == last(canon)), alias)
         .when((n >= 1) & (m >= 1), subset)
     )
-    rows = pairs.select("team", "name", "player", found.alias("f")).where("f is not null")
-    near = rows.select("team", "name", "player", F.col("f.c").alias("confidence"), F.col("f.r").alias("rule")).where(F.col("confidence").between(low, high))
-    return cases.select("team", "case_id", F.col("raw").alias("name")).join(near, ["team", "name"]).drop("name")
+    rows = pairs.select("team", "name", "known", found.alias("f")).where("f is not null")
+    near = rows.select("team", "name", "known", F.col("f.c").alias("confidence"), F.col("f.r").alias("rule")).where(F.col("confidence").between(low, high))
+    # names near each other are dealt to all who have them; neither side is broadcast, its rows may be many times its files
+    players = roster.select("team", F.col("name").alias("known"), "player")
+    dealt = near.join(players.hint("merge"), ["team", "known"]).drop("known")
+    asked = cases.select("team", "case_id", F.col("raw").alias("name"))
+    return asked.join(dealt.hint("merge"), ["team", "name"]).select("team", "case_id", "player", "confidence", "rule")
 
 
 def unique_references(asked: DataFrame, roster: DataFrame) -> DataFrame:
@@ -205,7 +213,7 @@ def same_player(a: Column, b: Column) -> Column:
 
 def unmatched(cases: DataFrame, matched: DataFrame) -> DataFrame:
     """Dead letters: cases without a match, names as they came."""
-    return cases.join(matched.select("team", "case_id"), ["team", "case_id"], "left_anti")
+    return cases.join(matched.select("team", "case_id").hint("merge"), ["team", "case_id"], "left_anti")
 
 
 def duplicate_pairs(players: DataFrame, key: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,20 @@ def edit_join(values: DataFrame, by: list[str], value: str, similarity: float =
     return scored.where(F.col("similarity") >= similarity)
 
 
+def name_pairs(rows: DataFrame, by: list[str], key: str, name: str, more: str | None = None, **made: Column) -> DataFrame:
+    """All pairs of a group, a before b by key: by, a_key, b_key (and a_more, b_more) with columns made of `a_name` and `b_name`.
+
+    The pairs are as many as the squares of the groups, but what is made of two names is made once for every two distinct
+    names of a group and dealt to the pairs that have them, within a task. A row holds the keys of two names of a group."""
+    held = F.struct(key, *([more] if more else []))
+    one = rows.where(reduce(and_, (F.col(c).isNotNull() for c in by))).groupBy(*by, F.col(name).alias("n")).agg(F.collect_list(held).alias("k"))
+    side = lambda s: one.select(*by, F.col("n").alias(f"{s}_name"), F.col("k").alias(f"{s}_rows"))
+    met = side("a").join(side("b").hint("merge"), by).select("a_rows", "b_rows", *(c.alias(n) for n, c in made.items()))
+    dealt = met.withColumn("a", F.explode("a_rows")).drop("a_rows").withColumn("b", F.explode("b_rows")).drop("b_rows")
+    said = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in [key, *([more] if more else [])]]
+    return dealt.where(F.col(f"a.{key}") < F.col(f"b.{key}")).select(*said, *made)
+
+
 def duplicates(players: DataFrame, similarity: float = 0.75) -> DataFrame:
     """team, a, b, kind: players of a team (a before b) who may be one, and why: same_slug, same_name (the same tokens but
     for initials), initial (one has an initial, and the same last name), typo_or_compound (the same beginning and a near

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import identity, matching
+from ..operators import identity, matching, similar
 from ..sources import html, pages
 from .registry import registry, table
 
@@ -17,11 +17,8 @@ PAIRS = """SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, a.p_name AS a_name,
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"""
 
 
-def _pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    a = p.select("p_brand", "p_size", F.col("p_partkey").alias("a_id"), F.col("p_name").alias("a_name"))
-    b = p.select("p_brand", "p_size", F.col("p_partkey").alias("b_id"), F.col("p_name").alias("b_name"))
-    return a.join(b, ["p_brand", "p_size"]).where("a_id < b_id").withColumns({"x": T.all_tokens(F.col("a_name")), "y": T.all_tokens(F.col("b_name"))})
+def _pairs(spark, sf_dir, more=None, **made):
+    return similar.name_pairs(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", "p_name", more, **made)
 
 
 @query(f"SELECT doc_id, {NORMALIZED.format('text')} AS name FROM documents")
@@ -42,8 +39,10 @@ concat_ws('/', len(list_intersect(list_distinct(x), list_distinct(y))), greatest
 def name_similarity(spark, sf_dir):
     """Dice, prefix Dice, edit similarity (per mille) and overlap of names within brand and size."""
     mille = lambda c: F.floor(1000 * c + 0.5)
-    x, y = F.col("x"), F.col("y")
-    return _pairs(spark, sf_dir).select("a_id", "b_id", mille(T.token_dice(x, y)).alias("dice"), mille(T.prefix_dice(x, y)).alias("prefix"), mille(T.edit_similarity(F.col("a_name"), F.col("b_name"))).alias("edit"), T.overlap_label(x, y).alias("overlap"))
+    a, b = F.col("a_name"), F.col("b_name")
+    x, y = T.all_tokens(a), T.all_tokens(b)
+    rows = _pairs(spark, sf_dir, dice=mille(T.token_dice(x, y)), prefix=mille(T.prefix_dice(x, y)), edit=mille(T.edit_similarity(a, b)), overlap=T.overlap_label(x, y))
+    return rows.select(F.col("a_p_partkey").alias("a_id"), F.col("b_p_partkey").alias("b_id"), "dice", "prefix", "edit", "overlap")
 
 
 @query("""SELECT p_partkey, upper(left(string_split(p_name, ' ')[1], 1) || coalesce(left(string_split(p_name, ' ')[2], 1), '')) AS initials,
@@ -150,10 +149,10 @@ def near_miss_band(spark, sf_dir):
 FROM ({PAIRS}) JOIN part a ON a.p_partkey = a_id JOIN part b ON b.p_partkey = b_id)""")
 def duplicate_kinds(spark, sf_dir):
     """What makes two names of a team one player, if anything (the type stands for the slug)."""
-    slug = lambda which: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(f"{which}_id"), F.col("p_type").alias(f"{which}_slug"))
-    rows = _pairs(spark, sf_dir).join(slug("a"), "a_id").join(slug("b"), "b_id")
-    a, b = F.col("a_name"), F.col("b_name")
-    return rows.select("a_id", "b_id", identity.duplicate_kind(a, b, F.col("a_slug"), F.col("b_slug")).alias("kind"), matching.same_player(a, b).alias("same"))
+    a, b, none = F.col("a_name"), F.col("b_name"), F.lit("")
+    rows = _pairs(spark, sf_dir, "p_type", by_name=identity.duplicate_kind(a, b, none, none), same=matching.same_player(a, b))
+    one = (F.col("a_p_type") != "") & (F.col("a_p_type") == F.col("b_p_type"))
+    return rows.select(F.col("a_p_partkey").alias("a_id"), F.col("b_p_partkey").alias("b_id"), F.when(one, "same_slug").otherwise(F.col("by_name")).alias("kind"), "same")
 
 
 EVIDENCE = """SELECT l_partkey AS local_id, 's' || l_suppkey AS slug, max(l_quantity) / 50.0::DOUBLE AS name_score, max(l_linenumber) % 2 = 0 AS club, max(l_suppkey) % 3 = 0 AS dob, max(l_suppkey) % 5 = 0 AS nat,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineupforge.operators import bridging, identity
+from lineupforge.operators import bridging, identity, matching, similar
 from lineupforge.sinks.shared import looked_up
 
 
@@ -41,3 +41,36 @@ def test_bridge_reads_decisions_once(spark):
     out = bridging.bridge_rows(made, ranked, held, F.current_timestamp())
     assert _plan(out).count("Join") == 2
     assert {r["local_id"]: (r["status"], r["reason"]) for r in out.collect()} == {1: ("matched", "r"), 2: ("manual_review", bridging.TAKEN)}
+
+
+def test_near_misses_meet_by_distinct_names(spark):
+    roster = spark.createDataFrame([("t", i, i, "Ana Ruiz") for i in range(40)] + [("t", 50, 50, None)], "team string, ord long, player long, name string")
+    cases = spark.createDataFrame([("t", i, "Ruiz") for i in range(30)] + [("t", 99, None)], "team string, case_id long, raw string")
+    near = matching.near_misses(cases, roster)
+    assert near.count() == 1200 and near.select("rule", "confidence").distinct().count() == 1
+    plan = near._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan  # no rows of either side go to the driver
+
+
+def test_match_counts_players_of_one_name(spark):
+    roster = spark.createDataFrame([("t", 2, 12, "Ana Ruiz"), ("t", 1, 11, "Ana Ruiz"), ("t", 3, 13, "Eva Paz")], "team string, ord long, player long, name string")
+    cases = spark.createDataFrame([("t", 1, "Ruiz"), ("t", 2, "Ana Ruiz"), ("t", 3, "Paz")], "team string, case_id long, raw string")
+    found = matching.match_roster(cases, roster)
+    assert {r["case_id"]: (r["player"], r["rule"]) for r in found.collect()} == {2: (11, "exact"), 3: (13, matching.UNIQUE)}
+    left = matching.unmatched(cases, found)
+    assert [r["case_id"] for r in left.collect()] == [1] and "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_name_pairs_are_scored_once_a_name(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def both(a, b):
+        calls.add(1)
+        return f"{a}{b}"
+
+    rows = spark.createDataFrame([("g", i, "xy"[i % 2]) for i in range(20)] + [("h", 30, "x"), (None, 31, "x"), (None, 32, "x")], "g string, i long, n string")
+    got = similar.name_pairs(rows, ["g"], "i", "n", said=both(F.col("a_name"), F.col("b_name")))
+    pairs = [(r["a_i"], r["b_i"], r["said"]) for r in got.collect()]
+    assert sorted(pairs) == [(i, j, "xy"[i % 2] + "xy"[j % 2]) for i in range(20) for j in range(i + 1, 20)]
+    assert calls.value <= 5

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, edit_similarity, fold_name
+from ..sinks.shared import looked_up, written
 
 # First names by the short forms under which players go.
 SHORT_FORMS = {
@@ -47,8 +48,11 @@ def plays_for(team: Column, club: Column, slug: Column) -> Column:
 def scored(candidates: DataFrame) -> DataFrame:
     """candidates (local_id, name, team, slug, display_name, club, club_slug) with name_score, team_match and score."""
     c = F.col
-    rows = candidates.withColumn("name_score", name_score(c("name"), c("display_name"))).withColumn("team_match", plays_for(c("team"), c("club"), c("club_slug")))
-    return rows.withColumn("score", c("name_score") + F.when(c("team_match"), 0.2).otherwise(0.0))
+    # two names or clubs are compared once, however many candidates bring them together
+    rows = written(candidates)
+    clubs = looked_up(rows, ["team", "club", "club_slug"], rows, team_match=plays_for(c("team"), c("club"), c("club_slug")))
+    named = looked_up(clubs, ["name", "display_name"], rows, name_score=name_score(c("name"), c("display_name")))
+    return named.select(*candidates.columns, "name_score", "team_match", (c("name_score") + F.when(c("team_match"), 0.2).otherwise(0.0)).alias("score"))
 
 
 def suggestions(candidates: DataFrame) -> DataFrame:

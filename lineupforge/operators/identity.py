@@ -130,12 +130,14 @@ def searched(local: DataFrame, hits: DataFrame) -> DataFrame:
     nationality. Names are compared with list_dice, clubs with clubs_alike; nations by their letters."""
     c = F.col
     letters = lambda x: F.nullif(F.regexp_replace(strip_marks(F.upper(F.coalesce(x, F.lit("")))), "[^A-Z]", ""), F.lit(""))
+    day = lambda x: F.substring(x.cast("string"), 1, 10)
     theirs = hits.select("local_id", "slug", "display", c("club").alias("_club"), c("born").alias("_born"), c("nationality").alias("_nation"))
-    both = local.join(theirs, "local_id")
-    return both.select(
-        "local_id", "slug", list_dice(compared_tokens(c("name")), compared_tokens(c("display"))).alias("name_score"), clubs_alike(c("team"), c("_club")).alias("club"),
-        (F.substring(c("born").cast("string"), 1, 10) == F.substring(c("_born").cast("string"), 1, 10)).alias("dob"), (letters(c("nationality")) == letters(c("_nation"))).alias("nat"),
-    )
+    both = written(local.join(theirs, "local_id").select("local_id", "slug", "name", "display", c("team").alias("_team"), "_club", (day(c("born")) == day(c("_born"))).alias("dob"), "nationality", "_nation"))
+    # as in evidence: once per two clubs, nations or names
+    clubs = looked_up(both, ["_team", "_club"], both, club=clubs_alike(c("_team"), c("_club")))
+    nations = looked_up(clubs, ["nationality", "_nation"], both, nat=letters(c("nationality")) == letters(c("_nation")))
+    named = looked_up(nations, ["name", "display"], both, name_score=list_dice(compared_tokens(c("name")), compared_tokens(c("display"))))
+    return named.select("local_id", "slug", "name_score", "club", "dob", "nat")
 
 
 def _name(name: Column) -> Column:
@@ -154,6 +156,13 @@ def name_score(local: Column, display: Column, full: Column) -> Column:
     return _score(_name(local), _name(display), _name(full))
 
 
+def with_name_score(rows: DataFrame, local: Column, display: Column, full: Column) -> DataFrame:
+    """rows with name_score, made once for every three distinct names."""
+    own = written(rows.withColumns({"_local": local, "_display": display, "_full": full}))
+    made = name_score(F.col("_local"), F.col("_display"), F.col("_full"))
+    return looked_up(own, ["_local", "_display", "_full"], name_score=made).drop("_local", "_display", "_full")
+
+
 def evidence(local: DataFrame, candidates: DataFrame) -> DataFrame:
     """What decide() asks for. local: local_id, name, team, born, nationality; candidates: local_id, slug, display, first,
     last, club, club_slug, born, nationality. A local row without candidates has one row without a slug."""

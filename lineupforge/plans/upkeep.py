@@ -69,8 +69,8 @@ def name_scores(spark, sf_dir):
     rows = customer.join(part, C("p_partkey") == C("c_custkey"))
     own = F.concat("p_name", F.lit(" de "), "c_mktsegment", F.when(C("c_custkey") % 3 == 0, " Jr").otherwise(""))
     display = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), "c_mktsegment")
-    score = identity.name_score(own, display, F.concat_ws(" ", "p_name", "c_mktsegment"))
-    return rows.select("c_custkey", F.floor(1000 * score + 0.5).alias("score"))
+    scored = identity.with_name_score(rows.select("c_custkey", "p_name", "c_mktsegment"), own, display, F.concat_ws(" ", "p_name", "c_mktsegment"))
+    return scored.select("c_custkey", F.floor(1000 * C("name_score") + 0.5).alias("score"))
 
 
 @query("""WITH r AS (SELECT p_brand, p_size, list(lower(p_name)) AS names FROM part GROUP BY ALL)

@@ -6,8 +6,8 @@ are keyed by hashes of 64 bits, so the model holds every n-gram seen, and its ar
 the language of the lowest cross-entropy per character; the score is that language's share of a softmax over the
 length-normalised cross-entropies at a temperature.
 
-Temperature and rejection are calibrated on rows that the counts of the model judging them left out (of a tenth of the
-training rows, the first CALIBRATION_ROWS by hash); the final model then counts all rows. A text is rejected if its
+Temperature and rejection are calibrated on rows that the counts of the model judging them left out (a tenth of the
+training rows, chosen by hash, all of it); the final model then counts all rows. A text is rejected if its
 cross-entropy is higher than those rows' mean by more than MARGIN times the largest excess among them (which shrinks
 with the root of the length), or if its score isn't above that of calibration rows that were told wrong (as far as at
 most LOSS of the right ones lie below).
@@ -34,8 +34,8 @@ from .common import cut
 from .lookups import Numbered, Sorted, mixed
 
 ORDER, DISCOUNT = 4, 0.75
-#: Rows for calibration; how far beyond them a cross-entropy may lie; the share of right ones a least score may cost.
-CALIBRATION_ROWS, MARGIN, LOSS = 2000, 1.5, 0.001
+#: How far beyond calibration rows a cross-entropy may lie; the share of right ones a least score may cost; temperatures.
+MARGIN, LOSS, GRID = 1.5, 0.001, np.geomspace(0.5, 64, 15)
 #: Words that a worker keeps scored.
 MEMORY = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -209,35 +209,43 @@ def fit(docs: DataFrame) -> Model:
 
 
 def _calibrate(model: Model, judge: Model, docs: DataFrame) -> None:
-    """Sets model's temperature, mean, excess and least. The rows are chosen by a hash alone; their texts are scored by
-    judge in the tasks that read them, and only numbers, of CALIBRATION_ROWS rows at most, go further."""
+    """Sets model's temperature, mean, excess and least from all rows of the tenth. Their texts are scored by judge in the
+    tasks that read them; sums, a maximum and the LOSS lowest scores of the right ones are taken by Spark."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & _tenth()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    last = rows.select("h").distinct().orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
-    if last is None or not judge.langs:
+    if not judge.langs:
         return
     shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             bits, chars = shared.value.texts(part["text"].tolist())
-            yield pd.DataFrame({"h": part["h"], "lang": part["lang"], "chars": chars, "bits": list(bits)})
+            true = pd.Categorical(part["lang"], categories=shared.value.langs).codes
+            known = (chars > 0) & (true >= 0)
+            bits, chars, true = bits[known], chars[known], true[known]
+            own, best = bits[np.arange(len(bits)), true], bits.min(1)
+            loss = np.stack([np.log(np.exp(-t * (bits - own[:, None])).sum(1).clip(1, 1e300)) for t in GRID], 1)
+            score = np.stack([1 / np.exp(-t * (bits - best[:, None])).sum(1) for t in GRID], 1)
+            yield pd.DataFrame({"h": part["h"].to_numpy()[known], "fine": bits.argmin(1) == true, "best": best, "chars": chars, "loss": list(loss), "score": list(score)})
 
-    found = rows.where(F.col("h") <= last).mapInPandas(run, "h long, lang string, chars double, bits array<double>").where("chars > 0").dropDuplicates(["h"]).toPandas()
-    true = pd.Categorical(found["lang"], categories=judge.langs).codes
-    found, true = found[true >= 0], true[true >= 0]
-    if not len(found):
+    c = F.col
+    found = cut(rows.mapInPandas(run, "h long, fine boolean, best double, chars double, loss array<double>, score array<double>").dropDuplicates(["h"]))
+    means = found.agg(*(F.avg(F.get("loss", F.lit(i))).alias(f"l{i}") for i in range(len(GRID)))).first()
+    if means[0] is None:
+        return
+    at = int(np.argmin(list(means)))
+    model.temperature = float(GRID[at])
+    scores = found.select("fine", "best", "chars", F.get("score", F.lit(at)).alias("score"))
+    right = scores.where("fine")
+    n, bits, chars = right.agg(F.count(F.lit(1)), F.sum(c("best") * c("chars")), F.sum("chars")).first()
+    if not n:
         return
-    bits, chars = np.stack(found["bits"]), found["chars"].to_numpy()
-    grid = np.geomspace(0.5, 64, 15)
-    loss = [np.mean(np.log(np.exp(-t * (bits - bits[np.arange(len(bits)), true][:, None])).sum(1).clip(1, 1e300))) for t in grid]
-    model.temperature = float(grid[int(np.argmin(loss))])
-    best, right = bits.min(1), bits.argmin(1) == true
-    score = 1 / np.exp(-model.temperature * (bits - best[:, None])).sum(1)
-    if right.any():
-        model.mean = float(np.average(best[right], weights=chars[right]))
-        model.excess = max(float(((best[right] - model.mean) * np.sqrt(chars[right])).max()), 1.0)
-        wrong = score[~right]
-        model.least = float(wrong[wrong < np.quantile(score[right], LOSS)].max(initial=0.0))
+    model.mean = bits / chars
+    model.excess = max(right.agg(F.max((c("best") - model.mean) * F.sqrt("chars"))).first()[0], 1.0)
+    # the quantile lies between the two at its place in the order; no more than so many rows are needed
+    place = (n - 1) * LOSS
+    low = right.orderBy("score").limit(int(place) + 2).agg(F.sort_array(F.collect_list("score"))).first()[0]
+    bound = low[int(place)] + (low[min(int(place) + 1, n - 1)] - low[int(place)]) * (place - int(place))
+    model.least = scores.where(~c("fine") & (c("score") < bound)).agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
 
 
 def _told(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:

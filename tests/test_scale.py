@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineupforge.operators import bridging, identity, matching, similar
+from lineupforge.operators import bridging, identity, matching, ranking, similar
 from lineupforge.sinks.shared import looked_up
 
 
@@ -74,3 +74,15 @@ def test_name_pairs_are_scored_once_a_name(spark):
     pairs = [(r["a_i"], r["b_i"], r["said"]) for r in got.collect()]
     assert sorted(pairs) == [(i, j, "xy"[i % 2] + "xy"[j % 2]) for i in range(20) for j in range(i + 1, 20)]
     assert calls.value <= 5
+
+
+def test_ranking_and_search_compare_distinct_values(spark):
+    rows = spark.createDataFrame([(i, "Fede Ruiz", "Real Azul", f"s{i}", "Federico Ruiz", "Azul CF", None) for i in range(3)], "local_id long, name string, team string, slug string, display_name string, club string, club_slug string")
+    made = ranking.scored(rows)
+    assert "regexp_replace" not in _plan(made) and {(r["name_score"], r["team_match"]) for r in made.collect()} == {(1.0, True)}
+    local = spark.createDataFrame([(1, "Ana Ruiz", "Betis", "2000-01-01", "España")], "local_id long, name string, team string, born string, nationality string")
+    hits = spark.createDataFrame([(1, "s1", "Ruiz Ana", "Real Betis", "2000-01-01T00:00", "espana")], "local_id long, slug string, display string, club string, born string, nationality string")
+    seen = identity.searched(local, hits)
+    assert "regexp_replace" not in _plan(seen) and [tuple(r) for r in seen.collect()] == [(1, "s1", 1.0, True, True, True)]
+    named = identity.with_name_score(local, F.col("name"), F.lit("Ruiz Ana"), F.lit(""))
+    assert named.columns == [*local.columns, "name_score"] and "regexp_replace" not in _plan(named)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,27 +35,31 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole == 0, 0.0).otherwise(F.floor(part * 100.0 * 10**digits / whole + 0.5) / 10**digits)
 
 
+def fair_odds(*odds: Column) -> Column:
+    """True if every decimal odd is a finite number above 1."""
+    return reduce(and_, ((o > 1) & (o < float("inf")) for o in odds))  # NaN is above every number
+
+
 def devig(home: Column, draw: Column, away: Column) -> Column:
     """Three decimal odds as whole percentages that sum to 100, by largest remainders (ties: earlier first); null if
     one is no finite number above 1."""
-    odds = F.array(*(F.try_divide(F.lit(1.0), o.cast("double")) for o in (home, draw, away)))
-    fine = F.forall(odds, lambda x: x.isNotNull() & (x > 0) & (x < 1))
-    total = lambda v: F.get(v, 0) + F.get(v, 1) + F.get(v, 2)
+    three = lambda v: (F.get(v, 0), F.get(v, 1), F.get(v, 2))
 
-    def shares(inverse):
-        return bound(F.transform(inverse, lambda x: 100.0 * x / total(inverse)), rounded)
+    def shares(odds):
+        x, y, z = (F.try_divide(F.lit(1.0), o) for o in three(odds))
+        return F.when(fair_odds(*three(odds)), bound(F.array(*(100.0 * i / (x + y + z) for i in (x, y, z))), rounded))
 
     def rounded(raw):
-        base = F.transform(raw, lambda x: F.floor(x).cast("int"))
-        return bound(F.struct(raw.alias("raw"), base.alias("base"), F.transform(raw, lambda x: x - F.floor(x)).alias("rest")), dealt)
+        base = [F.floor(x).cast("int") for x in three(raw)]
+        rest = [x - F.floor(x) for x in three(raw)]
+        return bound(F.struct(*(b.alias(f"b{i}") for i, b in enumerate(base)), *(r.alias(f"r{i}") for i, r in enumerate(rest)), (100 - (base[0] + base[1] + base[2])).alias("left")), dealt)
 
     def dealt(v):
-        left = 100 - total(v["base"])
-        ahead = lambda r, i: F.size(F.filter(v["rest"], lambda x, j: (x > r) | ((x == r) & (j < i))))
-        out = F.transform(v["rest"], lambda r, i: F.get(v["base"], i) + (ahead(r, i) < left).cast("int"))
-        return bound(out, lambda x: F.struct(F.get(x, 0).alias("home"), F.get(x, 1).alias("draw"), F.get(x, 2).alias("away")))
+        before = lambda j, i: (v[f"r{j}"] >= v[f"r{i}"] if j < i else v[f"r{j}"] > v[f"r{i}"]).cast("int")
+        out = lambda i, j, k: v[f"b{i}"] + (before(j, i) + before(k, i) < v["left"]).cast("int")
+        return F.struct(out(0, 1, 2).alias("home"), out(1, 0, 2).alias("draw"), out(2, 0, 1).alias("away"))
 
-    return F.when(fine, bound(odds, shares))
+    return bound(F.array(*(o.cast("double") for o in (home, draw, away))), shares)
 
 
 def positive_price(*prices: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bound, devig, season_week
+from ..functions.numeric import bound, devig, fair_odds, season_week
 from ..functions.text import strip_accents
 from .state import gap_rounds
 
@@ -25,45 +25,50 @@ def three_way(home: Column, away: Column, bookmakers: Column, preferred: list[st
     arrays are a match's own, so nothing is exploded or shuffled."""
     rank = lambda key: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, preferred)), key), F.lit(0)), F.lit(100))
 
-    def prices(outcomes):
-        price = lambda test: F.get(F.filter(outcomes, test), 0)["price"].cast("double")
-        return F.array(price(lambda o: o["name"] == home), price(lambda o: F.lower(o["name"]) == "draw"), price(lambda o: o["name"] == away))
-
-    def chosen(b, i):
+    def priced(b, i):
         outcomes = F.get(F.filter(b["markets"], lambda m: m["key"] == "h2h"), 0)["outcomes"]
-        p = bound(bound(outcomes, prices), lambda v: devig(F.get(v, 0), F.get(v, 1), F.get(v, 2)))
-        return F.struct(rank(b["key"]).alias("rank"), i.alias("at"), b["title"].alias("bookmaker"), p.alias("p"))
+        price = lambda v, test: F.get(F.filter(v, test), 0)["price"].cast("double")
+        prices = lambda v: (price(v, lambda o: o["name"] == home).alias("home"), price(v, lambda o: F.lower(o["name"]) == "draw").alias("draw"), price(v, lambda o: o["name"] == away).alias("away"))
+        return bound(outcomes, lambda v: F.struct(rank(b["key"]).alias("rank"), i.alias("at"), b["title"].alias("bookmaker"), *prices(v)))
 
     def shown(best):
-        return F.when(best.isNotNull(), F.struct(best["p"]["home"].alias("home"), best["p"]["draw"].alias("draw"), best["p"]["away"].alias("away"), best["bookmaker"].alias("bookmaker")))
+        shares = lambda p: F.struct(p["home"].alias("home"), p["draw"].alias("draw"), p["away"].alias("away"), best["bookmaker"].alias("bookmaker"))
+        return F.when(best.isNotNull(), bound(devig(best["home"], best["draw"], best["away"]), shares))
 
-    return bound(F.array_min(F.filter(F.transform(bookmakers, chosen), lambda x: x["p"].isNotNull())), shown)
+    return bound(F.array_min(F.filter(F.transform(bookmakers, priced), lambda x: fair_odds(x["home"], x["draw"], x["away"]))), shown)
 
 
 def best_lines(lines: DataFrame, by: list[str], preferred: list[str]) -> DataFrame:
-    """by, home, draw, away, bookmaker: three_way for feeds with a row per match and bookmaker. Each line's percentages are
-    computed where it is, and a match keeps its first valid line by preference, then place; matches without one are left
-    out. lines: by, place, key, title, home, draw, away (prices)."""
+    """by, home, draw, away, bookmaker: three_way for feeds with a row per match and bookmaker. Lines with invalid prices
+    are dropped where they are, a match keeps its first line by preference, then place, and only that one's percentages
+    are computed; matches without one are left out. lines: by, place, key, title, home, draw, away (prices)."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, preferred)), F.col("key")), F.lit(0)), F.lit(100))
-    rows = lines.withColumns({"_p": devig(F.col("home"), F.col("draw"), F.col("away")), "_rank": rank}).where("_p is not null")
-    first = F.min_by(F.struct("_p.home", "_p.draw", "_p.away", F.col("title").alias("bookmaker")), F.struct("_rank", "place", "title", "home", "draw", "away"))
-    return rows.groupBy(*by).agg(first.alias("o")).select(*by, "o.*")
+    odds = [F.col(c).cast("double") for c in ("home", "draw", "away")]
+    rows = lines.where(fair_odds(*odds)).withColumn("_rank", rank)
+    best = rows.groupBy(*by).agg(F.min(F.struct("_rank", "place", "title", "home", "draw", "away")).alias("_best"))
+    best = best.withColumn("_p", devig(F.col("_best.home"), F.col("_best.draw"), F.col("_best.away")))
+    return best.select(*by, "_p.home", "_p.draw", "_p.away", F.col("_best.title").alias("bookmaker"))
 
 
-def normalized(events: DataFrame, teams: DataFrame, aliases: DataFrame, preferred: list[str], season: tuple[Column, Column]) -> DataFrame:
+def normalized(events: DataFrame, teams: DataFrame, aliases: DataFrame, preferred: list[str], season: tuple[Column, Column], lines: DataFrame | None = None) -> DataFrame:
     """event_id, competition, commence, home_id, away_id, matchday, home, draw, away, bookmaker.
 
-    events: event_id, competition, commence, home_team, away_team, bookmakers; teams: slug, team_id; aliases: key, slug.
-    The matchday is the season's week, off season the round within the competition by gaps above three days; unknown
-    clubs have a null id."""
+    events: event_id, competition, commence, home_team, away_team, and bookmakers (as three_way has them) unless lines
+    (event_id and what best_lines takes) has the odds; teams: slug, team_id; aliases: key, slug. The matchday is the
+    season's week, off season the round within the competition by gaps above three days; unknown clubs have a null id.
+    Odds and ids are made where an event is, so that only they go on to its competition."""
     ids = aliases.join(teams, "slug").select("key", "team_id")
-    rows = gap_rounds(events, "commence", ["event_id"], GAP_SECONDS, ["competition"])
+    rows = events.select("event_id", "competition", "commence", "home_team", "away_team", *([] if lines is not None else ["bookmakers"]))
+    if lines is not None:
+        rows = rows.join(best_lines(lines, ["event_id"], preferred), "event_id", "left")
+    else:
+        odds = three_way(F.col("home_team"), F.col("away_team"), F.col("bookmakers"), preferred)
+        rows = rows.withColumn("o", odds).select("*", "o.home", "o.draw", "o.away", "o.bookmaker").drop("o", "bookmakers")
     for side in ("home", "away"):
         rows = rows.withColumn("_k", club_key(F.col(f"{side}_team"))).join(ids.select(F.col("key").alias("_k"), F.col("team_id").alias(f"{side}_id")), "_k", "left").drop("_k")
-    odds = three_way(F.col("home_team"), F.col("away_team"), F.col("bookmakers"), preferred)
+    rows = gap_rounds(rows.drop("home_team", "away_team"), "commence", ["event_id"], GAP_SECONDS, ["competition"])
     matchday = F.coalesce(season_week(F.col("commence"), *season).cast("long"), "round")
-    rows = rows.select("event_id", "competition", "commence", "home_id", "away_id", matchday.alias("matchday"), odds.alias("o"))
-    return rows.select("event_id", "competition", "commence", "home_id", "away_id", "matchday", "o.home", "o.draw", "o.away", "o.bookmaker")
+    return rows.select("event_id", "competition", "commence", "home_id", "away_id", matchday.alias("matchday"), "home", "draw", "away", "bookmaker")
 
 
 def first_answer(payloads: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
-from lineupforge.operators import bridging, identity, matching, ranking, similar
+from lineupforge.operators import bridging, identity, matching, odds, ranking, similar
+from lineupforge.plans import structures
 from lineupforge.sinks.shared import looked_up
 
 
@@ -86,3 +88,43 @@ def test_ranking_and_search_compare_distinct_values(spark):
     assert "regexp_replace" not in _plan(seen) and [tuple(r) for r in seen.collect()] == [(1, "s1", 1.0, True, True, True)]
     named = identity.with_name_score(local, F.col("name"), F.lit("Ruiz Ana"), F.lit(""))
     assert named.columns == [*local.columns, "name_score"] and "regexp_replace" not in _plan(named)
+
+
+def _feed(spark):
+    """Three matches with lines of bookmakers, and the same with the bookmakers nested."""
+    line = "event_id long, place int, key string, title string, home double, draw double, away double"
+    lines = spark.createDataFrame([(1, 2, "z", "Z", 2.0, 3.0, 4.0), (1, 1, "p", "P", 1.0, 3.0, 4.0), (1, 3, "y", "Y", 5.0, 5.0, 5.0), (2, 4, "p", "P", 2.0, 2.0, 2.0), (2, 1, "z", "Z", 3.0, 3.0, 4.0), (3, 1, "p", "P", None, 3.0, float("inf"))], line)
+    events = spark.sql("SELECT id + 1 AS event_id, 'l' AS competition, timestamp_ntz'2024-08-10 12:00:00' + make_dt_interval(4 * CAST(id AS INT)) AS commence, 'A FC' AS home_team, 'B' AS away_team FROM range(4)")
+    outcomes = F.expr("array(struct('A FC' AS name, home AS price), struct('Draw' AS name, draw AS price), struct('B' AS name, away AS price))")
+    book = F.struct("place", "key", "title", F.array(F.struct(F.lit("h2h").alias("key"), outcomes.alias("outcomes"))).alias("markets"))
+    books = lines.groupBy("event_id").agg(F.sort_array(F.collect_list(book)).alias("bookmakers"))
+    return events, lines, events.join(books, "event_id", "left")
+
+
+def test_odds_of_a_match_are_made_before_it_meets_its_competition(spark):
+    events, lines, nested = _feed(spark)
+    teams, aliases = spark.createDataFrame([("a", 7)], "slug string, team_id int"), spark.createDataFrame([("a", "a")], "key string, slug string")
+    season = (F.lit("2020-08-05").cast("timestamp_ntz"), F.lit("2020-12-01").cast("timestamp_ntz"))
+    flat = odds.normalized(events, teams, aliases, ["p"], season, lines)
+    both = [odds.normalized(nested, teams, aliases, ["p"], season), flat]
+    want = [(1, 7, None, 1, 46, 31, 23, "Z"), (2, 7, None, 2, 34, 33, 33, "P"), (3, 7, None, 3, None, None, None, None), (4, 7, None, 4, None, None, None, None)]
+    for made in both:
+        assert [tuple(r) for r in made.drop("competition", "commence").orderBy("event_id").collect()] == want
+        plan = _plan(made)  # the outermost step comes first
+        assert plan.index("Window") < plan.index("array_min" if made is both[0] else "min(struct")
+    assert "collect_list" not in _plan(flat)
+
+
+def test_odds_normalized_by_sql_on_a_match_without_clubs(spark, tmp_path):
+    spark.sql("SELECT CAST(id AS INT) AS n_nationkey, concat('N', id) AS n_name FROM range(25)").write.parquet(str(tmp_path / "nation.parquet"))
+    orders = "SELECT id AS o_orderkey, IF(id = 2, NULL, id * 7) AS o_custkey, timestamp_ntz'1995-08-01 00:00:00' + make_dt_interval(3 * CAST(id AS INT)) AS o_orderdate FROM range(40)"
+    spark.sql(orders).write.parquet(str(tmp_path / "orders.parquet"))
+    lineitem = "SELECT id % 38 AS l_orderkey, CAST(id % 5 AS INT) AS l_linenumber, CAST(id % 11 AS DOUBLE) AS l_quantity, (id % 10) / 100D AS l_discount, (id % 9) / 100D AS l_tax, element_at(array('A', 'N', 'R'), CAST(id % 3 AS INT) + 1) AS l_returnflag, IF(id % 2 = 0, 'O', 'F') AS l_linestatus FROM range(150)"
+    spark.sql(lineitem).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = structures.odds_normalized(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("nation", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(structures.SQL["odds_normalized"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert [r["bookmaker"] is not None for r in got.where("event_id = 2").collect()] == [True]

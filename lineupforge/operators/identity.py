bridge_rows: names are compared where local rows meet candidates

Symptom: bridge_rows shuffles 67 MB (written, and as much read) for about 11 MB of tables at sf0.1 in the profiler.
Evidence: in the event log at sf0.1, 19 MB of it is all rows going to their triple of names and 2 MB the distinct triples; at 16 times sf0.1 it is 294 and 38 of 1,066 MB. There are more triples than a broadcast may hold, so the lookup is a merge join of all rows, where all rows of a common name go to one task.
Fix: evidence normalises a name on its own side, once per local row and once per candidate, and compares the two in the step in which they meet by local row; clubs and nations are still looked up, and the rows written for that carry no names.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1083 -> 938 s, shuffle 4.84 -> 3.01 GB, spill 0.02 -> 0.00 GB, read 1.27 -> 1.00 GB, longest task 13 -> 19 s, most memory of a task 974 -> 839 MB; at 6 GB of input CPU 4644 -> 4054 s, shuffle 21.30 -> 9.97 GB, spill 3.24 -> 2.72 GB, read 9.78 -> 7.08 GB, longest task 35 -> 51 s, most memory of a task 1242 -> 1141 MB; with hot keys, at 1 GB of input CPU 975 -> 713 s, shuffle 3.62 -> 2.27 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.72 GB, longest task 13 -> 16 s, most memory of a task 705 -> 571 MB.

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens, compared_tokens, edit_similarity, list_dice, name_tokens, normalize_name, plain_tokens, prefix_dice, strip_marks, token_dice
+from ..functions.text import all_tokens, bare_name_tokens, compared_tokens, edit_similarity, list_dice, normalize_name, plain_tokens, prefix_dice, strip_marks, token_dice
 from ..sinks.shared import looked_up, written
 from .state import first_per_key
 
@@ -140,9 +140,13 @@ def searched(local: DataFrame, hits: DataFrame) -> DataFrame:
     return named.select("local_id", "slug", "name_score", "club", "dob", "nat")
 
 
-def _name(name: Column) -> Column:
-    """What name_score compares of a name: the name, normalised, and its tokens."""
-    return F.struct(normalize_name(F.coalesce(name, F.lit(""))).alias("whole"), name_tokens(name).alias("tokens"))
+def _bare(name: Column) -> Column:
+    return normalize_name(F.coalesce(name, F.lit("")))
+
+
+def _name(bare: Column) -> Column:
+    """What name_score compares of a normalised name: the name and its tokens."""
+    return F.struct(bare.alias("whole"), bare_name_tokens(bare).alias("tokens"))
 
 
 def _score(own: Column, display: Column, full: Column) -> Column:
@@ -151,9 +155,10 @@ def _score(own: Column, display: Column, full: Column) -> Column:
     return F.when(same(display) | same(full), 1.0).otherwise(F.greatest(*near))
 
 
-def name_score(local: Column, display: Column, full: Column) -> Column:
-    """1 if a name is the display name or the full name, else the best of Dice and prefix Dice with either."""
-    return _score(_name(local), _name(display), _name(full))
+def name_score(local: Column, display: Column, full: Column, read: bool = False) -> Column:
+    """1 if a name is the display name or the full name, else the best of Dice and prefix Dice with either. read: these are
+    columns of what _name makes of the names."""
+    return _score(local, display, full) if read else _score(*(_name(_bare(n)) for n in (local, display, full)))
 
 
 def with_name_score(rows: DataFrame, local: Column, display: Column, full: Column) -> DataFrame:
@@ -169,15 +174,18 @@ def evidence(local: DataFrame, candidates: DataFrame) -> DataFrame:
     c = F.col
     day = lambda x: F.substring(x.cast("string"), 1, 10)
     nation = lambda x: F.nullif(normalize_name(x), F.lit(""))
-    ours = local.select("local_id", "name", c("team").alias("our_team"), day(c("born")).alias("our_day"), c("nationality").alias("our_nation"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"))
-    full = F.trim(F.concat_ws(" ", "first", "last")).alias("full")
-    theirs = candidates.select("local_id", "slug", "display", full, F.concat_ws(" ", "club", "club_slug").alias("club"), day(c("born")).alias("their_day"), c("nationality").alias("their_nation"))
-    both = written(ours.join(theirs.withColumn("there", F.lit(True)), "local_id", "left"))
-    # two clubs, nations or names are compared once, however many rows bring them together
+    ours = local.select("local_id", _bare(c("name")).alias("name"), c("team").alias("our_team"), day(c("born")).alias("our_day"), c("nationality").alias("our_nation"), (F.coalesce(c("born").cast("string"), F.lit("")) == "").alias("no_dob"))
+    full = F.trim(F.concat_ws(" ", "first", "last"))
+    theirs = candidates.select("local_id", "slug", _bare(c("display")).alias("display"), _bare(full).alias("full"), F.concat_ws(" ", "club", "club_slug").alias("club"), day(c("born")).alias("their_day"), c("nationality").alias("their_nation"))
+    met = ours.join(theirs.withColumn("there", F.lit(True)), "local_id", "left")
+    # names are normalised on their own side and compared where the rows meet: looked up, all rows would be shuffled by their names
+    score = F.when(c("there"), name_score(c("name"), c("display"), c("full"), read=True))
+    met = met.withColumns({n: _name(c(n)) for n in ("name", "display", "full")})
+    both = written(met.select("local_id", "slug", "there", score.alias("name_score"), "our_day", "their_day", "no_dob", "our_team", "club", "our_nation", "their_nation"))
+    # two clubs or nations are compared once, however many rows bring them together
     clubs = looked_up(both, ["there", "our_team", "club"], both, same_club=F.when(c("there"), same_club(c("our_team"), c("club"))))
     nations = looked_up(clubs, ["our_nation", "their_nation"], both, nat=nation(c("our_nation")) == nation(c("their_nation")))
-    named = looked_up(nations, ["there", "name", "display", "full"], both, name_score=F.when(c("there"), name_score(c("name"), c("display"), c("full"))))
-    return named.select("local_id", "slug", "name_score", c("same_club").alias("team"), (c("our_day") == c("their_day")).alias("dob"), "nat", "no_dob")
+    return nations.select("local_id", "slug", "name_score", c("same_club").alias("team"), (c("our_day") == c("their_day")).alias("dob"), "nat", "no_dob")
 
 
 def probe(candidates: DataFrame) -> DataFrame:

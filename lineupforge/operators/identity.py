identity_evidence: birth days are compared where rows meet, before they are written

Symptom: identity_evidence shuffles 62 MB (written, and as much read) for about 11 MB of tables at sf0.1 in the profiler.
Evidence: event log at sf0.1: 32 MB brings the query's input together by local row, 21 MB was the lookup of names, which went when names came to be compared at the join (the commit before this one, whose code the query shares), 9 MB brings rows to their decision; the rows written in between still carried both birth days as texts.
Fix: days are compared at the join too, so a flag is written and read instead of two texts; a test holds the way from the written rows to a decision to one exchange.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 917 -> 873 s, shuffle 4.40 -> 2.84 GB, spill 0.02 -> 0.00 GB, read 0.94 -> 0.55 GB, longest task 13 -> 22 s, most memory of a task 940 -> 805 MB; at 6 GB of input CPU 3786 -> 3830 s, shuffle 18.48 -> 8.89 GB, spill 1.69 -> 0.48 GB, read 6.64 -> 4.03 GB, longest task 37 -> 62 s, most memory of a task 1074 -> 872 MB; with hot keys, at 1 GB of input CPU 890 -> 647 s, shuffle 3.24 -> 2.08 GB, spill 0.00 -> 0.00 GB, read 0.72 -> 0.43 GB, longest task 14 -> 14 s, most memory of a task 671 -> 537 MB.

@@ -181,11 +181,11 @@ def evidence(local: DataFrame, candidates: DataFrame) -> DataFrame:
     # names are normalised on their own side and compared where the rows meet: looked up, all rows would be shuffled by their names
     score = F.when(c("there"), name_score(c("name"), c("display"), c("full"), read=True))
     met = met.withColumns({n: _name(c(n)) for n in ("name", "display", "full")})
-    both = written(met.select("local_id", "slug", "there", score.alias("name_score"), "our_day", "their_day", "no_dob", "our_team", "club", "our_nation", "their_nation"))
+    both = written(met.select("local_id", "slug", "there", score.alias("name_score"), (c("our_day") == c("their_day")).alias("dob"), "no_dob", "our_team", "club", "our_nation", "their_nation"))
     # two clubs or nations are compared once, however many rows bring them together
     clubs = looked_up(both, ["there", "our_team", "club"], both, same_club=F.when(c("there"), same_club(c("our_team"), c("club"))))
     nations = looked_up(clubs, ["our_nation", "their_nation"], both, nat=nation(c("our_nation")) == nation(c("their_nation")))
-    return nations.select("local_id", "slug", "name_score", c("same_club").alias("team"), (c("our_day") == c("their_day")).alias("dob"), "nat", "no_dob")
+    return nations.select("local_id", "slug", "name_score", c("same_club").alias("team"), "dob", "nat", "no_dob")
 
 
 def probe(candidates: DataFrame) -> DataFrame:

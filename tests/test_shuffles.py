@@ -50,3 +50,15 @@ def test_bridge_of_repeated_and_empty_rows(spark, people, monkeypatch):
         (1, "a", 1000, "manual_review", "ambiguous_candidates", ["a", "a", "a", "a", "b", "b"]), (2, "c", 550, "manual_review", "ambiguous_candidates", ["c", "d"]), (3, "e", 550, "manual_review", "weak_identity", ["e"]),
         (4, "f", 1000, "matched", "enough_evidence", ["f", "g"]), (5, None, None, "not_found", "no_candidates", []), (6, "h", 1000, "manual_review", bridging.TAKEN, ["h"]), (None, None, None, "not_found", "no_candidates", []),
     ]
+
+
+def test_decisions_move_rows_once(people, monkeypatch):
+    monkeypatch.setattr(shared, "FEW", 2)
+    seen = identity.evidence(*people)
+    assert "_day" not in _plan(seen)  # birth days are compared before rows are written
+    out = identity.decided(seen)
+    assert _plan(out).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect()), key=repr) == [
+        (1, "a", 1000, "manual_review", "review_required", "ambiguous_candidates"), (2, "c", 550, "manual_review", "review_required", "ambiguous_candidates"), (3, "e", 550, "manual_review", "review_required", "weak_identity"),
+        (4, "f", 1000, "matched", "name_club_birth_day", "enough_evidence"), (5, None, None, "not_found", "none", "no_candidates"), (6, "h", 1000, "matched", "name_club_birth_day", "enough_evidence"), (None, None, None, "not_found", "none", "no_candidates"),
+    ]

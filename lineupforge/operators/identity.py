bridge_rows, identity_evidence: what a match rests on is sorted as a number

Symptom: bridge_rows at 60 times sf0.1 held 1,326 MB in its largest task after names had left the shuffle, 1,158 before; its rows for a decision compress better, so Spark dealt them to 8 partitions instead of 10.
Evidence: event log, the step with the two windows by local row; each of its sorts carries a struct of two flags and a score beside the columns it was made of.
Fix: the struct is a number from 0 to 3, made of the same row and chosen by the same order, so results are the same.

@@ -51,13 +51,18 @@ def decisions(local: DataFrame, candidates: DataFrame) -> DataFrame:
     return decided(evidence(local, candidates))
 
 
+# What a match may rest on, in the order asked for.
+METHODS = ["name_club_birth_day", "name_birth_day", "exact_name_club", "name_club_unique_margin"]
+
+
 def decided(found: DataFrame) -> DataFrame:
-    """decisions() from evidence that is there. What a match rests on comes along with its row, in one exchange by local row."""
+    """decisions() from evidence that is there. What a match rests on comes along with its row, in one exchange by local row,
+    as a number, since both sorts hold it for every row."""
     each = Window.partitionBy("local_id", "slug")
-    kept = F.max_by(F.struct(F.coalesce("dob", F.lit(False)).alias("dob"), F.coalesce("team", F.lit(False)).alias("team"), "name_score"), "name_score").over(each)
-    rows = _decide(found.repartition("local_id").withColumn("_kept", kept), "_kept")
-    full = F.col("_kept.name_score") >= 1
-    by = F.when(F.col("_kept.dob"), F.when(F.col("_kept.team"), "name_club_birth_day").otherwise("name_birth_day")).when(full, "exact_name_club").otherwise("name_club_unique_margin")
+    holds = lambda name: F.coalesce(name, F.lit(False))
+    rests = F.when(holds("dob"), F.when(holds("team"), 0).otherwise(1)).when(F.col("name_score") >= 1, 2).otherwise(3)
+    rows = _decide(found.repartition("local_id").withColumn("_kept", F.max_by(rests, "name_score").over(each)), "_kept")
+    by = F.coalesce(F.get(F.array(*map(F.lit, METHODS)), F.col("_kept")), F.lit(METHODS[-1]))
     method = F.when(F.col("status") == "not_found", "none").when(F.col("status") == "matched", by).otherwise("review_required")
     return rows.select("local_id", "slug", "confidence", "status", method.alias("method"), "reason")
 

@@ -62,3 +62,17 @@ def test_decisions_move_rows_once(people, monkeypatch):
         (1, "a", 1000, "manual_review", "review_required", "ambiguous_candidates"), (2, "c", 550, "manual_review", "review_required", "ambiguous_candidates"), (3, "e", 550, "manual_review", "review_required", "weak_identity"),
         (4, "f", 1000, "matched", "name_club_birth_day", "enough_evidence"), (5, None, None, "not_found", "none", "no_candidates"), (6, "h", 1000, "matched", "name_club_birth_day", "enough_evidence"), (None, None, None, "not_found", "none", "no_candidates"),
     ]
+
+
+def test_what_a_match_rests_on_is_sorted_as_a_number(spark):
+    rows = [
+        (1, "a", 0.5, True, True, True, False), (2, "a", 0.5, None, True, None, False), (3, "a", 1.0, True, None, None, True), (4, "a", 0.8, True, False, False, False), (5, "a", 0.2, False, False, False, False),
+        (6, "a", 0.5, True, True, True, False), (6, "a", 0.9, False, False, False, False), (6, "b", None, None, None, None, False), (7, None, None, None, None, None, False), (None, "a", 1.0, True, True, True, False),
+    ]
+    out = identity.decided(spark.createDataFrame(rows, "local_id long, slug string, name_score double, team boolean, dob boolean, nat boolean, no_dob boolean"))
+    assert "struct(" not in _plan(out)  # no row of its own beside each row in the sorts
+    got = {r["local_id"]: (r["status"], r["method"]) for r in out.collect()}
+    assert got == {
+        1: ("matched", "name_club_birth_day"), 2: ("matched", "name_birth_day"), 3: ("matched", "exact_name_club"), 4: ("matched", "name_club_unique_margin"), 5: ("manual_review", "review_required"),
+        6: ("matched", "name_club_unique_margin"), 7: ("not_found", "none"), None: ("matched", "name_club_birth_day"),
+    }
